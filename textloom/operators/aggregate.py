@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import LETTERS_ONLY, SPACES
+from .sample import top_k_per_group
 
 
 def cluster_counts(df: DataFrame, cluster: str = "clust_id") -> DataFrame:
@@ -39,26 +40,29 @@ def cluster_stats(df: DataFrame, cluster: str = "clust_id", weight: Column | Non
     )
 
 
-def top_words(
-    df: DataFrame,
-    stopwords: DataFrame,
-    k: int = 10,
-    cluster: str = "clust_id",
-    text_col: str = "text",
+def word_counts(
+    df: DataFrame, stopwords: DataFrame, by: str = "clust_id", text_col: str = "text"
 ) -> DataFrame:
-    """The k most frequent words of each cluster; equal counts in word order."""
-    words = (
-        df.select(cluster, F.explode(F.split(F.col(text_col), SPACES)).alias("word"))
+    """Uses of each lower-cased word of letters only that is no stopword.
+
+    The stopword test is case-sensitive, so it comes before the lower-casing.
+    Words are counted before the test, and the test runs on counts.
+    """
+    return (
+        df.select(by, F.explode(F.split(F.col(text_col), SPACES)).alias("word"))
         .where(F.col("word").rlike(LETTERS_ONLY))
-        .groupBy(cluster, "word")
+        .groupBy(by, "word")
         .agg(F.count("*").alias("uses"))
         .join(stopwords.select("word"), "word", "left_anti")
-        .select(cluster, F.lower("word").alias("word"), "uses")
-    )
-    by_count = Window.partitionBy(cluster).orderBy(F.desc("n"), "word")
-    return (
-        words.groupBy(cluster, "word")
+        .groupBy(by, F.lower("word").alias("word"))
         .agg(F.sum("uses").alias("n"))
-        .withColumn("rank", F.row_number().over(by_count).cast("int"))
-        .where(F.col("rank") <= k)
     )
+
+
+def top_words(
+    df: DataFrame, stopwords: DataFrame, k: int = 10, cluster: str = "clust_id", text_col: str = "text"
+) -> DataFrame:
+    """The k most frequent words of each cluster; equal counts in word order."""
+    counts = word_counts(df, stopwords, cluster, text_col)
+    ranked = top_k_per_group(counts, [cluster], [F.desc("n"), F.col("word")], k)
+    return ranked.withColumn("rank", F.col("rank").cast("int"))

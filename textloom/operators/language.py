@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import NON_LETTERS
+from ..sources.scratch import settle
 
 GRAMS_PER_LANGUAGE = 20_000
 WEIGHT_SCALE = 10_000
@@ -55,6 +56,7 @@ def language_profile(
 ) -> DataFrame:
     """Table (lang, gram, weight) of smoothed log-probabilities.
 
+    The texts are read once; the counts are written, as they are used three times.
     The most frequent grams of each language form the vocabulary; every language
     has a row for every gram of it.  Counting combines on the map side, so the
     shuffle carries distinct grams and not positions of the text.
@@ -66,11 +68,12 @@ def language_profile(
         .agg(F.count("*").alias("n"))
     )
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = (
+    kept = settle(
         counts.withColumn("rank", F.row_number().over(by_count))
         .where(F.col("rank") <= grams_per_language)
         .groupBy("gram")
-        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts")),
+        "grams",
     )
     totals = kept.select(F.explode("counts").alias("lang", "n")).groupBy("lang").agg(
         F.sum("n").alias("total")

@@ -31,8 +31,9 @@ from ({POSTS}) p
 # Every document with a cluster; label 0 of the vectors stands for noise.
 CLUSTERED = """
 select d.doc_id, d.text, d.source, cast(e.label - 1 as int) as clust_id
-from {documents} d join {embeddings} e
-  on e.vec_id = d.doc_id % (select count(*) from {embeddings})
+from (select doc_id, text, source, doc_id % (select count(*) from {embeddings}) as vec_id
+      from {documents}) d
+join {embeddings} e on e.vec_id = d.vec_id
 """
 
 # Ten planted blobs and scattered points.

@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..functions.models import letter_encoder
 from ..operators import clean, embed, label
-from ..operators.aggregate import top_words
+from ..operators.aggregate import top_words, word_counts
 from ..operators.language import (
     GRAMS_PER_LANGUAGE,
     WEIGHT_SCALE,
@@ -250,11 +250,7 @@ def benchmark_stopwords(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("word_list", WORDS_SQL)
 def word_list(spark, sf):
-    stop = benchmark_stopwords(spark, sf).agg(F.collect_set("word")).scalar()
-    words = posts(spark, sf).withColumn("stop", stop).select(
-        "doc_id", F.explode(X.word_list(F.col("text"), F.col("stop"))).alias("word")
-    )
-    return words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return word_counts(posts(spark, sf), benchmark_stopwords(spark, sf), by="doc_id")
 
 
 @query(
