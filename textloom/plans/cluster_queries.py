@@ -1,0 +1,129 @@
+"""Queries for neighbours, density clustering, reduction and near-duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import density, knn, search, space
+from . import fixtures as fx
+from .registry import query
+
+PTS = fx.for_duckdb(fx.PTS)
+K = 8
+EPS = 1.0
+
+
+def pts(spark: SparkSession, sf: str) -> DataFrame:
+    return fx.in_spark(spark, sf, fx.PTS)
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    return space.distinct_points(pts(spark, sf), "id", ["x", "y"])
+
+
+def knn_sql(k: int) -> str:
+    return f"""select id, rank::int as rank, nbr, d from (
+        select a.id, b.id as nbr, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d,
+          row_number() over (partition by a.id order by
+            sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) as rank
+        from ({PTS}) a join ({PTS}) b on a.id <> b.id) where rank <= {k}"""
+
+
+KNN_SQL = knn_sql(K)
+CORE_SQL = f"select id, d as core from ({KNN_SQL}) where rank = {K}"
+
+
+@query("knn", KNN_SQL)
+def nearest(spark, sf):
+    return knn.knn(points(spark, sf), K)
+
+
+@query("core_distance", CORE_SQL)
+def core_distance(spark, sf):
+    return knn.core_distance(points(spark, sf), K)
+
+
+@query(
+    "mutual_reach",
+    f"""select distinct least(n.id, n.nbr) as a, greatest(n.id, n.nbr) as b,
+        greatest(n.d, ca.core, cb.core) as weight
+        from ({KNN_SQL}) n join ({CORE_SQL}) ca on ca.id = n.id join ({CORE_SQL}) cb on cb.id = n.nbr""",
+)
+def mutual_reach(spark, sf):
+    return knn.mutual_reach(points(spark, sf), K)
+
+
+@query(
+    "density_cut",
+    f"""with recursive core as (
+          select c.id, p.x, p.y from ({CORE_SQL}) c join ({PTS}) p using (id) where c.core <= {EPS}),
+        edge as (select a.id as a, b.id as b from core a join core b
+          on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {EPS}),
+        reach(id, origin) as (
+          select id, id from core union select e.b, r.origin from reach r join edge e on e.a = r.id)
+        select id, min(origin) as component from reach group by id""",
+)
+def density_cut(spark, sf):
+    return density.density_cut(points(spark, sf), K, EPS)
+
+
+@query("hdbscan")
+def hdbscan(spark, sf):
+    return density.hdbscan(pts(spark, sf), ["x", "y"], 15, key="id")
+
+
+TRIALS = """select row_number() over (order by k) - 1 as trial, k as min_cluster_size, k as min_samples,
+    count(*) filter (n >= k) as n_clusters,
+    (coalesce(sum(n) filter (n < k), 0))::bigint as n_outliers,
+    coalesce(sum(n) filter (n < k), 0) / sum(n) * 100 as pct_outliers
+    from (select label, count(*) as n from embeddings group by 1), unnest([5, 30, 45, 50, 55, 60]) t(k)
+    group by k"""
+
+
+@query(
+    "choose_trial",
+    f"""select trial::int as trial, min_cluster_size::int as min_cluster_size,
+        min_samples::int as min_samples, n_clusters, n_outliers, pct_outliers from ({TRIALS})
+        order by case when pct_outliers > 0 and pct_outliers <= 25 then 0 when n_clusters > 10 then 1 else 2 end,
+          case when pct_outliers > 0 and pct_outliers <= 25 then -n_clusters else pct_outliers end, trial
+        limit 1""",
+)
+def choose_trial(spark, sf):
+    sizes = spark.read.parquet(f"{sf}/embeddings.parquet").groupBy("label").agg(F.count("*").alias("n"))
+    ks = F.array(*[F.lit(k) for k in (5, 30, 45, 50, 55, 60)])
+    small = F.coalesce(F.sum(F.when(F.col("n") < F.col("k"), F.col("n"))), F.lit(0))
+    trials = (
+        sizes.select("n", F.posexplode(ks).alias("trial", "k"))
+        .groupBy("trial", "k")
+        .agg(
+            F.count_if(F.col("n") >= F.col("k")).alias("n_clusters"),
+            small.alias("n_outliers"),
+            (small / F.sum("n") * 100).alias("pct_outliers"),
+        )
+        .select("trial", F.col("k").alias("min_cluster_size"), F.col("k").alias("min_samples"),
+                "n_clusters", "n_outliers", "pct_outliers")
+    )
+    return search.choose_trial(trials, lower=10)
+
+
+BOUNDS_SQL = """select name, n, case when n <= 100 then 5 when n <= 1000 then 10 when n <= 10000 then 20
+    else 50 end as lower, case when n <= 100 then 10 when n <= 1000 then 50 when n <= 10000 then 80
+    else 120 end as upper from (
+    select 'documents' as name, count(*) as n from documents union all
+    select 'embeddings', count(*) from embeddings union all
+    select 'pages', count(*) from pages)"""
+
+
+@query("search_bounds", BOUNDS_SQL)
+def search_bounds(spark, sf):
+    rows = []
+    for name in ("documents", "embeddings", "pages"):
+        n = spark.read.parquet(f"{sf}/{name}.parquet").count()
+        rows.append((name, n, *search.search_bounds(n)))
+    return spark.createDataFrame(rows, "name string, n bigint, lower int, upper int")
+
+
+@query("cluster_search")
+def cluster_search(spark, sf):
+    return search.cluster_search(pts(spark, sf), ["x", "y"], key="id").rows
