@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
@@ -22,7 +22,9 @@ from .knn import CHUNK, coordinates, core_distances, distances, neighbour_lists
 from .space import LEAF_ROWS, Leaves, distinct_points, into_leaves, visits
 
 MAX_PLACES = 2**18
+SURE_SHARE = 0.8  # room for the error of approximate distinct counts
 FINEST_BIN = 16
+FEW_NEIGHBOURS = 128  # up to here a neighbour graph takes four times min_samples
 
 DENSEST = 1e280  # stands for the density of copies
 
@@ -43,24 +45,26 @@ def into_places(df: DataFrame, dims: list[str], key: str, max_places: int = MAX_
     A place of a grid has the mean of its rows as coordinates.
     """
     ranges = [f(c).alias(f"{n}{i}") for i, c in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    stats = df.agg(F.approx_count_distinct(F.struct(*dims), 0.01).alias("n"), *ranges).first()
-    exact = stats["n"] <= max_places * 0.95
+    stats = df.agg(F.approx_count_distinct(F.struct(*dims)).alias("n"), *ranges).first()
+    room = max_places * SURE_SHARE
+    exact = stats["n"] <= room
     if exact:
         keys = [F.col(d) for d in dims]
     else:
         extent = max(stats[f"hi{i}"] - stats[f"lo{i}"] for i in range(len(dims))) * (1 + 1e-9)
 
-        def grid(level: int):
-            return [
-                F.floor((F.col(d) - F.lit(stats[f"lo{i}"])) / F.lit(extent / 2**level))
-                for i, d in enumerate(dims)
-            ]
-
-        used = df.agg(
-            *[F.approx_count_distinct(F.struct(*grid(v)), 0.01).alias(f"n{v}") for v in range(1, FINEST_BIN + 1)]
-        ).first()
-        fits = [v for v in range(1, FINEST_BIN + 1) if used[f"n{v}"] <= max_places * 0.95]
-        keys = grid(max(fits, default=1))
+        def grid(level: Column) -> list[Column]:
+            width = F.lit(extent) / F.pow(F.lit(2.0), level)
+            return [F.floor((F.col(d) - F.lit(stats[f"lo{i}"])) / width) for i, d in enumerate(dims)]
+
+        levels = F.explode(F.sequence(F.lit(1), F.lit(FINEST_BIN))).alias("_v")
+        used = (
+            df.select(*dims, levels)
+            .groupBy("_v")
+            .agg(F.approx_count_distinct(F.struct(*grid(F.col("_v")))).alias("n"))
+        )
+        finest = used.where(F.col("n") <= room).agg(F.max("_v")).first()[0]
+        keys = grid(F.lit(finest or 1))
     cells = [k.alias(f"_g{i}") for i, k in enumerate(keys)]
     names = [f"_g{i}" for i in range(len(dims))]
     places = settle(
@@ -103,6 +107,11 @@ def _leaf_tree(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"trial": trial, "a": ids[a], "b": ids[b], "weight": weight})
 
 
+def graph_neighbours(min_samples: int) -> int:
+    """Neighbours of a point that may carry an edge to another leaf."""
+    return max(min_samples, min(4 * min_samples, FEW_NEIGHBOURS))
+
+
 def reach_forest(leaves: Leaves, trials: Sequence[int]) -> tuple[DataFrame, DataFrame]:
     """Points (trial, id, w, core) and mutual-reachability forest edges, for each sample size.
 
@@ -113,7 +122,7 @@ def reach_forest(leaves: Leaves, trials: Sequence[int]) -> tuple[DataFrame, Data
     """
     lists = None
     if not leaves.single:
-        lists = settle(neighbour_lists(leaves, max(trials)), "neighbours")
+        lists = settle(neighbour_lists(leaves, graph_neighbours(max(trials))), "neighbours")
     pairs = F.explode(
         F.transform("cores", lambda core, i: F.struct(i.alias("trial"), core.alias("core")))
     )
@@ -304,7 +313,7 @@ def hdbscan(
     """Adds ``clust_id``: clusters numbered from 0 by their smallest key, noise -1."""
     min_samples = min_cluster_size if min_samples is None else min_samples
     places = into_places(df, dims, key, max_places)
-    leaves = into_leaves(places.points, max(leaf_rows, 4 * min_samples))
+    leaves = into_leaves(places.points, max(leaf_rows, 4 * graph_neighbours(min_samples)))
     labels = cluster_places(leaves, [(min_cluster_size, min_samples, epsilon)])
     found = settle(labels.select(F.col("id").alias("place"), "clust_id"), "clusters")
     return places.rows.join(found, "place").drop("place")
@@ -342,7 +351,7 @@ def _meeting_parts(leaf: pd.DataFrame, callers: pd.DataFrame) -> pd.DataFrame:
     pairs: set[tuple[int, int]] = set()
     if len(leaf) and len(callers):
         p, part = coordinates(leaf), leaf["part"].to_numpy()
-        q, home, eps = coordinates(callers), callers["part"].to_numpy(), callers["r"].to_numpy()
+        q, home, eps = np.stack(callers["q"]), callers["home"].to_numpy(), callers["r"].to_numpy()
         for start in range(0, len(q), CHUNK):
             near = distances(q[start : start + CHUNK], p) <= eps[start : start + CHUNK, None]
             for i, j in np.argwhere(near):
@@ -375,7 +384,12 @@ def density_cut(points: DataFrame, min_samples: int, eps: float, leaf_rows: int
     )
     meetings = (
         local.groupBy("level", "cell")
-        .cogroup(calls.select("p", "part", "r", "level", "cell").groupBy("level", "cell"))
+        .cogroup(
+            calls.select(
+                F.col("p").alias("q"), F.col("part").alias("home"), "r",
+                F.col("level").alias("to_level"), F.col("cell").alias("to_cell"),
+            ).groupBy("to_level", "to_cell")
+        )
         .applyInPandas(_meeting_parts, "a bigint, b bigint")
         .select(F.lit(0).alias("trial"), "a", "b", F.lit(0.0).alias("weight"))
     )
