@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import density, knn, search, space
+from ..operators import dedup, density, knn, reduce, search, space
+from ..sources import sinks
+from ..sources.scratch import new_path
 from . import fixtures as fx
+from . import stages
 from .registry import query
+from .text_queries import detector, posts
 
 PTS = fx.for_duckdb(fx.PTS)
 K = 8
@@ -127,3 +131,127 @@ def search_bounds(spark, sf):
 @query("cluster_search")
 def cluster_search(spark, sf):
     return search.cluster_search(pts(spark, sf), ["x", "y"], key="id").rows
+
+
+# Reduction.
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    table = fx.table(spark, sf, "embeddings")
+    return table.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("embeddings"), "label")
+
+
+@query(
+    "attach_dims",
+    f"""select d.doc_id, d.lang, p.x as "Dim0", p.y as "Dim1"
+        from documents d join ({PTS}) p on p.id = d.doc_id""",
+)
+def attach_dims(spark, sf):
+    dims = pts(spark, sf).select(
+        F.col("id").alias("doc_id"), F.col("x").alias("Dim0"), F.col("y").alias("Dim1")
+    )
+    return reduce.attach_dims(fx.table(spark, sf, "documents").select("doc_id", "lang"), dims)
+
+
+@query("reduce_pca")
+def reduce_pca(spark, sf):
+    return reduce.reduce_pca(vectors(spark, sf), 3).drop("embeddings")
+
+
+NEAR = 15
+
+
+@query(
+    "fuzzy_graph",
+    f"""with recursive near as (select * from ({knn_sql(NEAR)})),
+      p as (select id, list(d order by rank) as ds, min(d) as rho from near group by id),
+      search(id, i, lo, hi, mid) as (
+        select id, 0, 0.0::double, 'infinity'::double, 1.0::double from p
+        union all
+        select id, i + 1, new_lo, new_hi,
+          case when new_hi = 'infinity'::double then mid * 2 else (new_lo + new_hi) / 2 end
+        from (select s.id, s.i, s.mid,
+                case when t.high then s.lo else s.mid end as new_lo,
+                case when t.high then s.mid else s.hi end as new_hi
+              from search s join p on p.id = s.id, lateral (
+                select list_sum(list_transform(p.ds, lambda d: exp(-greatest(0.0, d - p.rho) / s.mid)))
+                  > log2({NEAR}) as high) t
+              where s.i < {reduce.SIGMA_STEPS})),
+      sigma as (select id, mid as sigma from search where i = {reduce.SIGMA_STEPS}),
+      arrows as (
+        select least(n.id, n.nbr) as a, greatest(n.id, n.nbr) as b,
+          exp(-greatest(0.0, n.d - p.rho) / s.sigma) as w
+        from near n join p on p.id = n.id join sigma s on s.id = n.id)
+      select a, b, round(sum(w) - case when count(*) = 2 then min(w) * max(w) else 0 end, 6) as weight
+      from arrows group by a, b""",
+)
+def fuzzy_graph(spark, sf):
+    lists = knn.neighbour_lists(space.into_leaves(points(spark, sf)), NEAR)
+    return reduce.fuzzy_graph(lists, NEAR).withColumn("weight", F.round("weight", 6))
+
+
+@query("reduce_umap")
+def reduce_umap(spark, sf):
+    return reduce.reduce_umap(vectors(spark, sf), 2).drop("embeddings")
+
+
+# Near-duplicates.
+
+CENTROID_SQL = """
+with parts as (
+  select vec_id, label, i as pos, embedding[i]::double as x
+  from embeddings, unnest(range(1, len(embedding) + 1)) t(i)),
+means as (select label, pos, avg(x) as m from parts group by all)
+select p.vec_id as doc_id, p.label, sum(p.x * m.m) / (sqrt(sum(p.x * p.x)) * sqrt(sum(m.m * m.m))) as cosine_sim
+from parts p join means m on m.label = p.label and m.pos = p.pos group by all
+"""
+SIMILAR = 0.2
+
+
+@query(
+    "centroid_similarity",
+    f"select doc_id, label, round(cosine_sim, 6) as cosine_sim from ({CENTROID_SQL})",
+)
+def centroid_similarity(spark, sf):
+    rows = dedup.centroid_similarity(vectors(spark, sf), "label")
+    return rows.select("doc_id", "label", F.round("cosine_sim", 6).alias("cosine_sim"))
+
+
+@query(
+    "semdup_flag",
+    f"""select doc_id, cosine_sim > {SIMILAR} as similar, cosine_sim > {SIMILAR} as "Drop" from ({CENTROID_SQL})""",
+)
+def semdup_flag(spark, sf):
+    rows = dedup.flag_similar(dedup.centroid_similarity(vectors(spark, sf), "label"), SIMILAR)
+    return rows.select("doc_id", "similar", "Drop")
+
+
+@query(
+    "semantic_dedup",
+    f"""with v as ({fx.for_duckdb(fx.DUP_VECS)})
+        select doc_id, label from v a where not exists (
+          select 1 from v b where b.label = a.label and b.doc_id < a.doc_id
+            and list_cosine_similarity(a.embedding::double[], b.embedding::double[]) > {dedup.THRESHOLD})""",
+)
+def semantic_dedup(spark, sf):
+    rows = fx.in_spark(spark, sf, fx.DUP_VECS)
+    return dedup.semantic_dedup(rows, "label", vector_col="embedding").select("doc_id", "label")
+
+
+@query("kmeans_assign")
+def kmeans_assign(spark, sf):
+    return dedup.kmeans_groups(vectors(spark, sf), k=20).select("doc_id", "klabel")
+
+
+@query("sdedup")
+def sdedup(spark, sf):
+    rows = dedup.sdedup(vectors(spark, sf), k=20, threshold=SIMILAR)
+    return rows.select("doc_id", "klabel", "cosine_sim", "similar", "Drop")
+
+
+@query("stage_one")
+def stage_one(spark, sf):
+    found = stages.stage_one(posts(spark, sf), detector(spark, sf))
+    path = new_path(spark, "clustered") + ".parquet"
+    sinks.write_clustered(found.rows, path)
+    return spark.read.parquet(path)

@@ -13,7 +13,11 @@ from ..functions import prompts
 from ..functions.models import LabellerFactory
 from ..functions.patterns import TOKEN
 from ..operators import label as L
+from ..operators.clean import clean_posts
+from ..operators.embed import embed_hashed
 from ..operators.rep_text import add_token_counts, rep_text
+from ..operators.reduce import reduce_dimensions
+from ..operators.search import Search, cluster_search
 from ..sources.scratch import settle
 
 
@@ -22,6 +26,28 @@ def count_tokens(text: str) -> int:
     return len(regex.findall(TOKEN, text)) + 2
 
 
+def stage_one(
+    posts: DataFrame,
+    language: Callable[[Column], Column],
+    embed: Callable[[DataFrame], DataFrame] = embed_hashed,
+    n_components: int = 2,
+    method: str = "pca",
+    text_col: str = "text",
+    key: str = "doc_id",
+    prefer: str = "most",
+) -> Search:
+    """Clean, embed, reduce and cluster posts, with a search for the cluster size.
+
+    ``embed`` adds an ``embeddings`` column.  The cleaned texts and the vectors
+    are each written once; later steps read only the columns they need.
+    """
+    cleaned = settle(clean_posts(posts, language, text_col, key), "clean")
+    embedded = settle(embed(cleaned), "embedded")
+    reduced = reduce_dimensions(embedded, n_components, method, key=key)
+    dims = [f"Dim{i}" for i in range(n_components)]
+    return cluster_search(reduced, dims, key, prefer)
+
+
 @dataclass
 class Labelled:
     """Label table and rows of stage two."""
