@@ -29,6 +29,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(P.NON_SPACES)), F.lit(1))
 
 
+def normalized_word_count(text: Column) -> Column:
+    """Number of words of a text whose spaces are normalised: one more than its spaces."""
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text == "", F.lit(0)).otherwise(spaces + 1)
+
+
 def is_removed(text: Column) -> Column:
     """True when the whole text is a removed or deleted marker."""
     return F.coalesce(text.isin(*P.REMOVED_MARKERS), F.lit(False))

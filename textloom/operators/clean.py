@@ -42,12 +42,17 @@ def clean_posts(
     tidy = X.normalize_spaces(
         X.remove_emoji(X.remove_url(F.col(text_col)), narrow=narrow_emoji)
     )
-    counted = (
-        df.select(key, tidy.alias("text"))
-        .withColumn("length", X.word_count(F.col("text")))
-        .withColumn("reddit_check", X.is_removed(F.col("text")))
-        .where((F.col("length") > 2) & ~F.col("reddit_check"))
+    # Catalyst would copy the cleaning into every use of it.  A generator that
+    # yields one row is not copied, so each text is cleaned once.
+    facts = F.transform(
+        F.array(tidy),
+        lambda t: F.struct(
+            t.alias("text"),
+            X.normalized_word_count(t).alias("length"),
+            X.is_removed(t).alias("reddit_check"),
+        ),
     )
+    counted = df.select(key, F.inline(facts)).where((F.col("length") > 2) & ~F.col("reddit_check"))
     return (
         counted.withColumn("lang", language(F.col("text")))
         .withColumn("lang_check", X.is_accepted_language(F.col("lang")))

@@ -29,6 +29,7 @@ SCRIPTS = {
     "zh": r"\p{IsHan}",
     "ru": r"\p{IsCyrillic}",
 }
+ANY_SCRIPT = "[" + "".join(SCRIPTS.values()) + r"\p{IsHiragana}\p{IsKatakana}]"
 KANA = r"[\p{IsHiragana}\p{IsKatakana}]"
 
 
@@ -144,11 +145,14 @@ def language_detector(profile: DataFrame, margin: int = 0) -> Callable[[Column],
             yield pd.Series(answers[[score(t) for t in texts]])
 
     def detect(text: Column) -> Column:
-        letters = F.regexp_count(text, F.lit(r"\p{L}"))
-        rules = F.when(text.isNull() | (letters == 0), F.lit("error"))
-        rules = rules.when(text.rlike(KANA), F.lit("ja"))
+        # Texts without any of these scripts skip the counts.
+        letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+        other = F.when(text.rlike(KANA), F.lit("ja"))
         for lang, script in SCRIPTS.items():
-            rules = rules.when(F.regexp_count(text, F.lit(script)) * 2 > letters, F.lit(lang))
-        return rules.otherwise(best_language(letters_of(text)))
+            other = other.when(F.regexp_count(text, F.lit(script)) * 2 > letters, F.lit(lang))
+        by_script = F.when(text.rlike(ANY_SCRIPT), other)
+        by_grams = best_language(letters_of(text))
+        no_letters = text.isNull() | ~text.rlike(r"\p{L}")
+        return F.when(no_letters, F.lit("error")).otherwise(F.coalesce(by_script, by_grams))
 
     return detect

@@ -192,7 +192,7 @@ def fuzzy_graph(spark, sf):
 
 @query("reduce_umap")
 def reduce_umap(spark, sf):
-    return reduce.reduce_umap(vectors(spark, sf), 2).drop("embeddings")
+    return reduce.reduce_umap(vectors(spark, sf), 2, epochs=10).drop("embeddings")
 
 
 # Near-duplicates.

@@ -61,7 +61,8 @@ def for_duckdb(sql: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "embeddings") else df
 
 
 def in_spark(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
