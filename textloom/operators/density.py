@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -81,17 +82,26 @@ def into_places(df: DataFrame, dims: list[str], key: str, max_places: int = MAX_
 def _prim(p: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spanning tree of all points of a leaf under mutual reachability."""
     n = len(p)
+    axes = [np.ascontiguousarray(p[:, i]) for i in range(p.shape[1])]
     best, source = np.full(n, np.inf), np.zeros(n, np.int64)
-    out = np.zeros(n, bool)
-    at, a, b, weight = 0, [], [], []
+    open_core = core.astype(float).copy()  # infinite once a point is in the tree
+    reach, step = np.empty(n), np.empty(n)
+    a, b, weight = [], [], []
+    at = 0
     for _ in range(n - 1):
-        out[at] = True
-        reach = np.maximum(distances(p[at : at + 1], p)[0], np.maximum(core, core[at]))
-        closer = (reach < best) & ~out
+        open_core[at] = best[at] = np.inf
+        reach[:] = 0
+        for axis in axes:
+            np.subtract(axis, axis[at], out=step)
+            np.multiply(step, step, out=step)
+            reach += step
+        np.sqrt(reach, out=reach)
+        np.maximum(reach, core[at], out=reach)
+        np.maximum(reach, open_core, out=reach)
+        closer = np.flatnonzero(reach < best)
         best[closer], source[closer] = reach[closer], at
-        best[at] = np.inf
-        at = int(np.argmin(np.where(out, np.inf, best)))
-        if out[at]:  # only unreachable points are left
+        at = int(best.argmin())
+        if best[at] == np.inf:  # only unreachable points are left
             break
         a.append(source[at])
         b.append(at)
@@ -193,6 +203,8 @@ def _condense(min_cluster_size: int, epsilon: float, points: pd.DataFrame, edges
         return c
 
     def leave(c: int, points_out: list[int], at: float) -> None:
+        if not points_out:
+            return
         count = sum(int(rows[i]) for i in points_out)
         owner[points_out] = c
         mass[c] += count * at
@@ -204,34 +216,42 @@ def _condense(min_cluster_size: int, epsilon: float, points: pd.DataFrame, edges
             cluster[i] = new_cluster([])
             leave(cluster[i], members[i], DENSEST)
             members[i] = []
-    for i, j, at in zip(a, b, density):
-        i, j = find(i), find(j)
-        if i == j:
-            continue
-        ci, cj = cluster[i], cluster[j]
-        small = members[i] if ci < 0 else []
-        small2 = members[j] if cj < 0 else []
-        if size[i] < size[j]:
-            i, j = j, i
-        root[j] = i
-        size[i] += size[j]
-        if ci >= 0 and cj >= 0:
-            c = new_cluster([ci, cj])
-            for k in (ci, cj):
-                parent[k], born[k] = c, at
-                mass[c] += total[k] * at
-        elif ci >= 0 or cj >= 0:
-            c = max(ci, cj)
-            leave(c, small + small2, at)
-        elif size[i] >= min_cluster_size:
-            c = new_cluster([])
-            leave(c, small + small2, at)
-        else:
-            c = -1
-            big, little = (small, small2) if len(small) >= len(small2) else (small2, small)
-            big.extend(little)
-            members[i], members[j] = big, []
-        cluster[i] = c
+    def part(i: int) -> tuple[list[int], list[int]]:
+        """Clusters and loose points of a component."""
+        return ([cluster[i]], []) if cluster[i] >= 0 else ([], members[i])
+
+    # Edges of equal weight join at once, so the order of ties does not matter.
+    for at, group in groupby(zip(density, a, b), key=lambda e: e[0]):
+        joined: dict[int, tuple[list[int], list[int]]] = {}
+        for _, i, j in group:
+            i, j = find(i), find(j)
+            if i == j:
+                continue
+            if size[i] < size[j]:
+                i, j = j, i
+            kids, loose = joined.pop(i, None) or part(i)
+            kids2, loose2 = joined.pop(j, None) or part(j)
+            if len(loose) < len(loose2):
+                loose, loose2 = loose2, loose
+            loose.extend(loose2)
+            root[j] = i
+            size[i] += size[j]
+            joined[i] = (kids + kids2, loose)
+        for i, (kids, loose) in joined.items():
+            if len(kids) > 1:
+                c = new_cluster(kids)
+                for k in kids:
+                    parent[k], born[k] = c, at
+                    mass[c] += total[k] * at
+            elif kids:
+                c = kids[0]
+            elif size[i] >= min_cluster_size:
+                c = new_cluster([])
+            else:
+                members[i] = loose
+                continue
+            leave(c, loose, at)
+            cluster[i], members[i] = c, []
 
     # The tops of all trees are parts of one root, which is never chosen itself.
     m = len(parent)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,13 @@ def _nearest(d: np.ndarray, ids: np.ndarray, w: np.ndarray, k: int, within: floa
     return list(zip(d[near].tolist(), ids[near].tolist(), w[near].tolist()))
 
 
+def _as_column(lists: list[list[tuple]]) -> pd.Series:
+    return pd.Series([[{"d": d, "id": i, "w": c} for d, i, c in one] for one in lists], dtype=object)
+
+
 def _leaf_neighbours(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
         p, ids, w = coordinates(pdf), pdf["id"].to_numpy(), pdf["w"].to_numpy()
         lists = []
         for start in range(0, len(p), CHUNK):
@@ -48,7 +53,7 @@ def _leaf_neighbours(k: int):
             lists += [_nearest(row, ids, w, k) for row in d]
         return pd.DataFrame(
             {"id": ids, "p": pdf["p"], "w": w, "level": pdf["level"], "cell": pdf["cell"],
-             "nbrs": [[{"d": d, "id": i, "w": c} for d, i, c in one] for one in lists]}
+             "nbrs": _as_column(lists)}
         )
 
     return run
@@ -64,7 +69,7 @@ def _visitor_neighbours(k: int):
             lists += [_nearest(row, ids, w, k, at) for row, at in zip(d, r[start:])]
         return pd.DataFrame(
             {"id": callers["id"].to_numpy()[: len(lists)],
-             "nbrs": [[{"d": d, "id": i, "w": c} for d, i, c in one] for one in lists]}
+             "nbrs": _as_column(lists)}
         )
 
     return run
@@ -144,42 +149,57 @@ def core_from_list(min_samples: int) -> Column:
     return F.when(reached["rows"] >= min_samples, reached["d"]).otherwise(F.lit(float("inf")))
 
 
-def _leaf_cores(samples: Sequence[int]):
-    """Core distances inside a table that is one leaf, for several sample sizes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, w = coordinates(pdf), pdf["w"].to_numpy()
-        cores = np.full((len(p), len(samples)), np.inf)
-        plain = bool((w == 1).all())
-        for start in range(0, len(p), CHUNK):
-            d = distances(p[start : start + CHUNK], p)
-            rows = np.arange(len(d))
-            d[rows, start + rows] = np.inf
-            if plain:
-                for j, ms in enumerate(samples):
-                    if ms < len(p):
-                        cores[start + rows, j] = np.partition(d, ms - 1, axis=1)[:, ms - 1]
-                continue
-            order = np.argsort(d, axis=1)
-            seen = np.cumsum(w[order], axis=1) + w[start + rows, None] - 1
+def _cores(q: np.ndarray, own: np.ndarray, p: np.ndarray, w: np.ndarray, samples: Sequence[int]) -> np.ndarray:
+    """Core distances of the points at the positions ``own`` of the table (p, w)."""
+    cores = np.full((len(q), len(samples)), np.inf)
+    plain = bool((w == 1).all())
+    for start in range(0, len(q), CHUNK):
+        d = distances(q[start : start + CHUNK], p)
+        rows, at = np.arange(len(d)), own[start : start + CHUNK]
+        d[rows, at] = np.inf
+        if plain:
+            wanted = [ms for ms in samples if ms < len(p)]
+            if wanted:
+                d.partition([ms - 1 for ms in wanted], axis=1)
             for j, ms in enumerate(samples):
-                at = (seen < ms).sum(axis=1)
-                found = d[rows, order[rows, np.minimum(at, len(p) - 1)]]
-                cores[start + rows, j] = np.where(w[start + rows] > ms, 0.0, found)
-        out = pdf[["id", "p", "w", "level", "cell"]].copy()
-        out["cores"] = list(cores)
-        return out
-
-    return run
+                if ms < len(p):
+                    cores[start + rows, j] = d[:, ms - 1]
+            continue
+        order = np.argsort(d, axis=1)
+        seen = np.cumsum(w[order], axis=1) - w[at, None] * (order == at[:, None]).cumsum(axis=1)
+        seen += w[at, None] - 1
+        for j, ms in enumerate(samples):
+            place = np.minimum((seen < ms).sum(axis=1), len(p) - 1)
+            cores[start + rows, j] = np.where(w[at] > ms, 0.0, d[rows, order[rows, place]])
+    return cores
 
 
 def core_distances(leaves: Leaves, samples: Sequence[int], lists: DataFrame | None = None) -> DataFrame:
-    """Points with ``cores``: one core distance for each sample size."""
-    if leaves.single:
-        schema = "id bigint, p array<double>, w bigint, level int, cell array<int>, cores array<double>"
-        return leaves.points.groupBy("level", "cell").applyInPandas(_leaf_cores(samples), schema)
-    lists = lists if lists is not None else neighbour_lists(leaves, max(samples))
-    return lists.withColumn("cores", F.array(*[core_from_list(ms) for ms in samples])).drop("nbrs")
+    """Points with ``cores``: one core distance for each sample size.
+
+    A table of one leaf is small by definition; all tasks get it whole and share
+    out its points.
+    """
+    if not leaves.single:
+        lists = lists if lists is not None else neighbour_lists(leaves, max(samples))
+        return lists.withColumn("cores", F.array(*[core_from_list(ms) for ms in samples])).drop("nbrs")
+    spark = leaves.points.sparkSession
+    table = leaves.points.select("id", "p", "w").toPandas().sort_values("id")  # at most leaf_rows rows
+    shared = spark.sparkContext.broadcast(
+        (table["id"].to_numpy(), coordinates(table), table["w"].to_numpy())
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, p, w = shared.value
+        for pdf in batches:
+            out = pdf.copy()
+            own = np.searchsorted(ids, pdf["id"].to_numpy())
+            out["cores"] = list(_cores(coordinates(pdf), own, p, w, samples))
+            yield out
+
+    columns = ["id", "p", "w", "level", "cell"]
+    schema = "id bigint, p array<double>, w bigint, level int, cell array<int>, cores array<double>"
+    return leaves.points.select(*columns).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
 def core_distance(points: DataFrame, min_samples: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:

@@ -29,6 +29,7 @@ SCRIPTS = {
     "zh": r"\p{IsHan}",
     "ru": r"\p{IsCyrillic}",
 }
+BEYOND_LATIN = r"[\x{0400}-\x{10FFFF}]"  # a cheap first test; holds all scripts above
 ANY_SCRIPT = "[" + "".join(SCRIPTS.values()) + r"\p{IsHiragana}\p{IsKatakana}]"
 KANA = r"[\p{IsHiragana}\p{IsKatakana}]"
 
@@ -150,7 +151,7 @@ def language_detector(profile: DataFrame, margin: int = 0) -> Callable[[Column],
         other = F.when(text.rlike(KANA), F.lit("ja"))
         for lang, script in SCRIPTS.items():
             other = other.when(F.regexp_count(text, F.lit(script)) * 2 > letters, F.lit(lang))
-        by_script = F.when(text.rlike(ANY_SCRIPT), other)
+        by_script = F.when(text.rlike(BEYOND_LATIN) & text.rlike(ANY_SCRIPT), other)
         by_grams = best_language(letters_of(text))
         no_letters = text.isNull() | ~text.rlike(r"\p{L}")
         return F.when(no_letters, F.lit("error")).otherwise(F.coalesce(by_script, by_grams))
