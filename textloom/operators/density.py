@@ -75,7 +75,9 @@ def into_places(df: DataFrame, dims: list[str], key: str, max_places: int = MAX_
         "places",
     )
     points = places.select("id", F.array(*[F.col(d).cast("double") for d in dims]).alias("p"), "w")
-    rows = df.select("*", *cells).join(places.select(*names, F.col("id").alias("place")), names).drop(*names)
+    # At most max_places rows of a few numbers, whatever the size of the table.
+    lookup = F.broadcast(places.select(*names, F.col("id").alias("place")))
+    rows = df.select("*", *cells).join(lookup, names).drop(*names)
     return Places(points, rows)
 
 
@@ -320,6 +322,11 @@ def cluster_places(
     return flat_clusters(points, edges, [(size, eps) for size, _, eps in settings])
 
 
+def label_rows(places: Places, labels: DataFrame) -> DataFrame:
+    """Rows with the label of their place; the labels are bounded like the places."""
+    return places.rows.join(F.broadcast(labels), "place").drop("place")
+
+
 def hdbscan(
     df: DataFrame,
     dims: list[str],
@@ -336,7 +343,7 @@ def hdbscan(
     leaves = into_leaves(places.points, max(leaf_rows, 4 * graph_neighbours(min_samples)))
     labels = cluster_places(leaves, [(min_cluster_size, min_samples, epsilon)])
     found = settle(labels.select(F.col("id").alias("place"), "clust_id"), "clusters")
-    return places.rows.join(found, "place").drop("place")
+    return label_rows(places, found)
 
 
 # One density.

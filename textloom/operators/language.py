@@ -14,14 +14,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import NON_LETTERS
 from ..sources.scratch import settle
+from .sample import top_k_per_group
 
 GRAMS_PER_LANGUAGE = 20_000
 WEIGHT_SCALE = 10_000
+CHARS_AT_ONCE = 4_000_000
 
 # Languages told by their script, with the Java names of the scripts.
 SCRIPTS = {
@@ -40,14 +42,31 @@ def letters_of(text: Column) -> Column:
     return F.concat(F.lit(" "), runs, F.lit(" "))
 
 
-def trigrams(letters: Column) -> Column:
-    """Array of all trigrams, read off in three passes that start one character apart."""
-    return F.concat(
-        *[
-            F.regexp_extract_all(F.substring(letters, i, 2**31 - 1), F.lit("..."), F.lit(0))
-            for i in (1, 2, 3)
-        ]
-    )
+def _gram_codes(chars: np.ndarray) -> np.ndarray:
+    """One number for each three characters in a row; a code point needs 21 bits."""
+    c = chars.astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts (lang, gram, n) of trigrams.
+
+    Texts are joined for counting.  Each has a space at both ends, so a gram that
+    crosses from one to the next has two spaces in a row, and no other gram has.
+    """
+    for batch in batches:
+        for lang, rows in batch.groupby("lang"):
+            chunk = (rows["letters"].str.len().cumsum() // CHARS_AT_ONCE).to_numpy()
+            for _, texts in rows["letters"].groupby(chunk):
+                chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+                space = chars == ord(" ")
+                twice = space[:-1] & space[1:]
+                codes, n = np.unique(_gram_codes(chars)[~(twice[:-1] | twice[1:])], return_counts=True)
+                parts = np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF], axis=1)
+                grams = parts.astype("<u4").tobytes().decode("utf-32-le")
+                yield pd.DataFrame(
+                    {"lang": lang, "gram": [grams[i : i + 3] for i in range(0, len(grams), 3)], "n": n}
+                )
 
 
 def language_profile(
@@ -60,19 +79,19 @@ def language_profile(
 
     The texts are read once; the counts are written, as they are used three times.
     The most frequent grams of each language form the vocabulary; every language
-    has a row for every gram of it.  Counting combines on the map side, so the
-    shuffle carries distinct grams and not positions of the text.
+    has a row for every gram of it.  Each batch is counted
+    where it is read, so the shuffle carries distinct grams and not positions.
     """
+    letters = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), letters_of(F.col(text_col)).alias("letters")
+    )
     counts = (
-        df.select(F.col(lang_col).alias("lang"), F.explode(trigrams(letters_of(F.col(text_col)))).alias("gram"))
-        .where("lang is not null")
+        letters.mapInPandas(_count_grams, "lang string, gram string, n bigint")
         .groupBy("lang", "gram")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = settle(
-        counts.withColumn("rank", F.row_number().over(by_count))
-        .where(F.col("rank") <= grams_per_language)
+        top_k_per_group(counts, ["lang"], [F.desc("n"), F.col("gram")], grams_per_language)
         .groupBy("gram")
         .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts")),
         "grams",
@@ -97,12 +116,6 @@ def language_profile(
     )
 
 
-def _gram_codes(chars: np.ndarray) -> np.ndarray:
-    """One number for each three characters in a row; a code point needs 21 bits."""
-    c = chars.astype(np.int64)
-    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-
-
 def language_detector(profile: DataFrame, margin: int = 0) -> Callable[[Column], Column]:
     """A function from a text column to its language code.
 

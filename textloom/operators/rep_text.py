@@ -104,8 +104,13 @@ def rep_text(
     if "num_tokens" not in df.columns:
         df = df.withColumn("num_tokens", X.token_count(F.col(text_col)))
     rows = filter_semdup(df) if sdedup else df
+    # Ranking needs sizes but no texts: they are written once, so the texts are
+    # tokenised once and the counts do not read them again.
+    present = F.when(F.col(text_col).isNotNull(), F.lit("")).alias(text_col)
+    strata = [sampling_col] if sampling_col else []
+    sizes = settle(rows.select(cluster, key, "num_tokens", *strata, present), "sizes")
     max_rows = token_limit(max_seq_len, content_len) // MIN_TOKENS
-    order = choose_rows(rows, max_rows, random, sampling_col, seed, cluster, key, text_col)
+    order = choose_rows(sizes, max_rows, random, sampling_col, seed, cluster, key, text_col)
     picks = settle(
         budget_prefix(order, max_seq_len, content_len, cluster).select(cluster, key, "rank"), "picks"
     )
@@ -118,7 +123,7 @@ def rep_text(
         .select(cluster, F.array_join(F.col("entries.text"), TEXT_SEPARATOR).alias("rep_text"))
     )
     return (
-        cluster_spine(rows, cluster)
+        cluster_spine(sizes, cluster)
         .join(texts, cluster, "left")
         .select(cluster, F.coalesce("rep_text", F.lit("")).alias("rep_text"), "n_rows")
     )

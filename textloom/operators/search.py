@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
 from .aggregate import cluster_stats
-from .density import MAX_PLACES, cluster_places, into_places
+from .density import MAX_PLACES, cluster_places, into_places, label_rows
 from .space import LEAF_ROWS, into_leaves
 
 # Fixed values of the search.
@@ -104,4 +104,4 @@ def cluster_search(
     )
     chosen = choose_trial(table, lower, prefer)
     best = labels[chosen.first().trial].select(F.col("id").alias("place"), "clust_id")
-    return Search(table, chosen, places.rows.join(best, "place").drop("place"))
+    return Search(table, chosen, label_rows(places, best))

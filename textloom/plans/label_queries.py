@@ -16,11 +16,10 @@ from ..sources.scratch import new_path
 from . import fixtures as fx
 from . import stages
 from .registry import query
-from .text_queries import CLUSTERED, NA_TO_NULL, strip_sql, tokens_sql
+from .text_queries import CLUSTERED, NA_TO_NULL, format_sql, strip_sql, tokens_sql
 
 MAX_SEQ_LEN = 7500
 CONTENT_LEN = 300
-LIMIT = MAX_SEQ_LEN // 2 - CONTENT_LEN
 SEED = sample.SEED
 
 
@@ -100,12 +99,12 @@ def sample_half(spark, sf):
     return sample.half_rows(clustered(spark, sf))
 
 
-def budget_sql(ranked: str) -> str:
+def budget_sql(ranked: str, content: int = CONTENT_LEN) -> str:
     """Rows of a ranked table (clust_id, doc_id, num_tokens, rank) within the budget."""
     return f"""select clust_id, doc_id, num_tokens, rank, running from (
         select *, (sum(num_tokens) over (partition by clust_id order by rank
           rows between unbounded preceding and current row))::bigint as running from ({ranked}))
-        where {CONTENT_LEN} + running < {LIMIT}"""
+        where {content} + running < {rep_text.token_limit(MAX_SEQ_LEN, content)}"""
 
 
 @query("budget_prefix", budget_sql(LONGEST_SQL))
@@ -114,11 +113,11 @@ def budget_prefix(spark, sf):
     return rep_text.budget_prefix(ranked, MAX_SEQ_LEN, CONTENT_LEN)
 
 
-def rep_sql(ranked: str) -> str:
+def rep_sql(ranked: str, content: int = CONTENT_LEN) -> str:
     return f"""select s.clust_id, coalesce(t.rep_text, '') as rep_text, s.n_rows
         from (select clust_id, count(*) as n_rows from ({CLUSTERED}) group by 1) s left join (
           select b.clust_id, string_agg(c.text, chr(10) order by b.rank) as rep_text
-          from ({budget_sql(ranked)}) b join ({CLUSTERED}) c using (doc_id) group by 1) t
+          from ({budget_sql(ranked, content)}) b join ({CLUSTERED}) c using (doc_id) group by 1) t
         using (clust_id)"""
 
 
@@ -328,7 +327,17 @@ def examine_labels(spark, sf):
 # Stage two: prompts by id, budget from the prompts' own tokens, both outputs.
 
 
-@query("stage_two", None)
+STAGE_CONTENT = stages.count_tokens(USER + SUFFIX) + stages.count_tokens(SYSTEM)
+STAGE_LABELS = stub_labels_sql(rep_sql(LONGEST_SQL, STAGE_CONTENT))
+
+
+@query(
+    "stage_two",
+    f"""select c.doc_id, c.clust_id, length({strip_sql('c.text')})::int as length,
+        ({tokens_sql('c.text')})::int as num_tokens, l.label as "CoVe_Q1", f.format_text
+        from ({CLUSTERED}) c join ({STAGE_LABELS}) l using (clust_id)
+        join ({format_sql('select doc_id, text from documents')}) f using (doc_id)""",
+)
 def stage_two(spark, sf):
     result = stages.stage_two(
         clustered(spark, sf),

@@ -221,8 +221,10 @@ def extract_label(spark, sf):
     return answers.select("conv_id", "turn", X.extract_label(F.col("answer")).alias("label"))
 
 
-FORMAT_SQL = f"""
-with words as (select doc_id, {words_of('text')} as w from ({POSTS})),
+def format_sql(table: str) -> str:
+    """The HTML wrap of each text of a table (doc_id, text) in which no text is blank."""
+    return f"""
+with words as (select doc_id, {words_of('text')} as w from ({table})),
 placed as (
   select doc_id, unnest(w) as word, unnest(range(0, len(w))) as i, ceil(len(w) / 20.0) as runs
   from words)
@@ -231,7 +233,7 @@ select doc_id, string_agg(case when i % 19 = 0 and i // 19 < runs then '<br /> '
 from placed group by doc_id"""
 
 
-@query("format_text", FORMAT_SQL)
+@query("format_text", format_sql(POSTS))
 def format_text(spark, sf):
     return label.add_format_text(posts(spark, sf)).select("doc_id", "format_text")
 
