@@ -11,9 +11,11 @@ vertex, so copies are never paired with each other.
    frequent is salted, so that no task holds all of its posting.
 3. Each posting links its members to one pivot of it (a star, linear in the posting).
    Pairs that pass the length, positional and suffix filters are verified on whole texts.
-4. Then only pairs across the components of step 3 are left to look at. All of them that
-   share a prefix shingle and pass the filters are verified, so that no link that would join
-   two components is lost. Pairs inside a component cannot change the result.
+4. Then only pairs across the components are left to look at, as pairs inside one cannot
+   change the result. While a posting has many of them, a few new pivots meet its members of
+   other components, which is again linear and joins most of what can be joined. In the end
+   all pairs across components that share a prefix shingle and pass the filters are verified,
+   so no link that would join two components is lost.
 
 Nulls, and texts without words: an empty set, linked with nothing, own component. A null
 doc_id keeps its row; the component is the smallest id that is not null. Rows that repeat a
@@ -38,7 +40,10 @@ SIMILARITY = 75
 SKETCH_BITS = 21
 SKETCH_BLOCK = 4 << 20  # shingles that are counted at a time for the sketch
 SALT_ROWS = 256
-SUFFIX_BINS = 128
+SUFFIX_BINS = 512
+PIVOTS = 8  # of a posting in each turn
+PIVOT_TURNS = 4  # at most
+PAIRS_PER_PLACE = 8  # left on average when all pairs across components are looked at
 BROADCAST_ROWS = 1 << 20  # at most so many 8-byte keys are broadcast
 
 
@@ -198,6 +203,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) ->
     return both.mapInArrow(links, "a long, b long")
 
 
+def _split_tokens(members: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of shingles that more than one component shares, and per shingle its size and pairs across."""
+    known = members.drop("component").join(whole.withColumnRenamed("node", "vertex"), "vertex", "left")
+    known = settle(known.withColumn("component", F.coalesce("component", "vertex")), "members")
+    each = known.groupBy("token", "component").agg(F.count("*").alias("m"))
+    sizes = each.groupBy("token").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("inner"), F.count("*").alias("parts"))
+    sizes = settle(sizes.where("parts > 1").withColumn("meetings", F.expr("(size * size - inner) / 2")), "sizes")
+    return known.join(sizes.select("token"), "token", "left_semi"), sizes
+
+
+def _chosen(vertex, size):
+    """Some PIVOTS members of a posting, mostly the same ones in postings of about the same members."""
+    return F.pmod(F.xxhash64(vertex), F.lit(1 << 20)) * size < PIVOTS << 20
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     texts = docs.select(
@@ -225,27 +245,37 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: int = SI
     stars = stars.union(upper.select(F.col("pivot.vertex").alias("a"), F.col("vertex").alias("b"))).distinct()
     stars = settle(_suffix_filter(stars, sets, similarity), "stars")
     first = settle(_verify(stars, texts, width, similarity), "links")
-    near = components(first)
-
-    members = shared.select("token", "vertex", "n", "pos").distinct().join(near.withColumnRenamed("node", "vertex"), "vertex", "left")
-    members = settle(members.withColumn("component", F.coalesce("component", "vertex")), "members")
-    split = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    members = members.join(split.select("token"), "token")
-    x, y = members.alias("x"), members.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.vertex") < F.col("y.vertex"))
-        & (F.col("x.component") != F.col("y.component"))
-        & _may_link(similarity, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")),
-    ).select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = across.distinct().join(tried, ["a", "b"], "left_anti")
-    rest = settle(_suffix_filter(rest, sets, similarity), "rest")
-    second = _verify(rest, texts, width, similarity)
-
-    whole = components(first.union(second)).withColumnRenamed("node", "vertex")
-    rows = sets.drop("bins").join(whole, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    links, tried = first, stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = shared.select("token", "vertex", "n", "pos").distinct()
+    turn, stuck = 0, False
+    while True:
+        whole = components(links)
+        members, sizes = _split_tokens(members, whole)
+        heavy = sizes.where(F.col("meetings") > PAIRS_PER_PLACE * F.col("size"))
+        last = stuck or turn == PIVOT_TURNS or heavy.isEmpty()
+        x, y = members.alias("x"), members.alias("y")
+        if not last:
+            x = members.join(heavy.select("token", "size"), "token")
+            x = x.where(_chosen(F.col("vertex").bitwiseXOR(F.lit(turn)), F.col("size"))).alias("x")
+        order = F.col("x.vertex") < F.col("y.vertex") if last else F.lit(True)
+        across = x.join(
+            y,
+            (F.col("x.token") == F.col("y.token"))
+            & order
+            & (F.col("x.component") != F.col("y.component"))
+            & _may_link(similarity, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")),
+        ).select(F.least("x.vertex", "y.vertex").alias("a"), F.greatest("x.vertex", "y.vertex").alias("b"))
+        fresh = settle(across.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+        rest = settle(_suffix_filter(fresh, sets, similarity), "rest")
+        found = settle(_verify(rest, texts, width, similarity), "links")
+        links = links.union(found)
+        if last:
+            whole = components(links)
+            break
+        stuck = found.isEmpty()
+        tried, turn = tried.union(fresh), turn + 1
+
+    rows = sets.drop("bins").join(whole.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     rows = settle(rows, "rows")
     lowest = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     return rows.join(lowest, "component", "left").select(
