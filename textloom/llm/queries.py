@@ -10,7 +10,9 @@ from textloom.llm.decontam import contamination
 from textloom.llm.jaccard import jaccard_components
 from textloom.llm.packing import pack
 from textloom.llm.ppm import score_texts
+from textloom.llm.quality import quality
 from textloom.llm.secret_scan import secret_digest
+from textloom.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,3 +64,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
