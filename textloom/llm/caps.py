@@ -25,9 +25,9 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ from textloom.llm.graph import components
 from textloom.sources.scratch import settle
 
 LEAST = 0.93
-DEVIATIONS = 2.4  # threshold of a cap, in standard deviations of a random product
+DEVIATIONS = 2.5  # threshold of a cap, in standard deviations of a random product
 BUCKET = 64  # wished points of a label in a bucket
 TILE = 1024
 SEED = 20240229
@@ -145,48 +145,76 @@ def _first_common(code: int, left: list[bytes], right: list[bytes], pairs: tuple
     return out
 
 
+def _meet(code: int, least: float, side: np.ndarray, point: np.ndarray, weight: np.ndarray, vector: list[bytes], codes: list[bytes]) -> list[tuple]:
+    """(point, links, root) of the links between two tiles of a bucket, or inside one."""
+    rows = np.frombuffer(b"".join(vector), np.float64).reshape(len(vector), -1)
+    same = side[0] == 2
+    ax, ay = (np.arange(len(side)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    links, roots = np.zeros(len(side), np.int64), {}
+
+    def root(p: int) -> int:
+        while roots.get(p, p) != p:
+            p = roots[p]
+        return p
+
+    for low in range(0, len(ax), 256):
+        close = rows[ax[low : low + 256]] @ rows[ay].T >= least
+        if same:
+            close &= np.arange(low, low + len(close))[:, None] < np.arange(len(ay))[None, :]
+        i, j = np.nonzero(close)
+        for at in range(0, len(i), 65536):
+            x, y = ax[i[at : at + 65536] + low], ay[j[at : at + 65536]]
+            first = _first_common(code, codes, codes, (x, y))
+            x, y = x[first], y[first]
+            links += np.bincount(x, weight[y], len(side)).astype(np.int64) + np.bincount(y, weight[x], len(side)).astype(np.int64)
+            for p, q in zip(point[x].tolist(), point[y].tolist()):
+                r, s = root(p), root(q)
+                if r != s:
+                    roots[max(r, s)] = min(r, s)
+    at = np.flatnonzero(links)
+    return [(p, n, root(p)) for p, n in zip(point[at].tolist(), links[at].tolist())]
+
+
 def _tile_links(least: float):
-    """Links between two tiles of a bucket: per point its count, and forest edges."""
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        code = int(group["code"].iat[0])
-        x, y = group[group["side"] != 1], group[group["side"] != 0]
-        same = (group["side"] == 2).all()
-        a = np.frombuffer(b"".join(x["vector"]), np.float64).reshape(len(x), -1)
-        b = np.frombuffer(b"".join(y["vector"]), np.float64).reshape(len(y), -1)
-        out: list[tuple[int, int, int]] = []
-        px, py = x["point"].to_numpy(), y["point"].to_numpy()
-        wx, wy = x["weight"].to_numpy(), y["weight"].to_numpy()
-        cx, cy = x["codes"].tolist(), y["codes"].tolist()
-        counts_x, counts_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        lowest = {int(p): int(p) for p in np.concatenate((px, py))}
-
-        def root(p: int) -> int:
-            while lowest[p] != p:
-                lowest[p] = lowest[lowest[p]]
-                p = lowest[p]
-            return p
-
-        for low in range(0, len(x), 256):
-            close = a[low : low + 256] @ b.T >= least
-            if same:
-                close &= np.arange(low, min(low + 256, len(x)))[:, None] < np.arange(len(y))[None, :]
-            i, j = np.nonzero(close)
-            for at in range(0, len(i), 65536):
-                ii, jj = i[at : at + 65536] + low, j[at : at + 65536]
-                first = _first_common(code, cx, cy, (ii, jj))
-                ii, jj = ii[first], jj[first]
-                counts_x += np.bincount(ii, wy[jj], len(x)).astype(np.int64)
-                counts_y += np.bincount(jj, wx[ii], len(y)).astype(np.int64)
-                for p, q in zip(px[ii].tolist(), py[jj].tolist()):
-                    r, s = root(p), root(q)
-                    if r != s:
-                        lowest[max(r, s)] = min(r, s)
-        for points, counts in ((px, counts_x), (py, counts_y)):
-            for p, n in zip(points.tolist(), counts.tolist()):
-                if n or lowest[p] != p:
-                    out.append((p, n, root(p)))
-        return pd.DataFrame(out, columns=["point", "links", "root"]).astype("int64")
+    """Tiles stream through in order of their key; one pair of tiles at most is held."""
+    keys = ("label_key", "dim", "code", "low", "high")
+    names = ("side", "point", "weight", "vector", "codes")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        out: list[tuple] = []
+
+        def close() -> None:
+            rows = pa.Table.from_batches(held)
+            if rows.num_rows > 1:
+                numbers = [rows.column(c).to_numpy() for c in names[:3]]
+                out.extend(_meet(rows.column("code")[0].as_py(), least, *numbers, *(rows.column(c).to_pylist() for c in names[3:])))
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, ["point", "links", "root"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                now = tuple(key[:, a].tolist())
+                if held and now != last:
+                    close()
+                held.append(batch.slice(a, b - a))
+                last = now
+            if out:
+                yield flush()
+        if held:
+            close()
+        if out:
+            yield flush()
 
     return meet
 
@@ -197,8 +225,6 @@ def link_vectors(vectors: DataFrame, least: float = LEAST, deviations: float = D
     grouped = rows.where("point is not null").groupBy("point", "label")
     points = settle(grouped.agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight")), "distinct")
     # A random direction is passed with probability 1 - Phi(deviations); so many points meet in it.
-    from statistics import NormalDist
-
     largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(11, int(np.ceil(np.log2(max(1.0, largest * (1 - NormalDist().cdf(deviations)) / bucket)))) + 11)
     passed = settle(_filtered(points, bits, deviations), "passed")
@@ -212,7 +238,10 @@ def link_vectors(vectors: DataFrame, least: float = LEAST, deviations: float = D
     met = met.select("*", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
     side = F.when(F.col("low") == F.col("high"), 2).when(F.col("tile") == F.col("low"), 0).otherwise(1)
     met = met.select(*key, "low", "high", side.alias("side"), "point", "weight", "vector", "codes")
-    linked = met.groupBy(*key, "low", "high").applyInPandas(_tile_links(least), "point long, links long, root long")
+    met = met.withColumn("label_key", F.xxhash64("label")).drop("label")
+    tile = ["label_key", "dim", "code", "low", "high"]
+    met = met.repartition(*tile).sortWithinPartitions(*tile)
+    linked = met.mapInArrow(_tile_links(least), "point long, links long, root long")
     linked = settle(linked, "linked")
 
     counts = linked.groupBy("point").agg(F.sum("links").alias("links"))

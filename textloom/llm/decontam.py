@@ -31,6 +31,10 @@ WIDTH = 13
 SHARE = 20
 PATTERN_BYTES = 4 << 20  # a node takes some 50 bytes
 
+# Names that no column of the input has: they end in a space.
+TEXT, FOUND = "text ", "found "
+RESULT = {"n_words ": "long", "n_hit ": "long", "n_items ": "long", "items_sha256 ": "string", "contaminated ": "boolean", "spans ": "string"}
+
 # Bytes that part words after lower-casing.
 PARTING = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 NORMAL = bytes(32 if b in PARTING else b for b in LOWER)
@@ -89,15 +93,15 @@ def _spans(text: bytes, flags: np.ndarray) -> str:
     return ",".join(f"{lead[words.starts[a]]}:{lead[words.ends[b - 1]]}" for a, b in zip(first, after))
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], width: int, share: int, last: bool) -> DataFrame:
-    """Add one part's hits to ``found``; the last part replaces the text by the result."""
+def _scan(docs: DataFrame, items: list[tuple[str, bytes]], keep: list[str], width: int, share: int, last: bool) -> DataFrame:
+    """Add one part's hits to FOUND; the last part puts the result in place of text and hits."""
     part = docs.sparkSession.sparkContext.broadcast(items)
     names = [i for i, _ in items]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build(part.value, width)
-        for batch, rows in text_blocks(batches):
-            earlier = batch.column("found").to_pylist()
+        for batch, rows in text_blocks(batches, TEXT):
+            earlier = batch.column(FOUND).to_pylist()
             out = []
             for text, before in zip(rows, earlier):
                 words = normal_words(text)
@@ -117,50 +121,58 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], width: int, share: in
                 for a, b in zip(*([before["first"], before["after"]] if before else [[], []])):
                     flags[a:b] = True
                 out.append((text, len(words), flags, items_found))
+            kept = [batch.column(c) for c in keep]
             if last:
-                yield _result(batch, out, share)
+                yield pa.RecordBatch.from_arrays([*kept, *_result(out, share)], [*keep, *RESULT])
             else:
                 runs = [_ranges(f) for _, _, f, _ in out]
                 state = [{"items": i, "first": a.tolist(), "after": b.tolist()} for (a, b), (_, _, _, i) in zip(runs, out)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("text"), pa.array(state, batch.schema.field("found").type)],
-                    ["doc_id", "text", "found"],
-                )
+                state = pa.array(state, batch.schema.field(FOUND).type)
+                yield pa.RecordBatch.from_arrays([*kept, batch.column(TEXT), state], [*keep, TEXT, FOUND])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if last:
-        return docs.mapInArrow(
-            scan,
-            f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string",
-        )
-    return settle(docs.mapInArrow(scan, docs.schema), "scanned")
+    if not last:
+        return settle(docs.mapInArrow(scan, docs.schema), "scanned")
+    schema = docs.select(keep).schema
+    for name, kind in RESULT.items():
+        schema = schema.add(name, kind)
+    return docs.mapInArrow(scan, schema)
 
 
-def _result(batch: pa.RecordBatch, out: list, share: int) -> pa.RecordBatch:
+def _result(out: list, share: int) -> list[pa.Array]:
     n = np.array([x[1] for x in out], np.int64)
     hit = np.array([int(x[2].sum()) for x in out], np.int64)
     named = [sorted(set(x[3])) for x in out]
-    return pa.RecordBatch.from_arrays(
-        [
-            batch.column("doc_id"),
-            pa.array(n),
-            pa.array(hit),
-            pa.array([len(x) for x in named], pa.int64()),
-            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]),
-            pa.array((hit > 0) & (share * hit >= n)),
-            pa.array([_spans(x[0], x[2]) if h else "" for x, h in zip(out, hit)]),
-        ],
-        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-    )
+    return [
+        pa.array(n),
+        pa.array(hit),
+        pa.array([len(x) for x in named], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]),
+        pa.array((hit > 0) & (share * hit >= n)),
+        pa.array([_spans(x[0], x[2]) if h else "" for x, h in zip(out, hit)]),
+    ]
+
+
+def _judged(docs: DataFrame, keep: list[str], benchmark: DataFrame, width: int, share: int, pattern_limit: int) -> DataFrame:
+    """``keep`` columns of ``docs`` and the result columns."""
+    found = F.lit(None).cast("struct<items:array<string>,first:array<bigint>,after:array<bigint>>")
+    rows = docs.select(*keep, F.col("text").cast("binary").alias(TEXT), found.alias(FOUND))
+    parts = [[(r["item"], bytes(r["text"])) for r in p.collect()] for p in item_parts(benchmark, width, pattern_limit)]
+    for items in parts[:-1]:
+        rows = _scan(rows, items, keep, width, share, last=False)
+    return _scan(rows, parts[-1] if parts else [], keep, width, share, last=True)
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, pattern_limit: int = PATTERN_BYTES
 ) -> DataFrame:
     """Per document: words, hit words, items found, whether contaminated, and spans of the hits."""
-    found = F.lit(None).cast("struct<items:array<string>,first:array<bigint>,after:array<bigint>>")
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"), found.alias("found"))
-    parts = [[(r["item"], bytes(r["text"])) for r in p.collect()] for p in item_parts(benchmark, width, pattern_limit)]
-    for items in parts[:-1]:
-        docs = _scan(docs, items, width, share, last=False)
-    return _scan(docs, parts[-1] if parts else [], width, share, last=True)
+    judged = _judged(docs, ["doc_id"], benchmark, width, share, pattern_limit)
+    return judged.toDF(*(c.strip() for c in judged.columns))
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, pattern_limit: int = PATTERN_BYTES
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns as they were."""
+    judged = _judged(docs, docs.columns, benchmark, width, share, pattern_limit)
+    return judged.where(~F.col("contaminated ")).select(*docs.columns)

@@ -218,10 +218,14 @@ def _chosen(vertex, size):
     return F.pmod(F.xxhash64(vertex), F.lit(1 << 20)) * size < PIVOTS << 20
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+def _vertex(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _rows(docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """(doc_id, vertex, n, component) for every row of ``docs``; the component is one of its vertices."""
     texts = docs.select(
-        "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.xxhash64("text").alias("vertex")
+        "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), _vertex().alias("vertex")
     )
     sketch = sketch_frequencies(texts.select("text"), width)
     sets = settle(_sets_table(texts, width), "sets")
@@ -276,8 +280,33 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: int = SI
         tried, turn = tried.union(fresh), turn + 1
 
     rows = sets.drop("bins").join(whole.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    rows = settle(rows, "rows")
+    return settle(rows, "rows")
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    rows = _rows(docs, width, similarity)
     lowest = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("lowest"))
     return rows.join(lowest, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one_of_each(docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each component, that with the smallest doc_id, and every row without words."""
+    rows = _rows(docs, width, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "vertex")).alias("first")
+    chosen = rows.where("n > 0").groupBy("component").agg(first).select("first.doc_id", "first.vertex")
+    wordless = rows.where("n = 0").select("doc_id", "vertex").distinct()
+    kept = settle(chosen.union(wordless).toDF("kept doc_id", "kept vertex"), "kept")
+    if kept.count() <= BROADCAST_ROWS:
+        kept = F.broadcast(kept)
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept doc_id")) & (_vertex() == F.col("kept vertex")), "left_semi")
+    again = rows.where("n > 0").groupBy("doc_id", "vertex").count().where("count > 1")
+    if again.isEmpty():
+        return out
+    # Whole rows repeat: of equal (doc_id, text) one row stays, other than rows without words.
+    again = again.select(F.col("doc_id").alias("again doc_id"), F.col("vertex").alias("again vertex"))
+    repeated = docs["doc_id"].eqNullSafe(F.col("again doc_id")) & (_vertex() == F.col("again vertex"))
+    once = out.join(again, repeated, "left_semi").withColumn("kept vertex", _vertex()).dropDuplicates(["doc_id", "kept vertex"])
+    return out.join(again, repeated, "left_anti").union(once.drop("kept vertex"))
