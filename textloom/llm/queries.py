@@ -44,14 +44,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op7_ngram_jaccard")
+JACCARD_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select distinct doc_id, hash(w[i + 1 : i + 5]) as g
+  from (select doc_id, w, unnest(range(greatest(1, len(w) - 4))) as i from words where len(w) > 0)),
+sizes as (select w.doc_id, count(s.doc_id) as n from words w left join sets s on s.doc_id = w.doc_id group by w.doc_id),
+links as (
+  select a, b
+  from (select x.doc_id as a, y.doc_id as b, count(*) as shared from sets x join sets y on x.g = y.g and x.doc_id <> y.doc_id group by all)
+  join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+  where 100 * shared >= 75 * (p.n + q.n - shared)),
+reach as (select doc_id as a, doc_id as b from sizes union select r.a, l.b from reach r join links l on l.a = r.b)
+select doc_id, n as n_shingles, (select min(b) from reach where a = doc_id) as component_id from sizes
+"""
+
+
+@query("op7_ngram_jaccard", JACCARD_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-@query("op9_decontamination")
+CONTAMINATION_SQL = r"""
+with texts as (
+  select 0 as kind, doc_id as id, coalesce(text, '') as text from documents
+  union all select 1, item_id, coalesce(text, '') from (select distinct item_id, text from benchmark)),
+words as (
+  select kind, id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from texts),
+windows as (
+  select id, w[i + 1 : i + least(13, len(w))] as g, least(13, len(w)) as n
+  from (select id, w, unnest(range(greatest(1, len(w) - 12))) as i from words where kind = 1 and len(w) > 0)),
+sizes as (select distinct n from windows),
+places as (
+  select id, i, n, w[i + 1 : i + n] as g
+  from (select id, w, n, unnest(range(len(w) - n + 1)) as i from words, sizes where kind = 0 and len(w) >= n)),
+found as (select p.id, p.i, p.n, q.id as item from places p join windows q on p.g = q.g),
+hits as (select id, count(distinct place) as n_hit from (select id, unnest(range(i, i + n)) as place from found) group by id),
+items as (
+  select id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+  from (select distinct id, cast(item as varchar) as item from found) group by id)
+select w.id as doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  coalesce(items_sha256, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from words w left join hits h on h.id = w.id left join items i on i.id = w.id
+where w.kind = 0
+"""
+
+
+@query("op9_decontamination", CONTAMINATION_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 @query("op10_ppm_scores")
