@@ -12,9 +12,10 @@ precision. Each pair counts only at its first common filter, so counts add up an
 is emitted: a bucket gives each vector's number of links, and a spanning forest of its
 links. Large buckets are cut into tiles of bounded size; all pairs of tiles meet.
 
-The number of directions follows the number of vectors, so that a bucket keeps its size while
-the table grows. The threshold fixes recall for a pair at the least similarity; closer pairs
-are found with more certainty. Copies of a vector under one label are one point with a
+A larger table gets smaller caps and so many more directions that a vector still passes as
+many, so a bucket keeps its size and recall stays. A cap is never narrower than the angle of
+a pair at the least similarity, which matters for short vectors. Closer pairs are found with
+more certainty. Copies of a vector under one label are one point with a
 weight, so they are all linked and never compared.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows without
@@ -25,7 +26,6 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,24 @@ from textloom.llm.graph import components
 from textloom.sources.scratch import settle
 
 LEAST = 0.93
-DEVIATIONS = 2.5  # threshold of a cap, in standard deviations of a random product
-BUCKET = 64  # wished points of a label in a bucket
+CHANCE = 0.006  # of a random vector to pass a filter, in small tables
+PASSED = 24  # filters that a vector passes on average
+BUCKET = 64  # points of the largest label in a bucket, in large tables
 TILE = 1024
 SEED = 20240229
 
 
+def cap(dimension: int, chance: float, least: float) -> tuple[float, int]:
+    """(threshold, bits): the inner product that a filter asks for, and the bits of a filter's number."""
+    if dimension == 1:
+        return 0.5, 6
+    angles = np.linspace(0, np.pi, 100_001)
+    mass = np.cumsum(np.sin(angles) ** (dimension - 2))
+    mass /= mass[-1]
+    angle = max(angles[np.searchsorted(mass, chance)], np.arccos(least))
+    return float(np.cos(angle)), int(np.ceil(np.log2(PASSED / np.interp(angle, angles, mass))))
+
+
 class Code:
     """Random product code for vectors of one dimension."""
 
@@ -84,11 +96,11 @@ def _points(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("point", F.when(F.col("embedding").isNotNull(), F.xxhash64("label", "embedding")))
 
 
-def _filtered(points: DataFrame, bits: int, deviations: float) -> DataFrame:
+def _filtered(points: DataFrame, chance: float, least: float) -> DataFrame:
     """(label, dim, code, point, weight, vector, codes) for each passing direction."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, Code] = {}
+        books: dict[int, tuple[Code, float]] = {}
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -100,9 +112,10 @@ def _filtered(points: DataFrame, bits: int, deviations: float) -> DataFrame:
                     x = np.array([raw[i] for i in at], np.float64)
                     x /= np.abs(x).max(1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    code = books.setdefault(size, None) or Code(size, bits)
-                    books[size] = code
-                    lists = code.passing(x, deviations / np.sqrt(size))
+                    if size not in books:
+                        threshold, bits = cap(size, chance, least)
+                        books[size] = Code(size, bits), threshold
+                    lists = books[size][0].passing(x, books[size][1])
                     counts = np.array([len(c) for c in lists])
                     rows = np.repeat(np.arange(len(at)), counts)
                     if not len(rows):
@@ -219,15 +232,13 @@ def _tile_links(least: float):
     return meet
 
 
-def link_vectors(vectors: DataFrame, least: float = LEAST, deviations: float = DEVIATIONS, bucket: int = BUCKET) -> DataFrame:
+def link_vectors(vectors: DataFrame, least: float = LEAST, chance: float = CHANCE, bucket: int = BUCKET) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding, label)."""
     rows = settle(_points(vectors), "points")
     grouped = rows.where("point is not null").groupBy("point", "label")
     points = settle(grouped.agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight")), "distinct")
-    # A random direction is passed with probability 1 - Phi(deviations); so many points meet in it.
-    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits = max(11, int(np.ceil(np.log2(max(1.0, largest * (1 - NormalDist().cdf(deviations)) / bucket)))) + 11)
-    passed = settle(_filtered(points, bits, deviations), "passed")
+    largest = points.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    passed = settle(_filtered(points, min(chance, bucket / largest), least), "passed")
 
     key = ["label", "dim", "code"]
     sizes = passed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")

@@ -7,7 +7,7 @@
 2. Spark sums the votes per host and path, before and after the shuffle, and each host's
    winner is the path with most pages.
 3. Every page is read again and gives the text below its host's path. A page without
-   that path, or with most of its text elsewhere, gives the text of its own best container.
+   that path, or with little of its text there, gives the text of its own best container.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by line feeds in page order. Null or empty html gives an empty text. A null url is a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from textloom.sources.scratch import settle
 
 HOLD = 0.9  # share of the text that the best container must hold
-AGREE = 0.5  # share of the page's best text that the host's path must give
+AGREE = 0.3  # share of the page's best text that the host's path must give
 BROADCAST_HOSTS = 100_000
 
 TOKEN = re.compile(
