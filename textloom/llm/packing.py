@@ -17,6 +17,7 @@ packed each; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,16 +32,24 @@ from textloom.llm.arrays import text_blocks
 from textloom.sources.scratch import settle
 
 ROOM = 2048
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+CACHE_RUNS = 800_000
 GROUP = 2_000
 PARTING_TOKEN = "<|startoftext|>"
 
+# How the tokenizer cuts a lower-case word, and words for which these classes are the whole truth.
+COMMON_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 
 class WordTokens:
-    """Token ids of texts as bytes, by a cache of words between ASCII white space.
+    """Token ids of texts as bytes, by caches of words and of their parts.
 
-    The tokenizer drops white space, so the ids of a text are those of its words in a row.
-    New words are tokenized many at a time, with a special token between them.
+    The tokenizer drops white space, so the ids of a text are those of its words in a row. It
+    lower-cases words and cuts them into runs of letters, digits and signs, and the last token
+    of each run has a word end. For words of ASCII and common Latin letters the runs are found
+    here, so that each run is tokenized once, whatever case and signs it comes with. Other words
+    are tokenized whole, many at a time, with a special token between them.
     """
 
     def __init__(self, path: str):
@@ -48,24 +57,57 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parting = self.tokenizer.token_to_id(PARTING_TOKEN)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
+    def _cut(self, into: dict, keys: list, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        for k, a, b in zip(keys, (starts * 4).tolist(), (ends * 4).tolist()):
+            into[k] = raw[a:b]
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), GROUP):
+            group = runs[i : i + GROUP]
+            ids = self._ids(" ".join(group))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(group):
+                self._cut(self.runs, group, ids, np.append(0, ends[:-1]), ends)
+            else:
+                self.runs.update((r, self._ids(r).tobytes()) for r in group)
+
+    def _learn_whole(self, words: list[bytes]) -> None:
         for w in words:
             if b"<|" in w:
                 self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+        plain = [w for w in words if b"<|" not in w]
         for i in range(0, len(plain), GROUP):
             group = plain[i : i + GROUP]
             ids = self._ids(f" {PARTING_TOKEN} ".join(w.decode("utf-8", "replace") for w in group))
             cuts = np.flatnonzero(ids == self.parting)
-            raw = ids.tobytes()
-            starts, ends = [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), len(raw)]
-            for w, a, b in zip(group, starts, ends):
-                self.known[w] = raw[a:b]
+            self._cut(self.known, group, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        whole, cut = [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if COMMON_WORD.fullmatch(text) and "<|" not in text:
+                cut.append((w, RUN.findall(text.lower())))
+            else:
+                whole.append(w)
+        self._learn_whole(whole)
+        if len(self.runs) > CACHE_RUNS:
+            self.runs.clear()
+        missing = {r for _, runs in cut for r in runs}.difference(self.runs)
+        self._learn_runs(list(missing))
+        get = self.runs.__getitem__
+        for w, runs in cut:
+            self.known[w] = get(runs[0]) if len(runs) == 1 else b"".join(map(get, runs))
 
     def texts(self, rows: list[bytes]) -> list[bytes]:
         words = [r.split() for r in rows]
@@ -81,8 +123,13 @@ class WordTokens:
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank): rank among the task's pieces of that length."""
 
+    # A Python worker keeps a broadcast's value between its tasks, and so the caches, which have a bound.
+    process = docs.sparkSession.sparkContext.broadcast({})
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part = WordTokens(tokenizer), TaskContext.get().partitionId()
+        if "tokens" not in process.value:
+            process.value["tokens"] = WordTokens(tokenizer)
+        tokens, part = process.value["tokens"], TaskContext.get().partitionId()
         met = np.zeros(room + 1, np.int64)
         for batch, rows in text_blocks(batches):
             of, piece, start, length, crc, rank = [], [], [], [], [], []
