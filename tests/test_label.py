@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import prompts
-from textloom.functions.models import length_critic, top_words_labeller
+from textloom.functions.models import length_critic, letter_pair_tokenizer, top_words_labeller
 from textloom.operators import label, review
 from textloom.plans import stages
+from textloom.sources import sinks
+from textloom.sources.posts import read_table
 
 
 @pytest.fixture(scope="module")
@@ -45,10 +47,11 @@ def test_prompts_come_from_the_table(spark, rows):
     table = prompts.prompt_table(spark).withColumn(
         "content", F.when(F.col("kind") == "user", F.concat(F.lit("Hi. "), "content")).otherwise(F.col("content"))
     )
-    assert label.lookup_prompt(table, "user", 1)[0].startswith("Hi. ")
+    [[user]] = label.lookup_prompts(table, [("user", 1)])
+    assert user.startswith("Hi. ")
     with pytest.raises(ValueError):
         stages.stage_two(rows, counting_labeller, user_id=7, prompt_table=table)
-    assert [len(label.lookup_prompt(table, "question", i)) for i in (0, 1)] == [5, 4]
+    assert [len(c) for c in label.lookup_prompts(table, [("question", 0), ("question", 1)])] == [5, 4]
 
 
 def test_a_failing_model_fails_the_job(rows):
@@ -78,18 +81,46 @@ def test_review(spark, rows):
     one, two = labels(spark, "CoVe_Q1", [-1, 0]), labels(spark, "CoVe_Q2", [-1, 0])
     [row] = review.review_table(noisy, one, two).collect()
     assert (row.Cluster, row["Rep Text"], row.CoVe_Q1_Label, row.CoVe_Q2_Label) == (0, "text 0", "CoVe_Q10", "CoVe_Q20")
-    assert len(row["Random Text"].split(" **** ")) == 8
+    assert row["Random Texts"] == 8
     assert review.review_table(noisy, one, two, skip="first").count() == 1
     with pytest.raises(ValueError):
         review.review_table(noisy, one, labels(spark, "CoVe_Q2", [-1]))
 
 
-def test_random_text_in_parts_is_the_whole(rows):
-    whole = {r.clust_id: r.random_text for r in review.random_text(rows).collect()}
-    parts = review.random_text(rows, part_rows=3).orderBy("Part").collect()
-    assert len(parts) > len(whole)
-    for c, text in whole.items():
-        assert " **** ".join(r.random_text for r in parts if r.clust_id == c) == text
+def test_review_of_a_big_cluster_is_one_row(spark, tmp_path):
+    big = spark.range(2501).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(0).alias("clust_id"))
+    one, two = labels(spark, "CoVe_Q1", [0]), labels(spark, "CoVe_Q2", [0])
+    table = review.review_table(big, one, two)
+    path = str(tmp_path / "review.csv")
+    sinks.write_table(table, path)
+    [row] = read_table(spark, path, table.schema, missing=()).collect()
+    assert row["Random Texts"] == review.random_text(big).count()
+    ranks = [r["rank"] for r in review.random_text(big).collect()]
+    assert sorted(ranks) == list(range(1, len(ranks) + 1))
+
+
+def test_texts_survive_the_writers(spark, tmp_path):
+    texts = [(1, None), (2, ""), (3, "NA"), (4, "null"), (5, 'a "b"\nc,'), (6, " x ")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for name in ("t.csv", "t.parquet"):
+        path = str(tmp_path / name)
+        sinks.write_table(df, path)
+        assert sorted(tuple(r) for r in read_table(spark, path, df.schema, missing=()).collect()) == texts
+    kept = read_table(spark, str(tmp_path / "t.parquet"))
+    assert sorted(tuple(r) for r in kept.collect()) == texts
+
+
+def test_calls_are_batched_and_get_options(spark, rows):
+    def model():
+        return lambda dialogs, limit: [f'Label: "{len(dialogs)} {limit}"' for _ in dialogs]
+
+    got = stages.stage_two(rows, model, max_seq_len=4000, batch_size=1, options={"limit": 9}).labels.collect()
+    assert {r.Label for r in got} == {"1 9"}
+
+
+def test_stage_two_with_a_tokenizer(rows):
+    got = stages.stage_two(rows, counting_labeller, max_seq_len=9000, tokenizer=letter_pair_tokenizer).rows.collect()
+    assert all(r.num_tokens == (len(r.text) + 1) // 2 for r in got)
 
 
 def test_critique(spark):

@@ -1,8 +1,9 @@
 """Pluggable model functions, and offline stand-ins that need no model files.
 
-A labeller maps a list of dialogues to a list of answers.  An encoder maps a list
-of texts to one vector each.  Both are made by a factory that runs once on each
-worker, so weights load there and not on the driver.
+A labeller maps a list of dialogues (and keyword options) to a list of answers.  An
+encoder maps a list of texts to one vector each, a tokenizer to one token count each.
+All are made by a factory that runs once on each worker, so weights load there and
+not on the driver.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import numpy as np
 import regex
 
 Dialog = Sequence[dict]
-Labeller = Callable[[list[Dialog]], list[str]]
+Labeller = Callable[..., list[str]]
 LabellerFactory = Callable[[], Labeller]
 Encoder = Callable[[list[str]], np.ndarray]
 EncoderFactory = Callable[[], Encoder]
+TokenizerFactory = Callable[[], Callable[[list[str]], list[int]]]
 
 STUB_WORDS = 5
 STUB_MIN_LETTERS = 4
@@ -43,6 +45,11 @@ def top_words_labeller(prompt: str, suffix: str) -> LabellerFactory:
     return factory
 
 
+def letter_pair_tokenizer() -> Callable[[list[str]], list[int]]:
+    """A stand-in tokenizer: two characters make a token."""
+    return lambda texts: [(len(t) + 1) // 2 for t in texts]
+
+
 def length_critic() -> Labeller:
     """A stand-in critic that reports the sizes of the text and of the label."""
     return lambda dialogs: [

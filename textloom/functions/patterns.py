@@ -45,4 +45,3 @@ LINE_BREAK = "<br />"
 WORDS_PER_BREAK = 20
 
 TEXT_SEPARATOR = "\n"
-SAMPLE_SEPARATOR = " **** "

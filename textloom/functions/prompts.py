@@ -1,4 +1,10 @@
-"""The prompt catalogue: one system prompt, two user prompts, two question chains."""
+"""A small built-in prompt catalogue.
+
+The usual way in is the caller's own prompt table (``prompt_table`` of ``stage_two``, with the
+columns kind, id, step, content). These defaults make every flow run: an opening for the model,
+two ways to present the lines, two chains that end in a request for the label, and points
+for a critique.
+"""
 
 from __future__ import annotations
 
@@ -9,48 +15,37 @@ from ..schemas import PROMPTS
 ANSWER_FORMAT = 'Label: "..."'
 
 SYSTEM_PROMPTS = (
-    "You annotate data. You are shown texts that stand for one cluster and you name that "
-    "cluster with one label. A good label is informative, concise, general enough for all of "
-    "the texts, shorter than ten words, and true to what the texts say.\n"
-    f"Answer with the label alone, in this form:\n\n{ANSWER_FORMAT}",
+    "Act as an archivist who files groups of short posts. Each group gets a folder name that a "
+    f"stranger would understand without opening the folder. Reply only with {ANSWER_FORMAT}",
 )
 
 USER_PROMPTS = (
-    "The texts below were grouped because they share themes, meaning and mood. Each line is "
-    "one text. Read them, find the themes and subjects they share, judge their mood and the "
-    "story they tell, and from that write one short, descriptive label.\n\nTexts:\n",
-    "The texts below stand for one cluster; each line is a part of it. Find the three main "
-    "topics, the three main points of view, and the five most important names or things. "
-    "From these write one short label.\n\nTexts:\n",
+    "Name the folder for these posts, one per line:\n",
+    "Here are excerpts from one folder, one per line. Ignore spelling and tone; go by what is "
+    "being talked about, and name the folder.\n\nExcerpts:\n",
 )
 
 QUESTION_CHAINS = (
     (
-        "Does the label tell a reader what the texts are about?",
-        "Does the label name the themes and topics that the texts share?",
-        "Does the label reflect the stories that the texts tell?",
-        "Which part of the label works well, and which part could be better?",
-        "Use your answers to write one better label of at most 15 words.\n"
-        f"Answer in this form:\n{ANSWER_FORMAT}",
+        "Would that name also fit a folder of unrelated posts? Say why or why not.",
+        "Quote two lines that the name covers and one line that it covers least.",
+        "Which single word in the name carries the least information?",
+        "Propose two other names, one broader and one narrower.",
+        f"Decide on one name, no longer than a headline, and write {ANSWER_FORMAT}",
     ),
     (
-        "Which themes, messages and topics do the texts mostly discuss? Be brief.",
-        "Which stories do the texts mostly tell? Be brief.",
-        "Which ten keywords or names matter most in the texts? Be brief.",
-        "Use your answers to write one better label. It reflects the themes and stories, uses "
-        "keywords of the texts, stays factual, and has at most 15 words.\n"
-        f"Answer in this form:\n{ANSWER_FORMAT}",
+        "List the nouns that come up in several lines.",
+        "What happened, or what do the writers want? One sentence.",
+        "Who or what is mentioned by name?",
+        f"Turn these notes into one name, no longer than a headline, and write {ANSWER_FORMAT}",
     ),
 )
 
-SUFFIX = f"\n\nAnswer with the label alone, in this form:\n{ANSWER_FORMAT}"
+SUFFIX = f"\n\nEnd your reply with {ANSWER_FORMAT}"
 
 CRITERIA = (
-    "Judge the label by these criteria:\n"
-    "1. Does it catch the topics, messages and themes that recur?\n"
-    "2. Does it catch the main points of view and stories?\n"
-    "3. Does it catch the core of the text?\n"
-    "Be brief, and say what is done well and what could be added."
+    "Grade the folder name from 1 (misleading) to 5 (could not be better). Give one line of the "
+    "posts as evidence, and one change that would raise the grade."
 )
 
 

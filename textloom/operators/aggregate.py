@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import LETTERS_ONLY, SPACES
+from ..functions.patterns import LETTERS_ONLY, NON_SPACES, SPACES
 from .sample import top_k_per_group
 
 
@@ -59,6 +59,13 @@ def word_counts(
     )
 
 
+def ordered_words(df: DataFrame, stopwords: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+    """The word list of each text, as (key, pos, word): lower-cased words of letters, in text order, without stopwords."""
+    found = F.regexp_extract_all(text_col, F.lit(NON_SPACES), F.lit(0))
+    words = df.select(key, F.posexplode(found).alias("pos", "word")).where(F.col("word").rlike(LETTERS_ONLY))
+    return words.join(stopwords, "word", "left_anti").select(key, "pos", F.lower("word").alias("word"))
+
+
 def top_words(
     df: DataFrame, stopwords: DataFrame, k: int = 10, cluster: str = "clust_id", text_col: str = "text"
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.models import EncoderFactory
 from ..functions.patterns import WORD
+from ..functions.text import parse_vector
 
 HASH_DIGITS = 2
 
@@ -56,3 +57,8 @@ def embed_hashed(
         .withColumn(out, vector_to_array("_unit", "float32"))
         .drop("_places", "_tf", "_tfidf", "_unit")
     )
+
+
+def stored_vectors(df: DataFrame, column: str = "embeddings", out: str = "embeddings") -> DataFrame:
+    """Vectors that a table has as text such as ``"[0.1, 0.2]"``; rows without one are left out."""
+    return df.withColumn(out, parse_vector(F.col(column))).where(F.col(out).isNotNull())

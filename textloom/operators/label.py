@@ -33,13 +33,17 @@ def answer_dialogs(
     questions: Sequence[str] = (),
     dialog_col: str = "dialog",
     answer_col: str = "answer",
+    batch_size: int = 32,
+    options: dict | None = None,
 ) -> DataFrame:
     """Adds the model's last answer, and every answer to the dialogue.
 
-    Each question is asked after the answer before it.  One call covers all
-    dialogues of a batch; a failing call fails the task.  Dialogues are spread
+    Each question is asked after the answer before it.  One call covers at most
+    ``batch_size`` dialogues and passes ``options`` (such as a length limit or a
+    temperature) on to the model; a failing call fails the task.  Dialogues are spread
     over all cores first, because after an aggregate they sit in few partitions.
     """
+    options = dict(options or {})
     questions = list(questions)
     others = [c for c in df.columns if c != dialog_col]
     schema = T.StructType(
@@ -56,7 +60,8 @@ def answer_dialogs(
                 if question is not None:
                     for d in dialogs:
                         d.append({"role": "user", "content": question})
-                answers = model(dialogs) if dialogs else []
+                parts = [dialogs[i : i + batch_size] for i in range(0, len(dialogs), batch_size)]
+                answers = [a for part in parts for a in model(part, **options)]
                 for d, a in zip(dialogs, answers, strict=True):
                     d.append({"role": "assistant", "content": a})
             out = batch[others].copy()
@@ -96,17 +101,18 @@ def add_format_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("format_text", X.html_wrap(F.col(text_col)))
 
 
-def lookup_prompt(prompts: DataFrame, kind: str, prompt_id: int) -> list[str]:
-    """The steps of one entry of the prompt table, in order."""
-    rows = (
-        prompts.where((F.col("kind") == kind) & (F.col("id") == prompt_id))
-        .orderBy("step")
-        .select("content")
-        .collect()  # a handful of catalogue rows
-    )
-    if not rows:
-        raise ValueError(f"the prompt table has no {kind} prompt {prompt_id}")
-    return [r.content for r in rows]
+def lookup_prompts(prompts: DataFrame, wanted: Sequence[tuple[str, int]]) -> list[list[str]]:
+    """The steps, in order, of entries (kind, id) of the prompt table; read once for all."""
+    match = F.lit(False)
+    for kind, prompt_id in wanted:
+        match |= (F.col("kind") == kind) & (F.col("id") == prompt_id)
+    found: dict[tuple[str, int], list[tuple[int, str]]] = {}
+    for r in prompts.where(match).select("kind", "id", "step", "content").collect():  # a handful of catalogue rows
+        found.setdefault((r.kind, r.id), []).append((r.step, r.content))
+    for kind, prompt_id in wanted:
+        if (kind, prompt_id) not in found:
+            raise ValueError(f"the prompt table has no {kind} prompt {prompt_id}")
+    return [[content for _, content in sorted(found[w])] for w in wanted]
 
 
 def critique_dialogs(
@@ -126,9 +132,14 @@ def critique_dialogs(
 
 
 def examine_labels(
-    labels: DataFrame, label_col: str, critic: LabellerFactory, criteria: str, text_col: str = "Text"
+    labels: DataFrame,
+    label_col: str,
+    critic: LabellerFactory,
+    criteria: str,
+    text_col: str = "Text",
+    batch_size: int = 32,
+    options: dict | None = None,
 ) -> DataFrame:
     """Critique table (Cluster, dialog, critique)."""
-    return answer_dialogs(
-        critique_dialogs(labels, label_col, criteria, text_col), critic, answer_col="critique"
-    )
+    dialogs = critique_dialogs(labels, label_col, criteria, text_col)
+    return answer_dialogs(dialogs, critic, answer_col="critique", batch_size=batch_size, options=options)

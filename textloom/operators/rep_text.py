@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.models import TokenizerFactory
 from ..functions.patterns import TEXT_SEPARATOR
 from ..sources.scratch import settle
 from .sample import SEED, has_several, hash_order, stratified_rows, top_k_per_group
@@ -14,10 +18,25 @@ HEAD_ROWS = 40
 MIN_TOKENS = 2  # the begin and the end mark
 
 
-def add_token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``length`` (characters of the stripped text) and ``num_tokens``."""
+def add_token_counts(df: DataFrame, text_col: str = "text", tokenizer: TokenizerFactory | None = None) -> DataFrame:
+    """Adds ``length`` (characters of the stripped text) and ``num_tokens``.
+
+    A tokenizer factory runs once in each task and counts the tokens of a list of texts;
+    without one, words and signs are counted in the JVM.  A missing text counts as ``nan``.
+    """
     text = F.col(text_col)
-    return df.withColumn("length", X.char_length(text)).withColumn("num_tokens", X.token_count(text))
+    if tokenizer is None:
+        count = X.token_count(text)
+    else:
+
+        @F.pandas_udf("int")
+        def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            count_all = tokenizer()
+            for texts in batches:
+                yield pd.Series(count_all(texts.tolist()), index=texts.index, dtype="int32")
+
+        count = counted(F.coalesce(text, F.lit("nan")))
+    return df.withColumn("length", X.char_length(text)).withColumn("num_tokens", count)
 
 
 def filter_semdup(df: DataFrame) -> DataFrame:

@@ -5,38 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import SAMPLE_SEPARATOR
 from ..sources.scratch import settle
 from .sample import SEED, half_rows
 
-PART_ROWS = 1000
-
 
 def random_text(
-    df: DataFrame,
-    seed: int = SEED,
-    cluster: str = "clust_id",
-    key: str = "doc_id",
-    text_col: str = "text",
-    part_rows: int = PART_ROWS,
+    df: DataFrame, seed: int = SEED, cluster: str = "clust_id", key: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The texts of a random half of each cluster, joined, as (cluster, Part, random_text).
+    """The texts of a random half of each cluster, as (cluster, rank, text).
 
-    A big cluster fills several parts of ``part_rows`` rows, so that no task and
-    no cell holds a whole cluster; joining the parts in order gives the whole.
+    One row for each text, so a cluster of any size stays spread over tasks; read in
+    rank order, a cluster's rows are its sample in a random order.
     """
-    picks = half_rows(df, seed, cluster, key).select(
-        key, F.floor((F.col("rank") - 1) / part_rows).cast("int").alias("Part"), "rank"
-    )
-    entry = F.struct("rank", F.col(text_col).alias("text"))
-    return (
-        df.where(F.col(text_col).isNotNull())
-        .select(cluster, key, text_col)
-        .join(picks, key)
-        .groupBy(cluster, "Part")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .select(cluster, "Part", F.array_join("entries.text", SAMPLE_SEPARATOR).alias("random_text"))
-    )
+    picks = half_rows(df, seed, cluster, key).select(key, "rank")
+    texts = df.where(F.col(text_col).isNotNull()).select(cluster, key, F.col(text_col).alias("text"))
+    return texts.join(picks, key).select(cluster, "rank", "text")
 
 
 def first_labels(labels: DataFrame, cols: dict[str, str]) -> DataFrame:
@@ -56,9 +39,10 @@ def review_table(
     skip: str | int = -1,
     text_col: str = "text",
     key: str = "doc_id",
-    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Clusters with representative text, random text and both labels; noise is left out.
+    """One row for each cluster: representative text, number of random texts, both labels.
+
+    The random texts themselves are the rows of ``random_text``.  Noise is left out.
 
     ``skip`` is the id of the cluster to leave out, or ``"first"`` for the lowest
     id of the first label table.  A cluster without a second label is an error.
@@ -71,17 +55,12 @@ def review_table(
     lost = wanted.join(two, "Cluster", "left_anti").limit(1).count()
     if lost:
         raise ValueError("the second label table lacks a cluster of the first")
-    texts = random_text(clustered, seed, key=key, text_col=text_col, part_rows=part_rows)
-    sample = texts.withColumnRenamed("clust_id", "Cluster")
+    has_text = clustered.where(F.col(text_col).isNotNull())
+    drawn = half_rows(has_text, seed, "clust_id", key).groupBy("clust_id").agg(F.count("*").alias("drawn"))
     return (
         wanted.join(two, "Cluster")
-        .join(sample, "Cluster", "left")
+        .join(drawn.withColumnRenamed("clust_id", "Cluster"), "Cluster", "left")
         .select(
-            "Cluster",
-            F.coalesce("Part", F.lit(0)).alias("Part"),
-            "Rep Text",
-            F.coalesce("random_text", F.lit("")).alias("Random Text"),
-            "CoVe_Q1_Label",
-            "CoVe_Q2_Label",
+            "Cluster", "Rep Text", F.coalesce("drawn", F.lit(0)).alias("Random Texts"), "CoVe_Q1_Label", "CoVe_Q2_Label"
         )
     )

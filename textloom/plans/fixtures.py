@@ -18,7 +18,9 @@ select d.doc_id, d.lang, d.source, concat(
   case when d.doc_id % 5 = 0 and d.doc_id % 97 <> 0 and d.doc_id % 89 <> 0
        then concat(' see ', p.url, ' ok') else '' end,
   case when d.doc_id % 7 = 0 and d.doc_id % 97 <> 0 then ' ☃ 😀' else '' end) as text
-from {documents} d left join {pages} p on p.page_id = d.doc_id % 50
+from (select doc_id, lang, source, text, doc_id % (select count(*) from {pages}) as page_id
+      from {documents}) d
+left join {pages} p on p.page_id = d.page_id
 """
 
 # Posts as they may come from a file, with strings that stand for a missing text.

@@ -12,11 +12,11 @@ from ..operators import aggregate, label, rep_text, review, sample
 from ..schemas import labels as labels_schema
 from ..sources import posts as src
 from ..sources import sinks
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, settle
 from . import fixtures as fx
 from . import stages
 from .registry import query
-from .text_queries import CLUSTERED, NA_TO_NULL, format_sql, strip_sql, tokens_sql
+from .text_queries import CLUSTERED, format_sql, strip_sql, tokens_sql
 
 MAX_SEQ_LEN = 7500
 CONTENT_LEN = 300
@@ -238,8 +238,7 @@ def label_table(spark, sf):
 def write_labels(spark, sf):
     path = new_path(spark, "labels") + ".csv"
     sinks.write_table(labels(spark, sf), path)
-    table = src.read_table(spark, path, labels_schema("Label"))
-    return table.na.fill("", ["Text", "Label"])
+    return src.read_table(spark, path, labels_schema("Label"), missing=())
 
 
 @query(
@@ -252,11 +251,9 @@ def attach_labels(spark, sf):
     return rows.select("doc_id", "clust_id", "Label")
 
 
-# Reading a version back takes blank strings as missing, like any read.
 @query(
     "enrich_twice",
-    f"""select c.doc_id, c.clust_id, {NA_TO_NULL} as text, nullif(l.label, '') as "CoVe_Q1",
-        nullif(l.label, '') as "CoVe_Q2"
+    f"""select c.doc_id, c.clust_id, c.text, l.label as "CoVe_Q1", l.label as "CoVe_Q2"
         from ({CLUSTERED}) c left join ({LABELS_SQL}) l on l.clust_id = c.clust_id""",
 )
 def enrich_twice(spark, sf):
@@ -271,32 +268,34 @@ def enrich_twice(spark, sf):
 
 # Review and critique.
 
-# Parts hold 1000 rows, which no cluster of the small tables reaches.
-PARTS_SQL = f"""select h.clust_id, ((h.rank - 1) // {review.PART_ROWS})::int as "Part",
-    string_agg(c.text, ' **** ' order by h.rank) as random_text
-    from ({HALF_SQL}) h join ({CLUSTERED}) c using (doc_id) group by 1, 2"""
+RANDOM_SQL = f"select h.clust_id, h.rank, c.text from ({HALF_SQL}) h join ({CLUSTERED}) c using (doc_id)"
 
 
-@query("random_text", PARTS_SQL)
+@query("random_text", RANDOM_SQL)
 def random_text(spark, sf):
     return review.random_text(clustered(spark, sf))
 
 
 @query(
     "review_table",
-    f"""select l."Cluster", t."Part", l."Text" as "Rep Text", t.random_text as "Random Text",
+    f"""select l."Cluster", l."Text" as "Rep Text", t.n as "Random Texts",
         l."Label" as "CoVe_Q1_Label", l."Label" as "CoVe_Q2_Label"
-        from ({TABLE_SQL}) l join ({PARTS_SQL}) t on t.clust_id = l."Cluster" where l."Cluster" <> -1""",
+        from ({TABLE_SQL}) l join (select clust_id, count(*) as n from ({RANDOM_SQL}) group by 1) t
+          on t.clust_id = l."Cluster" where l."Cluster" <> -1""",
 )
 def review_table(spark, sf):
-    paths = [new_path(spark, "review") + ".csv" for _ in range(2)]
-    for path, name, chain in zip(paths, ("CoVe_Q1", "CoVe_Q2"), prompts.QUESTION_CHAINS):
-        sinks.write_table(labels(spark, sf, name, chain), path)
-    one, two = (
-        src.read_table(spark, path, labels_schema(name)).na.fill("", ["Text", name])
-        for path, name in zip(paths, ("CoVe_Q1", "CoVe_Q2"))
-    )
-    return review.review_table(clustered(spark, sf), one, two)
+    texts = settle(rep(spark, sf, random=False), "rep_text")  # made once, asked twice
+    tables = []
+    for name, chain in zip(("CoVe_Q1", "CoVe_Q2"), prompts.QUESTION_CHAINS):
+        opening = label.build_dialogs(texts, SYSTEM, USER, SUFFIX)
+        answers = label.answer_dialogs(opening, top_words_labeller(USER, SUFFIX), chain)
+        path = new_path(spark, "labels") + ".csv"
+        sinks.write_table(label.label_table(answers, name), path)
+        tables.append(src.read_table(spark, path, labels_schema(name), missing=()))
+    out = new_path(spark, "review") + ".csv"
+    rows = review.review_table(clustered(spark, sf), *tables)
+    sinks.write_table(rows, out)
+    return src.read_table(spark, out, rows.schema, missing=())
 
 
 CRITIQUE_TURNS = f"""select "Cluster", 'This text was used to label a cluster: "' || "Text" || '"' as txt,
@@ -320,7 +319,10 @@ def examine_dialogs(spark, sf):
         from ({CRITIQUE_TURNS})""",
 )
 def examine_labels(spark, sf):
-    rows = label.examine_labels(labels(spark, sf), "Label", length_critic, prompts.CRITERIA)
+    path = new_path(spark, "labels") + ".csv"
+    sinks.write_table(labels(spark, sf), path)
+    stored = src.read_table(spark, path, labels_schema("Label"), missing=())
+    rows = label.examine_labels(stored, "Label", length_critic, prompts.CRITERIA)
     return rows.select("Cluster", "critique")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts
-from ..functions.models import LabellerFactory
+from ..functions.models import LabellerFactory, TokenizerFactory
 from ..functions.patterns import TOKEN
 from ..operators import label as L
 from ..operators.clean import clean_posts
@@ -35,15 +35,17 @@ def stage_one(
     text_col: str = "text",
     key: str = "doc_id",
     prefer: str = "most",
+    reduction: dict | None = None,
 ) -> Search:
     """Clean, embed, reduce and cluster posts, with a search for the cluster size.
 
-    ``embed`` adds an ``embeddings`` column.  The cleaned texts and the vectors
+    ``embed`` adds an ``embeddings`` column; ``stored_vectors`` reads one that the posts
+    have as text.  ``reduction`` goes to the reduction (n_neighbors, min_dist, ...).  The cleaned texts and the vectors
     are each written once; later steps read only the columns they need.
     """
     cleaned = settle(clean_posts(posts, language, text_col, key), "clean")
     embedded = settle(embed(cleaned), "embedded")
-    reduced = reduce_dimensions(embedded, n_components, method, key=key)
+    reduced = reduce_dimensions(embedded, n_components, method, key=key, **(reduction or {}))
     dims = [f"Dim{i}" for i in range(n_components)]
     return cluster_search(reduced, dims, key, prefer)
 
@@ -70,26 +72,31 @@ def stage_two(
     sdedup: bool = False,
     prompt_table: DataFrame | None = None,
     key: str = "doc_id",
+    tokenizer: TokenizerFactory | None = None,
+    batch_size: int = 32,
+    options: dict | None = None,
 ) -> Labelled:
     """Label each cluster and bring the labels to the rows.
 
     With ``cove_id`` the model goes through that chain of questions, otherwise it
     is asked once.  The label table is written once, so the model runs once.
+    ``tokenizer`` counts the tokens of rows and prompts; ``batch_size`` and ``options``
+    shape the model's calls.
     """
     spark = clustered.sparkSession
     table = prompt_table if prompt_table is not None else prompts.prompt_table(spark)
-    [system] = L.lookup_prompt(table, "system", sys_id)
-    [user] = L.lookup_prompt(table, "user", user_id)
-    [suffix] = L.lookup_prompt(table, "suffix", 0)
-    questions = [] if cove_id is None else L.lookup_prompt(table, "question", cove_id)
-    content_len = count_tokens(user + suffix) + count_tokens(system)
+    wanted = [("system", sys_id), ("user", user_id), ("suffix", 0)] + [("question", cove_id)] * (cove_id is not None)
+    [system], [user], [suffix], *chains = L.lookup_prompts(table, wanted)
+    questions = chains[0] if chains else []
+    count = (lambda t: tokenizer()([t])[0]) if tokenizer else count_tokens
+    content_len = count(user + suffix) + count(system)
 
-    rows = add_token_counts(clustered.na.drop(subset=[text_col]), text_col)
+    rows = add_token_counts(clustered.na.drop(subset=[text_col]), text_col, tokenizer)
     texts = rep_text(
         rows, max_seq_len, content_len, random=random, sampling_col=sampling_col,
         sdedup=sdedup, key=key, text_col=text_col,
     )
     opening = L.build_dialogs(texts, system, user, suffix)
-    labels = settle(L.label_table(L.answer_dialogs(opening, labeller, questions), label_col), "labels")
+    labels = settle(L.label_table(L.answer_dialogs(opening, labeller, questions, batch_size=batch_size, options=options), label_col), "labels")
     labelled = L.add_format_text(L.attach_labels(rows, labels, label_col), text_col)
     return Labelled(labels, labelled)

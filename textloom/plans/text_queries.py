@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.models import letter_encoder
-from ..operators import clean, embed, label
-from ..operators.aggregate import top_words, word_counts
+from ..functions.models import letter_encoder, letter_pair_tokenizer
+from ..operators import clean, embed, label, rep_text
+from ..operators.aggregate import ordered_words, top_words, word_counts
 from ..operators.language import (
     GRAMS_PER_LANGUAGE,
     WEIGHT_SCALE,
@@ -255,6 +255,17 @@ def word_list(spark, sf):
     return word_counts(posts(spark, sf), benchmark_stopwords(spark, sf), by="doc_id")
 
 
+@query(
+    "word_list_ordered",
+    f"""select doc_id, pos::int as pos, lower(word) as word from (
+        select doc_id, i - 1 as pos, w[i] as word from (
+          select doc_id, {words_of('text')} as w from ({POSTS})), unnest(range(1, len(w) + 1)) t(i))
+        where regexp_matches(word, '{P.LETTERS_ONLY}') and word not in (select word from {STOPWORDS})""",
+)
+def word_list_ordered(spark, sf):
+    return ordered_words(posts(spark, sf), benchmark_stopwords(spark, sf))
+
+
 @query(
     "top_words",
     f"""select clust_id, word, n, rank::int as rank from (
@@ -390,3 +401,21 @@ def embed_plugin(spark, sf):
     return vectors.select("doc_id", F.posexplode("embeddings").alias("pos", "value")).where(
         "value > 0"
     ).withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
+@query(
+    "embed_stored",
+    """select vec_id as doc_id, (i - 1)::int as pos, embedding[i]::float::double as value
+       from embeddings, unnest(range(1, len(embedding) + 1)) t(i)""",
+)
+def embed_stored(spark, sf):
+    text = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.to_json("embedding").alias("stored"))
+    vectors = embed.stored_vectors(text, "stored")
+    return vectors.select("doc_id", F.posexplode("embeddings").alias("pos", "value")).withColumn(
+        "value", F.col("value").cast("float").cast("double")
+    )
+
+
+@query("token_count_plugin", f"select doc_id, ((length(text) + 1) // 2)::int as num_tokens from ({POSTS})")
+def token_count_plugin(spark, sf):
+    return rep_text.add_token_counts(posts(spark, sf), tokenizer=letter_pair_tokenizer).select("doc_id", "num_tokens")

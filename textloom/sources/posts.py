@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,8 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+NULL_MARK = r"\N"  # null in the CSV files of this library, as databases write it
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a small input; an input with enough partitions stays as it is."""
@@ -25,12 +29,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def blank_to_null(df: DataFrame) -> DataFrame:
+def blank_to_null(df: DataFrame, missing: Sequence[str] = NA_STRINGS) -> DataFrame:
     """Strings that stand for a missing value become null."""
+    if not missing:
+        return df
     fields = df.schema.fields
     return df.select(
         *[
-            F.when(~F.col(f"`{f.name}`").isin(*NA_STRINGS), F.col(f"`{f.name}`")).alias(f.name)
+            F.when(~F.col(f"`{f.name}`").isin(*missing), F.col(f"`{f.name}`")).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else F.col(f"`{f.name}`")
             for f in fields
@@ -43,17 +49,23 @@ def read_table(
     path: str,
     schema: T.StructType | None = None,
     drop_missing: str | list[str] | None = None,
+    missing: Sequence[str] = NA_STRINGS,
 ) -> DataFrame:
     """Read a CSV or Parquet table; optionally drop rows where a column is missing.
 
-    Without a schema, the types of a CSV are inferred, which reads it twice.
+    Without a schema, the types of a CSV are inferred, which reads it twice.  In a CSV the
+    usual strings for a missing value are missing; Parquet has nulls, so its strings stay.
+    Tables that this library wrote tell null (``NULL_MARK``) from the empty text: read them
+    with ``missing=()`` and every string comes back.
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
         reader = spark.read.options(**CSV_OPTIONS)
+        if not missing:
+            reader = reader.option("nullValue", NULL_MARK)
         df = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
-    df = blank_to_null(df)
+        df = blank_to_null(df, missing)
     if drop_missing:
         df = df.na.drop(subset=[drop_missing] if isinstance(drop_missing, str) else drop_missing)
     return df

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_spaces
-from .posts import CSV_OPTIONS
+from .posts import CSV_OPTIONS, NULL_MARK
 
 OPTIONAL_COLUMNS = ("text_no_urls", "extracted_urls", "Drop")
 
@@ -29,6 +29,7 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         writer.parquet(path)
     else:
         options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
+        options |= {"nullValue": NULL_MARK, "emptyValue": '""'}
         writer.options(**options).csv(path)
 
 
