@@ -81,6 +81,28 @@ def test_vector_neighbours(spark):
     assert found(block_rows=128, projections=6) > 0.8
 
 
+def test_vector_neighbours_do_not_depend_on_partitions(spark):
+    _, df = blobs(spark, n=300)
+    got = []
+    for parts in ("3", "17"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        rows = reduce.vector_neighbours(df.repartition(int(parts)), 5, block_rows=64).collect()
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        got.append({r.id: [n.id for n in r.nbrs] for r in rows})
+    assert got[0] == got[1]
+
+
+def test_semantic_dedup_of_a_crowd_of_near_copies(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(0, 1, 16) + rng.normal(0, 1e-4, (6000, 16))
+    rows = [(i, 0, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "doc_id long, klabel int, embeddings array<double>")
+    assert [r.doc_id for r in dedup.semantic_dedup(df).collect()] == [0]
+
+
 def test_layout_keeps_blobs_apart(spark):
     v, df = blobs(spark)
     got = reduce.reduce_dimensions(df, 2, "umap", n_neighbors=8, epochs=6).orderBy("doc_id").collect()

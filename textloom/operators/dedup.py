@@ -84,7 +84,8 @@ def semantic_dedup(
     that close lie within a small distance, hence within it along any direction:
     rows meet only where their cells along a few random directions do.  A cell is
     two such distances wide, so a row looks into two cells for each direction,
-    and no close pair is missed.
+    and no close pair is missed.  A row first meets the earliest row of each cell; only
+    rows that are not close to one of these meet all rows of their cells.
     """
     reach = math.sqrt(2 - 2 * threshold) * (1 + 1e-6) + 1e-9
     width = df.select(F.size(vector_col)).first()[0]
@@ -114,11 +115,15 @@ def semantic_dedup(
         side = F.when(at - own < 0.5, own - 1).otherwise(own + 1)
         looked = looked.withColumn(f"_c{i}", F.explode(F.array(own, side)))
     looked = looked.withColumn("cell", F.array(*[F.col(f"_c{i}") for i in range(DIRECTIONS)]))
-    near = looked.select(group, "first", "u", "cell").join(home, [group, "cell"])
-    repeats = (
-        near.where((F.col("other") < F.col("first")) & (dot(F.col("u"), F.col("other_u")) > threshold))
-        .select("first").distinct()
-    )
+    looked = settle(looked.select(group, "first", "u", "cell"), "looked")
+    close = (F.col("other") < F.col("first")) & (dot(F.col("u"), F.col("other_u")) > threshold)
+    # The earliest row of a cell settles most of a crowd of near copies, one pair for each row.
+    earliest = home.groupBy(group, "cell").agg(F.min_by(F.struct("other", "other_u"), "other").alias("e"))
+    settled = looked.join(earliest.select(group, "cell", "e.other", "e.other_u"), [group, "cell"]).where(close)
+    settled = settle(settled.select("first").distinct(), "settled")
+    # Only rows that it leaves open meet the other rows of their cells.
+    rest = looked.join(settled, "first", "left_anti").join(home, [group, "cell"]).where(close)
+    repeats = settled.union(rest.select("first").distinct())
     kept = firsts.select(F.col("first").alias(key)).join(
         repeats.withColumnRenamed("first", key), key, "left_anti"
     )

@@ -1,8 +1,9 @@
 """Language identification by character trigrams (naive Bayes).
 
-The profile is learnt by Spark from any table with a language column.  Scoring
-is one narrow stage: the profile is small by construction and goes to the
-workers once, so the texts are neither exploded nor shuffled.
+The profile is learnt by Spark from any table with a language column.  All trigrams
+count; they are hashed into a fixed number of buckets, so a profile is small by
+construction and goes to the workers once.  Scoring is one narrow stage: the texts are
+neither exploded nor shuffled.
 
 Weights are whole numbers (ten-thousandths of a natural log), so a score does
 not depend on the order in which it is summed.
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import NON_LETTERS
 from ..sources.scratch import settle
-from .sample import top_k_per_group
 
-GRAMS_PER_LANGUAGE = 20_000
+BUCKETS = 1_048_573  # a prime; grams are counted by bucket, so a profile has a fixed bound
+MULTIPLIER = 65_599
 WEIGHT_SCALE = 10_000
 CHARS_AT_ONCE = 4_000_000
 
@@ -42,63 +43,64 @@ def letters_of(text: Column) -> Column:
     return F.concat(F.lit(" "), runs, F.lit(" "))
 
 
-def _gram_codes(chars: np.ndarray) -> np.ndarray:
-    """One number for each three characters in a row; a code point needs 21 bits."""
+def _gram_buckets(chars: np.ndarray) -> np.ndarray:
+    """The bucket of each three characters in a row."""
     c = chars.astype(np.int64)
-    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    return ((c[:-2] * MULTIPLIER + c[1:-1]) * MULTIPLIER + c[2:]) % BUCKETS
 
 
-def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts (lang, gram, n) of trigrams.
+def _joined_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of some texts, and the text of each.
 
-    Texts are joined for counting.  Each has a space at both ends, so a gram that
-    crosses from one to the next has two spaces in a row, and no other gram has.
+    Texts are joined.  A gram belongs to the text of its first character when its last
+    character is in that text too.
     """
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    buckets = _gram_buckets(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32))
+    inside = owner[:-2] == owner[2:] if len(owner) > 2 else np.zeros(0, bool)
+    return buckets[inside], owner[:-2][inside]
+
+
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > CHARS_AT_ONCE:
+            yield texts[at:i]
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield texts[at:]
+
+
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts (lang, bucket, n) of trigrams."""
     for batch in batches:
         for lang, rows in batch.groupby("lang"):
-            chunk = (rows["letters"].str.len().cumsum() // CHARS_AT_ONCE).to_numpy()
-            for _, texts in rows["letters"].groupby(chunk):
-                chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-                space = chars == ord(" ")
-                twice = space[:-1] & space[1:]
-                codes, n = np.unique(_gram_codes(chars)[~(twice[:-1] | twice[1:])], return_counts=True)
-                parts = np.stack([codes >> 42, (codes >> 21) & 0x1FFFFF, codes & 0x1FFFFF], axis=1)
-                grams = parts.astype("<u4").tobytes().decode("utf-32-le")
-                yield pd.DataFrame(
-                    {"lang": lang, "gram": [grams[i : i + 3] for i in range(0, len(grams), 3)], "n": n}
-                )
-
-
-def language_profile(
-    df: DataFrame,
-    text_col: str = "text",
-    lang_col: str = "lang",
-    grams_per_language: int = GRAMS_PER_LANGUAGE,
-) -> DataFrame:
-    """Table (lang, gram, weight) of smoothed log-probabilities.
+            for texts in _chunks(rows["letters"].tolist()):
+                buckets, n = np.unique(_joined_grams(texts)[0], return_counts=True)
+                yield pd.DataFrame({"lang": lang, "bucket": buckets, "n": n})
+
+
+def language_profile(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Table (lang, bucket, weight) of smoothed log-probabilities.
 
     The texts are read once; the counts are written, as they are used three times.
-    The most frequent grams of each language form the vocabulary; every language
-    has a row for every gram of it.  Each batch is counted
-    where it is read, so the shuffle carries distinct grams and not positions.
+    Every language has a row for every bucket that any language uses.  Each batch is counted
+    where it is read, so the shuffle carries distinct buckets and not positions.
     """
     letters = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), letters_of(F.col(text_col)).alias("letters")
     )
     counts = (
-        letters.mapInPandas(_count_grams, "lang string, gram string, n bigint")
-        .groupBy("lang", "gram")
+        letters.mapInPandas(_count_grams, "lang string, bucket bigint, n bigint")
+        .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
     )
     kept = settle(
-        top_k_per_group(counts, ["lang"], [F.desc("n"), F.col("gram")], grams_per_language)
-        .groupBy("gram")
-        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts")),
-        "grams",
-    )
-    totals = kept.select(F.explode("counts").alias("lang", "n")).groupBy("lang").agg(
-        F.sum("n").alias("total")
+        counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("counts")), "grams"
     )
+    totals = kept.select(F.explode("counts").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("total"))
     # The languages with their totals and the size of the vocabulary, as scalars.
     langs = totals.agg(F.collect_list(F.struct("lang", "total"))).scalar()
     vocabulary = kept.agg(F.count("*")).scalar()
@@ -106,11 +108,11 @@ def language_profile(
         F.col("l.total") + F.col("vocabulary")
     )
     return (
-        kept.select("gram", "counts", langs.alias("langs"), vocabulary.alias("vocabulary"))
-        .select("gram", "counts", "vocabulary", F.explode("langs").alias("l"))
+        kept.select("bucket", "counts", langs.alias("langs"), vocabulary.alias("vocabulary"))
+        .select("bucket", "counts", "vocabulary", F.explode("langs").alias("l"))
         .select(
             F.col("l.lang").alias("lang"),
-            "gram",
+            "bucket",
             F.round(F.log(share) * WEIGHT_SCALE).cast("long").alias("weight"),
         )
     )
@@ -124,39 +126,37 @@ def language_detector(profile: DataFrame, margin: int = 0) -> Callable[[Column],
     ``unknown``.  Equal scores go to the language that sorts first.
     """
     spark = profile.sparkSession
-    table = profile.toPandas()  # bounded: languages x grams_per_language
+    table = profile.toPandas()  # bounded: languages x BUCKETS
     langs = sorted(table["lang"].unique())
-    wide = table.pivot(index="gram", columns="lang", values="weight").reindex(columns=langs)
-    codes = np.array(
-        [_gram_codes(np.frombuffer(g.encode("utf-32-le"), np.uint32))[0] for g in wide.index],
-        dtype=np.int64,
-    )
-    order = np.argsort(codes)
-    shared = spark.sparkContext.broadcast((codes[order], wide.to_numpy(np.int64)[order], langs))
+    wide = table.pivot(index="bucket", columns="lang", values="weight").reindex(columns=langs)
+    shared = spark.sparkContext.broadcast((wide.index.to_numpy(np.int64), wide.to_numpy(np.int64), langs))
 
     @F.pandas_udf("string")
     def best_language(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, weights, names = shared.value
         answers = np.array(names + ["error", "unknown"], dtype=object)
-
-        def score(text: str | None) -> int:
-            if text is None or len(text) < 3 or not len(known):
-                return len(names)
-            grams = _gram_codes(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            hit = at[known[at] == grams]
-            if not len(hit):
-                return len(names)
-            scores = weights[hit].sum(axis=0)
-            first = int(np.argmax(scores))
-            if margin and len(names) > 1:
-                lead = scores[first] - np.sort(scores)[-2]
-                if lead < margin * len(hit):
-                    return len(names) + 1
-            return first
+        row_of = np.full(BUCKETS, -1, np.int32)
+        row_of[known] = np.arange(len(known))
+
+        def best(texts: list[str]) -> np.ndarray:
+            buckets, owner = _joined_grams(texts)
+            row = row_of[buckets]
+            row, owner = row[row >= 0], owner[row >= 0]
+            hits = np.bincount(owner, minlength=len(texts))
+            out = np.full(len(texts), len(names))
+            some = np.flatnonzero(hits)
+            if len(some):
+                # Owners ascend, so the rows of a text lie together.
+                scores = np.add.reduceat(weights[row], np.searchsorted(owner, some), axis=0)
+                out[some] = scores.argmax(axis=1)
+                if margin and len(names) > 1:
+                    two = np.sort(scores, axis=1)[:, -2:]
+                    out[some[two[:, 1] - two[:, 0] < margin * hits[some]]] = len(names) + 1
+            return out
 
         for texts in batches:
-            yield pd.Series(answers[[score(t) for t in texts]])
+            whole = texts.fillna("").tolist()
+            yield pd.Series(answers[np.concatenate([best(c) for c in _chunks(whole)])] if whole else [], dtype=object)
 
     def detect(text: Column) -> Column:
         # Texts without any of these scripts skip the counts.

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
@@ -67,15 +68,14 @@ def vector_neighbours(
 ) -> DataFrame:
     """Nearest neighbours (id, nbrs) of vectors in many dimensions, approximately.
 
-    Rows are sorted along a few random directions and compared inside sliding
-    blocks of that order.  Work grows with rows times ``block_rows`` whatever the
-    data, since equal vectors spread over blocks by their key.  A table that fits
-    one block is exact.
+    Rows are ranked along a few random directions and compared inside blocks of that order
+    with borders at fixed ranks, each overlapping the next by half.  Work grows with rows
+    times ``block_rows`` whatever the data, since equal vectors spread over blocks by their
+    key.  The answer does not depend on partitions; a table that fits one block is exact.
     """
     width = df.select(F.size(vector_col)).first()[0]
-    few = df.limit(block_rows + 1).count() <= block_rows
-    n_lines = 1 if few else projections
-    lines = np.random.default_rng(seed).standard_normal((n_lines, width))
+    lines = np.random.default_rng(seed).standard_normal((projections, width))
+    step = max(1, block_rows // 2)
 
     def along(direction: np.ndarray) -> Column:
         weights = F.array(*[F.lit(float(x)) for x in direction])
@@ -84,36 +84,38 @@ def vector_neighbours(
         )
 
     spread = df.select(
-        F.col(key).alias("id"), F.col(vector_col).alias("v"),
-        F.posexplode(F.array(*[along(line) for line in lines])).alias("line", "at"),
+        F.col(key).alias("id"), F.posexplode(F.array(*[along(line) for line in lines])).alias("line", "at")
     )
-    ordered = (spread.repartition(1) if few else spread.repartitionByRange("line", "at", "id"))
-    ordered = ordered.sortWithinPartitions("line", "at", "id")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        fresh = False  # rows that no block has covered yet
-
-        def block(rows: pd.DataFrame) -> pd.DataFrame:
-            return _block_neighbours(rows["id"].to_numpy(), np.stack(rows["v"]).astype(float), k)
+    ordered = spread.repartitionByRange("line", "at", "id").sortWithinPartitions("line", "at", "id")
 
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, met = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for line, rows in batch.groupby("line", sort=True):
-                if held is not None and len(held) and held["line"].iloc[0] != line:
-                    if fresh:
-                        yield block(held)
-                    held = None
-                held = rows if held is None else pd.concat([held, rows])
-                fresh = True
-                while len(held) > block_rows:
-                    yield block(held.iloc[:block_rows])
-                    held = held.iloc[block_rows // 2 :]
-        if held is not None and fresh:
-            yield block(held)
-
-    found = ordered.mapInPandas(compare, f"id bigint, nbrs {NEIGHBOURS}")
-    merged = found.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-    return merged.select("id", F.slice(F.array_sort("nbrs"), 1, k).alias("nbrs"))
+            batch["part"] = part
+            batch["pos"] = batch.groupby("line").cumcount() + batch["line"].map(met).fillna(0).astype("int64")
+            for line, n in batch["line"].value_counts().items():
+                met[line] = met.get(line, 0) + n
+            yield batch[["id", "line", "part", "pos"]]
+
+    numbered = settle(ordered.mapInPandas(number, "id bigint, line int, part int, pos bigint"), "numbered")
+    before = Window.partitionBy("line").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("line", "part").agg(F.count("*").alias("n"))
+    sizes = sizes.select("line", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    home = F.floor((F.col("before") + F.col("pos")) / step)
+    blocks = numbered.join(sizes, ["line", "part"]).select("id", "line", F.explode(F.array(home, home - 1)).alias("block"))
+    vectors = df.select(F.col(key).alias("id"), F.col(vector_col).alias("v"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        return _block_neighbours(rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(float), k)
+
+    found = blocks.join(vectors, "id").groupBy("line", "block").applyInPandas(compare, f"id bigint, nbrs {NEIGHBOURS}")
+    near = found.select("id", F.explode("nbrs").alias("n")).groupBy("id", F.col("n.id").alias("to")).agg(F.min("n.d").alias("d"))
+    merged = near.groupBy("id").agg(F.collect_list(F.struct("d", F.col("to").alias("id"))).alias("nbrs"))
+    alone = F.array().cast(NEIGHBOURS)
+    return vectors.select("id").distinct().join(merged, "id", "left").select(
+        "id", F.slice(F.array_sort(F.coalesce("nbrs", alone)), 1, k).alias("nbrs")
+    )
 
 
 def fuzzy_graph(lists: DataFrame, k: int) -> DataFrame:

@@ -11,7 +11,8 @@ from ..functions.models import letter_encoder, letter_pair_tokenizer
 from ..operators import clean, embed, label, rep_text
 from ..operators.aggregate import ordered_words, top_words, word_counts
 from ..operators.language import (
-    GRAMS_PER_LANGUAGE,
+    BUCKETS,
+    MULTIPLIER,
     WEIGHT_SCALE,
     language_detector,
     language_profile,
@@ -291,22 +292,25 @@ def grams_sql(letters: str) -> str:
     return f"unnest(list_concat({', '.join(shifted)}))"
 
 
+def bucket_sql(gram: str) -> str:
+    c = [f"unicode(substr({gram}, {i}, 1))::bigint" for i in (1, 2, 3)]
+    return f"(({c[0]} * {MULTIPLIER} + {c[1]}) * {MULTIPLIER} + {c[2]}) % {BUCKETS}"
+
+
 PROFILE_SQL = f"""
 with counts as (
-  select lang, gram, count(*) as n from (
-    select lang, {grams_sql('letters')} as gram
-    from (select lang, {letters_sql('text')} as letters from documents))
+  select lang, {bucket_sql('gram')} as bucket, sum(n) as n from (
+    select lang, gram, count(*) as n from (
+      select lang, {grams_sql('letters')} as gram
+      from (select lang, {letters_sql('text')} as letters from documents))
+    group by all)
   group by all),
-kept as (
-  select lang, gram, n from (
-    select *, row_number() over (partition by lang order by n desc, gram) as rank from counts)
-  where rank <= {GRAMS_PER_LANGUAGE}),
-totals as (select lang, sum(n) as total from kept group by lang),
-grams as (select distinct gram from kept)
-select t.lang, g.gram,
-  round(ln((coalesce(k.n, 0) + 1.0) / (t.total + (select count(*) from grams)))
+totals as (select lang, sum(n) as total from counts group by lang),
+buckets as (select distinct bucket from counts)
+select t.lang, g.bucket,
+  round(ln((coalesce(k.n, 0) + 1.0) / (t.total + (select count(*) from buckets)))
         * {WEIGHT_SCALE})::bigint as weight
-from totals t cross join grams g left join kept k on k.lang = t.lang and k.gram = g.gram
+from totals t cross join buckets g left join counts k on k.lang = t.lang and k.bucket = g.bucket
 """
 
 
@@ -329,11 +333,11 @@ def detect_sql(table: str) -> str:
       select doc_id, lang from (
         select doc_id, lang, row_number() over (partition by doc_id order by score desc, lang) as r
         from (select doc_id, p.lang, sum(p.weight * g.n) as score
-              from (select doc_id, gram, count(*) as n from (
+              from (select doc_id, {bucket_sql('gram')} as bucket, count(*) as n from (
                       select doc_id, {grams_sql('letters')} as gram
                       from (select doc_id, {letters_sql('text')} as letters from ({table})))
                     group by all) g
-              join ({PROFILE_SQL}) p on p.gram = g.gram group by all))
+              join ({PROFILE_SQL}) p on p.bucket = g.bucket group by all))
       where r = 1) b on b.doc_id = d.doc_id"""
 
 
