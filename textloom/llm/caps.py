@@ -141,21 +141,35 @@ def _filtered(points: DataFrame, chance: float, least: float) -> DataFrame:
     )
 
 
-def _first_common(code: int, left: list[bytes], right: list[bytes], pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether ``code`` is the smallest code that both of a pair pass."""
-    before = [[np.frombuffer(c, np.int64) for c in side] for side in (left, right)]
-    before = [[c[: np.searchsorted(c, code)] for c in side] for side in before]
-    out = np.ones(len(pairs[0]), bool)
-    codes = np.unique(np.concatenate([c for side in before for c in side] or [np.zeros(0, np.int64)]))
-    if len(codes):
-        bits = []
-        for side in before:
-            m = np.zeros((len(side), len(codes)), np.float32)
-            for i, c in enumerate(side):
-                m[i, np.searchsorted(codes, c)] = 1
-            bits.append(m)
-        out = np.einsum("ij,ij->i", bits[0][pairs[0]], bits[1][pairs[1]]) == 0
-    return out
+class _Earlier:
+    """Codes below a bucket's code, per vector, to tell whether a pair met in an earlier bucket."""
+
+    def __init__(self, code: int, codes: list[bytes]):
+        own = [np.frombuffer(c, np.int64) for c in codes]
+        own = [c[: np.searchsorted(c, code)] for c in own]
+        self.counts = np.array([len(c) for c in own])
+        self.starts = np.concatenate(([0], np.cumsum(self.counts)))
+        self.codes = np.concatenate(own)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``rows``, code) of all their earlier codes."""
+        counts = self.counts[rows]
+        at = np.repeat(self.starts[rows] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        return np.repeat(np.arange(len(rows)), counts), self.codes[at]
+
+    def shared(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Matrix of whether a pair has an earlier code in common."""
+        i, a = self.of(left)
+        j, b = self.of(right)
+        known = np.unique(a)
+        if not len(known) or not len(b):
+            return np.zeros((len(left), len(right)), bool)
+        at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+        hit = known[at] == b
+        x, y = np.zeros((len(left), len(known)), np.float32), np.zeros((len(right), len(known)), np.float32)
+        x[i, np.searchsorted(known, a)] = 1
+        y[j[hit], at[hit]] = 1
+        return x @ y.T > 0
 
 
 def _meet(code: int, least: float, side: np.ndarray, point: np.ndarray, weight: np.ndarray, vector: list[bytes], codes: list[bytes]) -> list[tuple]:
@@ -170,20 +184,22 @@ def _meet(code: int, least: float, side: np.ndarray, point: np.ndarray, weight:
             p = roots[p]
         return p
 
-    for low in range(0, len(ax), 256):
-        close = rows[ax[low : low + 256]] @ rows[ay].T >= least
+    earlier = _Earlier(code, codes)
+    for low in range(0, len(ax), 128):
+        own = ax[low : low + 128]
+        close = rows[own] @ rows[ay].T >= least
         if same:
             close &= np.arange(low, low + len(close))[:, None] < np.arange(len(ay))[None, :]
+        if not close.any():
+            continue
+        close &= ~earlier.shared(own, ay)
+        links[own] += close @ weight[ay]
+        links[ay] += weight[own] @ close
         i, j = np.nonzero(close)
-        for at in range(0, len(i), 65536):
-            x, y = ax[i[at : at + 65536] + low], ay[j[at : at + 65536]]
-            first = _first_common(code, codes, codes, (x, y))
-            x, y = x[first], y[first]
-            links += np.bincount(x, weight[y], len(side)).astype(np.int64) + np.bincount(y, weight[x], len(side)).astype(np.int64)
-            for p, q in zip(point[x].tolist(), point[y].tolist()):
-                r, s = root(p), root(q)
-                if r != s:
-                    roots[max(r, s)] = min(r, s)
+        for p, q in zip(point[own[i]].tolist(), point[ay[j]].tolist()):
+            r, s = root(p), root(q)
+            if r != s:
+                roots[max(r, s)] = min(r, s)
     at = np.flatnonzero(links)
     return [(p, n, root(p)) for p, n in zip(point[at].tolist(), links[at].tolist())]
 
