@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.models import EncoderFactory
 from ..functions.patterns import WORD
 from ..functions.text import parse_vector
+from ..sources.scratch import settle
 
 HASH_DIGITS = 2
 
@@ -49,13 +50,14 @@ def embed_hashed(
         "_places", F.transform(words, lambda w: F.substring(F.md5(w.cast("binary")), 1, hash_digits))
     )
     counter = CountVectorizerModel.from_vocabulary(places, inputCol="_places", outputCol="_tf")
-    counts = counter.transform(hashed)
+    # Written once: fitting and weighting would each cut and hash all words again.
+    counts = settle(counter.transform(hashed).drop("_places"), "word_counts")
     idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts)
     unit = Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0)
     return (
         unit.transform(idf.transform(counts))
         .withColumn(out, vector_to_array("_unit", "float32"))
-        .drop("_places", "_tf", "_tfidf", "_unit")
+        .drop("_tf", "_tfidf", "_unit")
     )
 
 

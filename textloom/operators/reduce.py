@@ -168,10 +168,11 @@ def layout(
     start: DataFrame, edges: DataFrame, n_components: int, min_dist: float = 0.1,
     epochs: int = EPOCHS, seed: int = SEED,
 ) -> DataFrame:
-    """Positions (id, Dim0..) after pulling along edges and pushing off a shared sample.
+    """Positions (id, Dim0..) after pulling along edges and pushing off random rows.
 
-    Each epoch draws a sample of fixed size to push off; positions are written to
-    a table after each epoch, so a lost executor costs one epoch.
+    In each epoch every row pushes off about REPELLERS random rows of the whole table,
+    other ones for other rows.  Positions are written to a table after each epoch, so a
+    lost executor costs one epoch.
     """
     dims = dim_columns(n_components)
     a, b = curve(min_dist)
@@ -180,11 +181,12 @@ def layout(
     )
     ways = settle(ways.repartition("to"), "edges")
     at = settle(start.select("id", *dims), "positions")
+    groups = max(1, at.count() // REPELLERS)
     for epoch in range(epochs):
         rate = 1.0 - epoch / epochs
-        draw = F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col("id").cast("string")))
-        others = at.orderBy(draw).limit(REPELLERS).select(F.array(*dims).alias("o"))
-        far = others.agg(F.collect_list("o")).scalar()
+        # Each epoch deals the rows into new random groups; a row pushes off its own group.
+        drawn = at.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), F.lit(groups)))
+        others = drawn.groupBy("_g").agg(F.sort_array(F.collect_list(F.array(*dims))).alias("_far"))
         there = at.select(F.col("id").alias("to"), *[F.col(c).alias(f"_{c}") for c in dims])
         gaps = [F.col(c) - F.col(f"_{c}") for c in dims]
         d2 = sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
@@ -207,7 +209,7 @@ def layout(
             return F.aggregate("_far", F.lit(0.0), one) / F.size("_far")
 
         share = 1 / F.nullif(F.col("pulls"), F.lit(0.0))
-        moved = at.join(pulled, "id", "left").withColumn("_far", far).select(
+        moved = drawn.join(pulled, "id", "left").join(others, "_g").select(
             "id",
             *[
                 (

@@ -144,13 +144,16 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "attach_dims",
     f"""select d.doc_id, d.lang, p.x as "Dim0", p.y as "Dim1"
-        from documents d join ({PTS}) p on p.id = d.doc_id""",
+        from documents d join ({PTS}) p on p.id = d.doc_id % (select count(*) from embeddings)""",
 )
 def attach_dims(spark, sf):
-    dims = pts(spark, sf).select(
-        F.col("id").alias("doc_id"), F.col("x").alias("Dim0"), F.col("y").alias("Dim1")
+    docs = fx.table(spark, sf, "documents").select("doc_id", "lang")
+    # Every document has a point: the points repeat where there are fewer.
+    points_of = fx.in_spark(
+        spark, sf, "select doc_id, doc_id % (select count(*) from {embeddings}) as id from {documents}"
     )
-    return reduce.attach_dims(fx.table(spark, sf, "documents").select("doc_id", "lang"), dims)
+    dims = points_of.join(pts(spark, sf), "id").select("doc_id", F.col("x").alias("Dim0"), F.col("y").alias("Dim1"))
+    return reduce.attach_dims(docs, dims)
 
 
 @query("reduce_pca")
@@ -192,7 +195,7 @@ def fuzzy_graph(spark, sf):
 
 @query("reduce_umap")
 def reduce_umap(spark, sf):
-    return reduce.reduce_umap(vectors(spark, sf), 2, epochs=10).drop("embeddings")
+    return reduce.reduce_umap(vectors(spark, sf), 2).drop("embeddings")
 
 
 # Near-duplicates.
@@ -240,12 +243,12 @@ def semantic_dedup(spark, sf):
 
 @query("kmeans_assign")
 def kmeans_assign(spark, sf):
-    return dedup.kmeans_groups(vectors(spark, sf), k=20).select("doc_id", "klabel")
+    return dedup.kmeans_groups(vectors(spark, sf)).select("doc_id", "klabel")
 
 
 @query("sdedup")
 def sdedup(spark, sf):
-    rows = dedup.sdedup(vectors(spark, sf), k=20, threshold=SIMILAR)
+    rows = dedup.sdedup(vectors(spark, sf))
     return rows.select("doc_id", "klabel", "cosine_sim", "similar", "Drop")
 
 
