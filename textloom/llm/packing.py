@@ -182,7 +182,7 @@ class Plan:
         self.sequences += times
 
 
-def _two_least(sizes: list[int], left: dict[int, int], above: int = 0) -> list[int]:
+def _three_least(sizes: list[int], left: dict[int, int], above: int = 0) -> list[int]:
     """The three smallest pieces longer than ``above``, fewer if there are not so many."""
     out: list[int] = []
     for w in sizes[bisect_left(sizes, above + 1) :]:
@@ -207,7 +207,7 @@ def dominant_set(w: int, room: int, left: dict[int, int]) -> tuple[int, ...] | N
     first = sizes[-1]
     if first == gap:
         return (w, first)
-    least = _two_least(sizes, rest)
+    least = _three_least(sizes, rest)
     if sum(least[:2]) > gap or len(least) < 2:
         return (w, first)
     if len(least) == 3 and sum(least) <= gap:
@@ -217,7 +217,7 @@ def dominant_set(w: int, room: int, left: dict[int, int]) -> tuple[int, ...] | N
     rest[first] += 1
     if not second:
         return None
-    above = _two_least(sizes, rest, second)[:2]
+    above = _three_least(sizes, rest, second)[:2]
     return (w, first, second) if len(above) < 2 or sum(above) > gap else None
 
 

@@ -203,8 +203,7 @@ def main_text(html: str, path: str | None) -> str:
 
 
 def host_of(url):
-    host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
-    return host
+    return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ ignored. Spans are code points of the original text, the end exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,12 +66,6 @@ DATE = re.compile(
 REPEAT = re.compile(r"(.{1,4}?)\1{1,}", re.S)
 
 
-def log10(x: float) -> float:
-    from math import log10 as f
-
-    return f(x)
-
-
 def _per_character(value: str) -> float:
     """log10 of the alphabet that a brute-force search must try."""
     size = sum(

@@ -33,6 +33,9 @@ LEAST_TEXTS = 3  # a feature of fewer training texts is left out
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 COUNT_BITS = 22
+
+# Names that no column of the input has: they end in a space.
+TEXT, SCORE = "text ", "score "
 FILTER_BITS = 22
 
 
@@ -137,7 +140,7 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, folds: int, held_out
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and the score of each whole text."""
+    """``keep`` columns of ``docs`` and, in the column SCORE, the score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = np.uint64((1 << FILTER_BITS) - 1)
 
@@ -145,7 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
         hasher, (keys, weights, bias) = Hasher(), shared.value
         may = np.zeros(1 << FILTER_BITS, bool)
         may[(keys & bits).astype(np.int64)] = True
-        for batch, rows in text_blocks(batches, "text "):
+        for batch, rows in text_blocks(batches, TEXT):
             total = np.full(len(rows), bias)
             hashes, owners = features(rows, hasher)
             near = may[(hashes & bits).astype(np.int64)]
@@ -156,23 +159,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
                 pairs = np.unique(owners[hit].astype(np.int64) * len(keys) + at[hit])
                 total += np.bincount(pairs // len(keys), weights[pairs % len(keys)], len(rows))
             columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*keep, "score "])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*keep, SCORE])
 
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("text "))
-    schema = rows.drop("text ").schema.add("score ", "double")
-    return rows.mapInArrow(run, schema).withColumnRenamed("score ", "score") if "score" not in keep else rows.mapInArrow(run, schema)
+    rows = docs.select(*keep, F.col("text").cast("binary").alias(TEXT))
+    return rows.mapInArrow(run, rows.drop(TEXT).schema.add(SCORE, "double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     model = train(labelled(docs, labels, "toxic", folds, held_out))
     rows = docs.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "text")
-    scored = score(rows, model, ["doc_id", "held_out"])
+    scored = score(rows, model, ["doc_id", "held_out"]).withColumnRenamed(SCORE, "score")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all columns as they were."""
     model = train(labelled(docs, labels, "toxic", 3, 1))
-    scored = score(docs, model, docs.columns)
-    return scored.where(F.col(scored.columns[-1]) < threshold).select(*docs.columns)
+    return score(docs, model, docs.columns).where(F.col(SCORE) < threshold).select(*docs.columns)
