@@ -11,7 +11,7 @@ from ..sources.scratch import new_path
 from . import fixtures as fx
 from . import stages
 from .registry import query
-from .text_queries import detector, posts
+from .text_queries import CLEAN_POSTS_SQL, detector, posts
 
 PTS = fx.for_duckdb(fx.PTS)
 K = 8
@@ -77,6 +77,30 @@ def hdbscan(spark, sf):
     return density.hdbscan(pts(spark, sf), ["x", "y"], 15, key="id")
 
 
+def blobs(spark: SparkSession, sf: str, clustered: DataFrame) -> DataFrame:
+    """For each planted blob: whether one cluster holds most of it, and whether that cluster is its own."""
+    label = fx.table(spark, sf, "embeddings").where("vec_id % 20 <> 0").select(F.col("vec_id").alias("id"), "label")
+    parts = clustered.select("id", "clust_id").join(label, "id").groupBy("label", "clust_id").agg(F.count("*").alias("n"))
+    main = parts.groupBy("label").agg(F.max(F.struct("n", "clust_id")).alias("m"), F.sum("n").alias("rows"))
+    owners = main.groupBy("m.clust_id").agg(F.count("*").alias("owners"))
+    return main.join(owners, main["m.clust_id"] == owners["clust_id"]).select(
+        "label", (F.col("m.n") > 0.75 * F.col("rows")).alias("most"), (F.col("owners") == 1).alias("alone")
+    )
+
+
+BLOBS_SQL = "select label, true as most, true as alone from embeddings where vec_id % 20 <> 0 group by label"
+
+
+@query("hdbscan_blobs", BLOBS_SQL)
+def hdbscan_blobs(spark, sf):
+    return blobs(spark, sf, density.hdbscan(pts(spark, sf), ["x", "y"], 15, key="id"))
+
+
+@query("cluster_search_blobs", BLOBS_SQL)
+def cluster_search_blobs(spark, sf):
+    return blobs(spark, sf, search.cluster_search(pts(spark, sf), ["x", "y"], key="id").rows)
+
+
 TRIALS = """select row_number() over (order by k) - 1 as trial, k as min_cluster_size, k as min_samples,
     count(*) filter (n >= k) as n_clusters,
     (coalesce(sum(n) filter (n < k), 0))::bigint as n_outliers,
@@ -258,3 +282,14 @@ def stage_one(spark, sf):
     path = new_path(spark, "clustered") + ".parquet"
     sinks.write_clustered(found.rows, path)
     return spark.read.parquet(path)
+
+
+@query(
+    "stage_one_texts",
+    f"select doc_id, text, true as clustered, true as placed from ({CLEAN_POSTS_SQL})",
+)
+def stage_one_texts(spark, sf):
+    return stage_one(spark, sf).select(
+        "doc_id", "text", (F.col("clust_id") >= -1).alias("clustered"),
+        (F.col("Dim0").isNotNull() & F.col("Dim1").isNotNull()).alias("placed"),
+    )
