@@ -156,10 +156,15 @@ def _judged(docs: DataFrame, keep: list[str], benchmark: DataFrame, width: int,
     """``keep`` columns of ``docs`` and the result columns."""
     found = F.lit(None).cast("struct<items:array<string>,first:array<bigint>,after:array<bigint>>")
     rows = docs.select(*keep, F.col("text").cast("binary").alias(TEXT), found.alias(FOUND))
-    parts = [[(r["item"], bytes(r["text"])) for r in p.collect()] for p in item_parts(benchmark, width, pattern_limit)]
-    for items in parts[:-1]:
-        rows = _scan(rows, items, keep, width, share, last=False)
-    return _scan(rows, parts[-1] if parts else [], keep, width, share, last=True)
+    parts = item_parts(benchmark, width, pattern_limit)
+    for part in parts[:-1]:
+        rows = _scan(rows, _items(part), keep, width, share, last=False)
+    return _scan(rows, _items(parts[-1]) if parts else [], keep, width, share, last=True)
+
+
+def _items(part: DataFrame) -> list[tuple[str, bytes]]:
+    """The items of one part, whose size has a bound."""
+    return [(r["item"], bytes(r["text"])) for r in part.collect()]
 
 
 def contamination(
