@@ -1,7 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 from textloom.schemas import POSTS
-from textloom.sources import posts, sinks
+from textloom.sources import posts, scratch, sinks
 from textloom.sources.scratch import settle
 
 
@@ -44,3 +46,11 @@ def test_settle_uses_the_shared_folder(spark):
     table = settle(spark.range(5), "five")
     assert table.count() == 5
     assert spark.conf.get("spark.checkpoint.dir") in table.inputFiles()[0]
+
+
+def test_saved_tables_can_be_deleted(spark):
+    table = scratch.settle(spark.range(3), "short_lived")
+    [path] = table.inputFiles()[0].rsplit("/", 1)[:1]
+    assert table.count() == 3
+    assert scratch.clear_tables(spark) >= 1
+    assert not os.path.exists(path.removeprefix("file://"))

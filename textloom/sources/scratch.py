@@ -26,9 +26,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []  # paths given out since the last clear_tables
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """Path in the checkpoint folder that no other table uses."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_tables(spark: SparkSession) -> int:
+    """Delete the tables at all paths given out so far; call it when their results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
