@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from textloom.llm.arrays import LOWER, Hasher, Words, text_blocks
 from textloom.sources.scratch import settle
 
-ORDER = 5
+ORDER = 4
 CONTEXTS = 1 << 15
 HOT_WORDS = 1 << 19
 END = 0x1F0D  # stands for the end token among word hashes
