@@ -136,6 +136,33 @@ def test_guess_cost_orders_values():
     assert [k for *_, k in chain] == ["word", "date", "word"]
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("password: Tr$9kq!zLm2", "Tr$9kq!zLm2"),
+        ('secret = "$x9Q!kz72Lw#"', "$x9Q!kz72Lw#"),
+        ("api_key: !Qz8#kP2vLx9Tr", "!Qz8#kP2vLx9Tr"),
+        ("password is xK9$qLm2#vR8", "xK9$qLm2#vR8"),
+        ("the passwd Tr$9kq!zLm2 works", "Tr$9kq!zLm2"),
+        ("pwd: qkzjwxvbhtrm", "qkzjwxvbhtrm"),
+        ("auth token: !Qz8#kP2vLx9Tr", "!Qz8#kP2vLx9Tr"),
+        ('{"auth":"xK9$qLm2#vR8","user":"bob"}', "xK9$qLm2#vR8"),
+        ("password: Tr9kqz$zLm2!abc", "$zLm2!abc"),
+    ],
+)
+def test_contract_keys_are_credential_contexts(text, value):
+    guesses = [text[a:b] for a, b, k in find_secrets(text.encode()) if k == "guess"]
+    assert guesses == [value]
+    assert value not in redact(text.encode()).decode()
+
+
+@pytest.mark.parametrize(
+    "text", ["password is required, as the secret strengths", "token time-out or authorization getHTTPClient", "secret is: dragon1!", "pwd: qwertyuiop"]
+)
+def test_prose_and_cheap_values_stay(text):
+    assert find_secrets(text.encode()) == []
+
+
 def test_redaction_keeps_all_else(spark):
     assert redact(b"x password=abcdef y 0123456789abcdef01234567 z") == b"x [secret] y [secret] z"
     docs = documents(spark, awkward() + SECRETS)

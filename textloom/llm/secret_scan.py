@@ -6,6 +6,13 @@ keyboard walks and brute-force spans by dynamic programming. The cost is the log
 guesses an attacker needs; a value that costs ``least_cost`` or more is a secret of kind
 ``guess``. A dictionary word as a value is cheap and stays.
 
+The keys of the fixed form ``assign`` are credential contexts too, so a value that this form
+misses, or of which it takes only the beginning, is scored. A value of letters only is prose,
+whatever its cost, if each of its words (cut before capitals) can be spoken: it has a vowel and
+no run of more than four consonant sounds, or is a short acronym. The same holds for such
+words joined by signs when they follow an ``assign`` key after a mere space ("token time-out").
+Other values of letters are scored.
+
 Null texts are empty. Every row gives one row, also with repeated doc_ids; other columns are
 ignored. Spans are code points of the original text, the end exclusive.
 """
@@ -13,7 +20,9 @@ ignored. Spans are code points of the original text, the end exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log10
 
 import pyarrow as pa
@@ -35,12 +44,20 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 HEX_FLAGS = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 CONTEXT = re.compile(
-    rb"(?:passphrase|credentials?|authorization|bearer|signature|private_?key|access_?key|session_?key|auth|pwd|pass|pin)"
-    rb"[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+|\x20+)[\"']?([!-&(-~]{6,})"
-    rb"|://[^\s:/@]+:([^\s@]{6,})@",
+    rb"(?:passphrase|credentials?|authorization|bearer|signature|private_?key|access_?key|session_?key|auth|pwd|pass|pin"
+    rb"|(?P<main>password|passwd|secret|token|api[_-]?key))"
+    rb"[\"']?(?:\x20*[:=]\x20*|\x20+is\x20+|(?P<space>\x20+))[\"']?(?P<value>[!-&(-~]{6,})"
+    rb"|://[^\s:/@]+:(?P<url>[^\s@]{6,})@",
     re.I,
 )
-CONTEXT_WORDS = (b"pass", b"credential", b"auth", b"bearer", b"signature", b"key", b"pwd", b"pin", b"://")
+CONTEXT_WORDS = (b"pass", b"credential", b"auth", b"bearer", b"signature", b"key", b"pwd", b"pin", b"secret", b"token", b"://")
+KEY_BYTES = 64  # a value up to this size may be the key of the next value
+RUNS_ON = b"!#$%^*~@|\\"  # signs with which a value goes on where the fixed form ends
+
+# Words that can be spoken: consonants that make one sound count once.
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+SOUND = re.compile("sch|[cgpst]h|ck|ng|st")
+UNSPOKEN = re.compile("[^aeiouy]{5}")
 
 # Common words and names in passwords, most common first; the rank is the cost.
 COMMON = (
@@ -139,6 +156,47 @@ def guess_cost(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     return best[n], chain[::-1]
 
 
+def _spoken(value: str) -> bool:
+    """Whether all words of the value can be spoken, or are short acronyms."""
+    words = WORD.findall(value)
+    sounds = ((w, SOUND.sub("t", w.lower())) for w in words)
+    return all((w.isupper() and 1 < len(w) <= 5) or (re.search("[aeiouy]", s) and not UNSPOKEN.search(s)) for w, s in sounds)
+
+
+def _prose(value: str, joined: bool) -> bool:
+    if value.isalpha():
+        return _spoken(value)
+    return joined and all(w.isalpha() and _spoken(w) for w in re.split(r"[-/.,;:_&()]+", value) if w)
+
+
+def _guessed(text: bytes, found: list[tuple[int, int, str]], least_cost: float) -> Iterator[tuple[int, int, str]]:
+    """Values in a credential context that are costly to guess, where they are not in ``found``."""
+    # Spans in order, and the furthest end up to each.
+    taken = sorted((a, b) for a, b, _ in found)
+    starts, furthest = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    at = 0
+    while m := CONTEXT.search(text, at):
+        name = "url" if m["url"] is not None else "value"
+        a, b = m.span(name)
+        at = a if name == "value" and b - a <= KEY_BYTES else b
+        quote = text[a - 1 : a]
+        if name == "value" and quote in (b'"', b"'") and (end := text.find(quote, a, b)) >= 0:
+            b = end
+        while b > a and text[b - 1 : b] in b".,;:!?)\"'":
+            b -= 1
+        if b - a < 6:
+            continue
+        value = text[a:b].decode("latin-1")
+        over = bisect_left(starts, b)
+        if over and furthest[over - 1] > a:
+            a = furthest[over - 1]
+            if a >= b or text[a] not in RUNS_ON:
+                continue
+        if guess_cost(value)[0] >= least_cost and not _prose(value, bool(m["main"] and m["space"])):
+            yield a, b, "guess"
+            at = max(at, b)
+
+
 def find_secrets(text: bytes, least_cost: float = LEAST_COST) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes of all secrets of a text."""
     found, low = [], text.translate(LOWER)
@@ -154,14 +212,7 @@ def find_secrets(text: bytes, least_cost: float = LEAST_COST) -> list[tuple[int,
         found.append((at, end, "hex"))
         at = flags.find(b"1" * LEAST["hex"], end)
     if any(w in low for w in CONTEXT_WORDS):
-        taken = sorted((a, b) for a, b, _ in found)
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(1 if m[1] is not None else 2)
-            while b > a and text[b - 1 : b] in b".,;:!?)\"'":
-                b -= 1
-            if b - a >= 6 and not any(x < b and a < y for x, y in taken):
-                if guess_cost(text[a:b].decode("latin-1"))[0] >= least_cost and not text[a:b].isalpha():
-                    found.append((a, b, "guess"))
+        found += list(_guessed(text, found, least_cost))
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[2])))
 
 
