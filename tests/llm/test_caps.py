@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from textloom.llm.caps import Code, link_vectors
+from textloom.llm.caps import Code, filters, link_vectors, pairs_at
 
 
 def table(spark):
@@ -54,3 +55,20 @@ def test_list_decoding_finds_every_passing_direction():
     products = (x @ code.rotation)[:, np.concatenate(code.blocks)] @ full.T
     for i, codes in enumerate(code.passing(x, 0.3)):
         assert codes.tolist() == np.flatnonzero(products[i] > 0.3).tolist()
+
+
+@pytest.mark.parametrize("dimension", [1, 2, 16, 64, 256])
+@pytest.mark.parametrize("chance", [0.006, 6.4e-5, 6.4e-6])
+def test_recall_of_borderline_pairs_at_any_size(dimension, chance):
+    threshold, bits, fewest = filters(dimension, chance, 0.93)
+    code = Code(dimension, bits)
+    both = [code.passing(x, threshold, fewest) for x in pairs_at(0.93, dimension, 500, 1)]
+    assert min(len(codes) for side in both for codes in side) >= fewest
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(*both)]) >= 0.99
+
+
+def test_borderline_links_at_small_chance(spark):
+    x, y = pairs_at(0.9301, 32, 300, 2)
+    rows = [(2 * i + j, v.tolist(), 0) for i, pair in enumerate(zip(x, y)) for j, v in enumerate(pair)]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert link_vectors(made, chance=6.4e-6).where("n_links > 0").count() >= 0.99 * len(rows)

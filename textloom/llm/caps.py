@@ -13,9 +13,12 @@ is emitted: a bucket gives each vector's number of links, and a spanning forest
 links. Large buckets are cut into tiles of bounded size; all pairs of tiles meet.
 
 A larger table gets smaller caps and so many more directions that a vector still passes as
-many, so a bucket keeps its size and recall stays. A cap is never narrower than the angle of
-a pair at the least similarity, which matters for short vectors. Closer pairs are found with
-more certainty. Copies of a vector under one label are one point with a
+many on average, so a bucket keeps its size. Directions of a product code are uneven, so a vector
+that passes few takes its ``fewest`` nearest ones too. That number comes from the table's own code
+and cap: it is the least with which, of PAIRS random pairs at the least similarity, the share
+RECALL has a direction in common. Where MOST are not enough, caps grow. So the recall predicted
+for the hardest pairs is RECALL at every size; closer pairs are found with more certainty. A cap
+is never narrower than the angle of a pair at the least similarity, which matters for short vectors. Copies of a vector under one label are one point with a
 weight, so they are all linked and never compared.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows without
@@ -40,6 +43,9 @@ CHANCE = 0.006  # of a random vector to pass a filter, in small tables
 PASSED = 24  # filters that a vector passes on average
 BUCKET = 64  # points of the largest label in a bucket, in large tables
 TILE = 1024
+RECALL = 0.998  # of pairs at the least similarity, as predicted from random ones
+PAIRS = 1000
+MOST = 192  # nearest filters that a vector takes when it passes fewer
 SEED = 20240229
 
 
@@ -68,21 +74,59 @@ class Code:
             self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True) * np.sqrt(len(b) / dimension))
         self.words = words
 
-    def passing(self, vectors: np.ndarray, threshold: float) -> list[np.ndarray]:
-        """Per vector all directions whose product exceeds the threshold, ascending."""
+    def passing(self, vectors: np.ndarray, threshold: float, fewest: int = 0) -> list[np.ndarray]:
+        """Per vector all directions whose product exceeds the threshold, and the ``fewest`` nearest, ascending."""
+        return [np.sort(codes[(sums > threshold) | (np.arange(len(codes)) < fewest)]) for codes, sums in self.nearest(vectors, threshold, fewest)]
+
+    def nearest(self, vectors: np.ndarray, threshold: float, fewest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per vector (directions, products) from the nearest on: those above the threshold, ``fewest`` at least if there are as many."""
         turned = vectors @ self.rotation
         products = [turned[:, b] @ book.T for b, book in zip(self.blocks, self.books)]
         rest = np.cumsum([p.max(1) for p in products[::-1]], axis=0)[::-1]
-        out = []
+        fewest = min(fewest, self.words ** len(self.books))
         for i in range(len(vectors)):
-            codes, sums = np.zeros(1, np.int64), np.zeros(1)
-            for k, p in enumerate(products):
-                total = sums[:, None] + p[i][None, :]
-                later = rest[k + 1][i] if k + 1 < len(products) else 0.0
-                a, w = np.nonzero(total + later > threshold)
-                codes, sums = codes[a] * self.words + w, total[a, w]
-            out.append(np.sort(codes))
-        return out
+            bound = threshold
+            while True:
+                codes, sums = np.zeros(1, np.int64), np.zeros(1)
+                for k, p in enumerate(products):
+                    total = sums[:, None] + p[i][None, :]
+                    later = rest[k + 1][i] if k + 1 < len(products) else 0.0
+                    a, w = np.nonzero(total + later > bound)
+                    codes, sums = codes[a] * self.words + w, total[a, w]
+                if len(codes) >= fewest:
+                    break
+                bound = min(bound, rest[0][i]) - 0.05
+            order = np.lexsort((codes, -sums))
+            yield codes[order], sums[order]
+
+
+def pairs_at(least: float, dimension: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors with that inner product."""
+    random = np.random.default_rng([SEED, dimension, seed])
+    x, y = random.standard_normal((2, n, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dimension == 1:
+        return x, x
+    y -= (x * y).sum(1, keepdims=True) * x
+    return x, least * x + np.sqrt(1 - least * least) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def filters(dimension: int, chance: float, least: float) -> tuple[float, int, int]:
+    """(threshold, bits, fewest) with which the share RECALL of random pairs at the least similarity meets."""
+    x, y = pairs_at(least, dimension, PAIRS, 0)
+    while True:
+        threshold, bits = cap(dimension, chance, least)
+        code, needed = Code(dimension, bits), []
+        for (a, s), (b, t) in zip(code.nearest(x, threshold, MOST), code.nearest(y, threshold, MOST)):
+            _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            rank = np.maximum(np.where(s[i] > threshold, 0, i + 1), np.where(t[j] > threshold, 0, j + 1))
+            needed.append(rank.min(initial=MOST + 1))
+        fewest = int(np.sort(needed)[int(np.ceil(RECALL * PAIRS)) - 1])
+        if fewest <= MOST:
+            return threshold, bits, fewest
+        if chance >= 0.5:
+            return -2.0, bits, 0  # every vector passes every filter
+        chance = min(0.5, chance * 4)
 
 
 def _points(vectors: DataFrame) -> DataFrame:
@@ -98,9 +142,11 @@ def _points(vectors: DataFrame) -> DataFrame:
 
 def _filtered(points: DataFrame, chance: float, least: float) -> DataFrame:
     """(label, dim, code, point, weight, vector, codes) for each passing direction."""
+    sizes = [r[0] for r in points.select(F.size("embedding")).distinct().collect()]
+    chosen = {n: filters(n, chance, least) for n in sizes}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, tuple[Code, float]] = {}
+        books: dict[int, Code] = {}
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
@@ -112,10 +158,10 @@ def _filtered(points: DataFrame, chance: float, least: float) -> DataFrame:
                     x = np.array([raw[i] for i in at], np.float64)
                     x /= np.abs(x).max(1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    threshold, bits, fewest = chosen[size]
                     if size not in books:
-                        threshold, bits = cap(size, chance, least)
-                        books[size] = Code(size, bits), threshold
-                    lists = books[size][0].passing(x, books[size][1])
+                        books[size] = Code(size, bits)
+                    lists = books[size].passing(x, threshold, fewest)
                     counts = np.array([len(c) for c in lists])
                     rows = np.repeat(np.arange(len(at)), counts)
                     if not len(rows):
