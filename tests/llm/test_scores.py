@@ -87,6 +87,15 @@ def test_base_scores_and_rare_words(spark):
     assert score_texts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_rare_contexts_score_too(spark):
+    rows = [(k, prose(k, 30, 50) + " é"[: k % 3]) for k in range(25)] + [(90, None), (91, "zzq zzq zzq \u00fc")]
+    training = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    expected = {i: plain_ppm(training, (t or "").encode(), 4) for i, t in rows}
+    for contexts in (0, 60, 1 << 15):
+        got = {r["doc_id"]: r["score"] for r in score_texts(documents(spark, rows), contexts=contexts).collect()}
+        assert got == pytest.approx(expected, rel=1e-4)
+
+
 def labelled_table(spark):
     rows, labels = [], []
     for k in range(240):

@@ -7,10 +7,11 @@ where kinds that the longer contexts know are excluded from the counts. Below th
 context all kinds left are equal. A text is its lower-cased bytes and an end (byte 0); the
 score is the sum of log10 of each symbol's probability after its longest known context.
 
-Counts are made and summed by Spark over every training text. Tasks hold the contexts seen
-most: the largest set by frequency that fits CONTEXTS, so the broadcast has a fixed bound
-while the table that it is drawn from grows with the corpus. A context's distribution is
-worked out once, so a task only looks rows up.
+Counts are made and summed by Spark over every training text, and all contexts score. Tasks hold
+the contexts seen most: the largest set by frequency that fits CONTEXTS, so the broadcast has a
+fixed bound. A context's distribution is worked out once, so a task only looks rows up. Symbols
+whose longest context may lie outside that set are counted per document; each distinct one is
+scored from the whole table of contexts, and the documents are joined to these scores.
 
 The baseline counts every distinct training word. The words of the frequency classes that fit
 HOT_WORDS are broadcast, all others are joined.
@@ -21,7 +22,7 @@ a null doc_id counts as the empty string for the fold. Other columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,8 +122,8 @@ def _lowest_class(table: DataFrame, count: str, limit: int, per_octave: int) ->
     return lowest if lowest is not None else 1 << 20
 
 
-def trie(grams: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> pa.Table:
-    """(depth, context, symbol, n) of the most frequent contexts, ``contexts`` of them at most."""
+def trie(grams: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> tuple[pa.Table, DataFrame]:
+    """(depth, context, symbol, n) of the most frequent contexts, about ``contexts`` of them at most, and of all others."""
     depth = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("depth")
     nodes = grams.select("gram", "n", depth).select(
         "depth",
@@ -133,8 +134,9 @@ def trie(grams: DataFrame, order: int = ORDER, contexts: int = CONTEXTS) -> pa.T
     nodes = settle(nodes.groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n")), "trie")
     totals = settle(nodes.groupBy("depth", "context").agg(F.sum("n").alias("total")), "contexts")
     level = _lowest_class(totals, "total", contexts, 16)
-    kept = totals.where(F.floor(F.log2("total") * 16) >= level).select("depth", "context")
-    return nodes.join(kept, ["depth", "context"]).toArrow()
+    hot = (F.floor(F.log2("total") * 16) >= level) | (F.col("depth") == 0)
+    kept, rest = (totals.where(c).select("depth", "context") for c in (hot, ~hot))
+    return nodes.join(kept, ["depth", "context"]).toArrow(), nodes.join(rest, ["depth", "context"])
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -165,6 +167,13 @@ class Model:
 
     def score(self, rows: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
+        return self.parts(rows, whole=True)[0]
+
+    def parts(self, rows: list[bytes], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text; the (text, gram, times) of symbols that a longer context outside the model may score.
+
+        If the model is the ``whole`` trie there are none; otherwise the probability leaves them out.
+        """
         data, places, lengths = _symbols(rows, self.order)
         node = np.zeros(len(places), np.int64)
         live = np.arange(len(places))
@@ -174,22 +183,80 @@ class Model:
             live = live[known]
             node[live] = step[known]
         terms = self.log10[node, data[places]].astype(np.float64)
-        return np.add.reduceat(terms, np.concatenate(([0], np.cumsum(lengths)[:-1])))
+        left = np.ones(len(places), bool)
+        left[live] = False
+        left = np.flatnonzero(left & (not whole))
+        terms[left] = 0
+        grams = np.zeros(len(left), np.int64)
+        for back in range(self.order, -1, -1):
+            grams = grams << 8 | data[places[left] - back]
+        owner = np.repeat(np.arange(len(rows)), lengths)[left]
+        by = np.lexsort((grams, owner))
+        owner, grams = owner[by], grams[by]
+        first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(grams, prepend=-1) != 0))
+        times = np.diff(np.append(first, len(grams)))
+        return np.add.reduceat(terms, np.concatenate(([0], np.cumsum(lengths)[:-1]))), owner[first], grams[first], times
+
+
+def gram_scores(wanted: DataFrame, hot: pa.Table, rest: DataFrame, order: int) -> DataFrame:
+    """(gram, log10) of each ``gram`` of ``wanted`` by the whole trie: the ``hot`` part and the ``rest``."""
+    by_context = wanted.groupBy(F.shiftright("gram", 8).alias("c")).agg(F.collect_set(F.col("gram").bitwiseAND(255)).alias("symbols"))
+    lists = rest.groupBy("depth", "context").agg(F.collect_list("symbol").alias("s"), F.collect_list("n").alias("n"))
+    lists = settle(lists, "lists")
+    for k in range(1, order + 1):
+        own = lists.where(F.col("depth") == k).select(F.col("context").alias(f"c{k}"), F.col("s").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+        by_context = by_context.withColumn(f"c{k}", F.col("c").bitwiseAND((1 << 8 * k) - 1)).join(own, f"c{k}", "left")
+    columns = [x for k in range(1, order + 1) for x in (f"s{k}", f"n{k}")]
+    share = wanted.sparkSession.sparkContext.broadcast(hot)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = share.value
+        depth, context, symbol, n = (known.column(c).to_numpy() for c in ("depth", "context", "symbol", "n"))
+        keys, where = np.unique(depth.astype(np.int64) << 56 | context, return_inverse=True)
+        counts = np.zeros((len(keys) + 1, 256), np.float32)  # the last row is of contexts that are not hot
+        counts[where, symbol] = n
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1024):
+                batch = whole.slice(low, 1024)
+                contexts = batch.column("c").to_numpy()
+                chain = []
+                for k in range(order, -1, -1):
+                    level = counts[_find(keys, k << 56 | contexts & ((1 << 8 * k) - 1))].astype(np.float64)
+                    if k:
+                        symbols, times = batch.column(f"s{k}"), batch.column(f"n{k}")
+                        rows = np.repeat(np.arange(len(contexts)), symbols.value_lengths().fill_null(0).to_numpy())
+                        level[rows, symbols.flatten().to_numpy()] = times.flatten().to_numpy()
+                    chain.append(level)
+                logs = np.log10(_chained(chain))
+                symbols = batch.column("symbols")
+                rows, symbols = np.repeat(np.arange(len(contexts)), symbols.value_lengths().to_numpy()), symbols.flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(contexts[rows] << 8 | symbols), pa.array(logs[rows, symbols])], ["gram", "log10"])
+
+    return by_context.select("c", "symbols", *columns).mapInArrow(score, "gram long, log10 double")
 
 
 def _distributions(counts: np.ndarray, suffix: np.ndarray, nodes: np.ndarray, order: int) -> np.ndarray:
-    out = np.zeros((len(nodes), 256))
-    escape = np.ones((len(nodes), 1))
-    excluded = np.zeros((len(nodes), 256), bool)
-    at = nodes
-    for _ in range(order + 1):
-        here = np.where(excluded, 0, counts[at])
+    def chain() -> Iterator[np.ndarray]:
+        at = nodes
+        for _ in range(order + 1):
+            yield counts[at]
+            at = suffix[at]
+
+    return _chained(chain())
+
+
+def _chained(chain: Iterable[np.ndarray]) -> np.ndarray:
+    """Distributions from the counts in the longest contexts and then in each shorter one."""
+    out = None
+    for counts in chain:
+        if out is None:
+            out, escape, excluded = np.zeros(counts.shape), np.ones((len(counts), 1)), np.zeros(counts.shape, bool)
+        here = np.where(excluded, 0, counts)
         n, kinds = here.sum(1, keepdims=True), (here > 0).sum(1, keepdims=True)
         whole = np.maximum(n + kinds, 1)
         out += escape * here / whole
         escape = np.where(kinds > 0, escape * kinds / whole, escape)
         excluded |= here > 0
-        at = suffix[at]
     left = 256 - excluded.sum(1, keepdims=True)
     out += np.where(excluded, 0, escape / np.maximum(left, 1))
     return out / out.sum(1, keepdims=True)
@@ -209,7 +276,8 @@ def score_texts(docs: DataFrame, folds: int = 10, order: int = ORDER, contexts:
     by_key = np.argsort(keys)
     logs = np.log10((table.column("n").to_numpy()[by_key] + 0.1) / floor)
     grams = settle(gram_counts(train, order), "grams")
-    model = Model(trie(grams, order, contexts), order)
+    frequent, others = trie(grams, order, contexts)
+    model, whole = Model(frequent, order), others.isEmpty()
     share = docs.sparkSession.sparkContext.broadcast((keys[by_key], logs, model.order, model.deeper, model.log10))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,8 +294,13 @@ def score_texts(docs: DataFrame, folds: int = 10, order: int = ORDER, contexts:
             known = found >= 0
             sums = np.bincount(owner[known], word_logs[found[known]] if len(word_logs) else None, len(rows))
             rare, whose = hashes[~known], owner[~known]
-            order = np.argsort(whose, kind="stable")
-            offsets = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=len(rows)))))
+            by_text = np.argsort(whose, kind="stable")
+            own, of, grams, times = model.parts(rows, whole)
+
+            def listed(values: np.ndarray, texts: np.ndarray) -> pa.Array:
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(texts, minlength=len(rows)))))
+                return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(first + np.arange(len(rows))),
@@ -236,25 +309,37 @@ def score_texts(docs: DataFrame, folds: int = 10, order: int = ORDER, contexts:
                     pa.array(words.counts + 1),
                     pa.array(np.bincount(owner[known], minlength=len(rows))),
                     pa.array(sums.astype(np.float64)),
-                    pa.array(model.score(rows)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rare[order].view(np.int64))),
+                    pa.array(own),
+                    listed(rare[by_text].view(np.int64), whose),
+                    listed(grams, of),
+                    listed(times, of),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "rare"],
+                ["row", "doc_id", "held_out", "n_tokens", "known", "sum", "own", "rare", "grams", "times"],
             )
             first += len(rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, sum double, score double, rare array<long>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, sum double, own double, rare array<long>"
+    schema += ", grams array<long>, times array<long>"
     scored = settle(docs.mapInArrow(score, schema), "scored")
     rare = scored.select("row", F.explode("rare").alias("word")).join(counts.where(~hot), "word", "left")
     base = F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(floor))
     rare = rare.groupBy("row").agg(F.sum(base).alias("more"), F.count("n").alias("more_known"))
-    return scored.join(rare, "row", "left").select(
+    result = scored.drop("rare", "grams", "times").join(rare, "row", "left")
+    score_column = F.col("own")
+    if not whole:
+        left = scored.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", "g.grams", "g.times")
+        left = left.withColumnRenamed("grams", "gram")
+        logs = settle(gram_scores(left.select("gram").distinct(), frequent, others, order), "gram scores")
+        left = left.join(logs, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log10")).alias("left"))
+        result = result.join(left, "row", "left")
+        score_column = F.col("own") + F.coalesce("left", F.lit(0.0))
+    return result.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        score_column.alias("score"),
     )
