@@ -67,6 +67,15 @@ def test_same_hits_as_plain_search(spark, limit):
     assert kept.count() == sum(not r[-1] for r in expected)
 
 
+@pytest.mark.parametrize("limit", [4 << 20, 600])
+def test_items_without_id_hit_words(spark, limit):
+    items = spark.createDataFrame([(None, prose(50, 20)), (None, prose(52, 13)), (1, prose(51, 13))], "item_id long, text string")
+    docs = documents(spark, [(1, prose(50, 20)), (2, prose(51, 13)), (3, prose(53, 20)), (4, f"{prose(52, 13)} {prose(51, 13)}")])
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in contamination(docs, items, pattern_limit=limit).collect()}
+    assert got == {1: (20, 1, True), 2: (13, 1, True), 3: (0, 0, False), 4: (26, 2, True)}
+    assert [r["doc_id"] for r in drop_contaminated(docs, items, pattern_limit=limit).collect()] == [3]
+
+
 def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(documents(spark, awkward()), none).where("contaminated or n_items > 0").count() == 0

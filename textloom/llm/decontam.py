@@ -10,8 +10,9 @@ The benchmark is cut into parts of bounded pattern size, so the automaton that e
 holds is bounded too. One part is the usual case; more parts scan one after another.
 
 Null or wordless texts have no words and are clean. Null or wordless items have no windows.
-Items that share a window are all counted; rows that repeat an item_id count once. All rows
-are returned, also with repeated doc_ids; other columns are ignored.
+Items that share a window are all counted; rows that repeat an item_id count once. The windows
+of items with a null item_id hit words like all others; all such items count once in n_items, as
+rows of one id do, and are left out of the digest, as in the SQL. All rows are returned, also with repeated doc_ids; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,13 +60,13 @@ def pattern_bytes(text: bytes, width: int) -> int:
 def item_parts(benchmark: DataFrame, width: int, limit: int) -> list[DataFrame]:
     """The benchmark in parts of bounded pattern size, by sizes that Spark sums."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    items = items.where("item is not null and text is not null").distinct()
+    items = items.where("text is not null").distinct()
     size = items.select(F.sum((F.length("text") + 2) * width)).first()[0] or 0
     n = -(-size // limit)
     return [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)]
 
 
-def build(items: list[tuple[str, bytes]], width: int):
+def build(items: list[tuple[str | None, bytes]], width: int):
     import ahocorasick
 
     of: dict[bytes, set[int]] = {}
@@ -93,7 +94,7 @@ def _spans(text: bytes, flags: np.ndarray) -> str:
     return ",".join(f"{lead[words.starts[a]]}:{lead[words.ends[b - 1]]}" for a, b in zip(first, after))
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, bytes]], keep: list[str], width: int, share: int, last: bool) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str | None, bytes]], keep: list[str], width: int, share: int, last: bool) -> DataFrame:
     """Add one part's hits to FOUND; the last part puts the result in place of text and hits."""
     part = docs.sparkSession.sparkContext.broadcast(items)
     names = [i for i, _ in items]
@@ -141,11 +142,12 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], keep: list[str], widt
 def _result(out: list, share: int) -> list[pa.Array]:
     n = np.array([x[1] for x in out], np.int64)
     hit = np.array([int(x[2].sum()) for x in out], np.int64)
-    named = [sorted(set(x[3])) for x in out]
+    found = [set(x[3]) for x in out]
+    named = [sorted(f - {None}) for f in found]
     return [
         pa.array(n),
         pa.array(hit),
-        pa.array([len(x) for x in named], pa.int64()),
+        pa.array([len(f) for f in found], pa.int64()),
         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]),
         pa.array((hit > 0) & (share * hit >= n)),
         pa.array([_spans(x[0], x[2]) if h else "" for x, h in zip(out, hit)]),
@@ -162,7 +164,7 @@ def _judged(docs: DataFrame, keep: list[str], benchmark: DataFrame, width: int,
     return _scan(rows, _items(parts[-1]) if parts else [], keep, width, share, last=True)
 
 
-def _items(part: DataFrame) -> list[tuple[str, bytes]]:
+def _items(part: DataFrame) -> list[tuple[str | None, bytes]]:
     """The items of one part, whose size has a bound."""
     return [(r["item"], bytes(r["text"])) for r in part.collect()]
 
