@@ -15,7 +15,9 @@ from textloom.llm.page_text import extract
 from textloom.llm.ppm import score_texts
 from textloom.llm.quality import quality
 from textloom.llm.secret_scan import secret_digest
+from textloom.llm.token_counts import token_counts
 from textloom.llm.toxicity import toxicity
+from textloom.llm.whitening import whitened_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,3 +144,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_cap_filters")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_vectors(table(spark, sf_dir, "embeddings"))
