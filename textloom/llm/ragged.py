@@ -25,3 +25,35 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values[first[i]:first[i + 1]] for each i; runs may be empty."""
     before = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return before[first[1:]] - before[first[:-1]]
+
+
+class Tally:
+    """Keys with counts; sorted parts are merged as they come, so the memory follows the distinct keys."""
+
+    def __init__(self, merge_at: int = 1 << 18):
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.merge_at = 0, merge_at
+
+    def add(self, keys: np.ndarray) -> None:
+        part = np.unique(keys, return_counts=True)
+        self.waiting.append(part)
+        self.size += len(part[0])
+        if self.size > self.merge_at + len(self.keys):
+            self.merge()
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        counts = np.concatenate([self.counts, *(n for _, n in self.waiting)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+        self.keys, self.counts = keys[at], np.add.reduceat(counts, at) if len(at) else counts
+        self.waiting, self.size = [], 0
+
+    def rows(self, name: str) -> pa.RecordBatch:
+        """All keys and counts so far; the tally starts anew."""
+        self.merge()
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], [name, "n"])
+        self.__init__(self.merge_at)
+        return out
