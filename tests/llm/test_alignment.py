@@ -38,7 +38,7 @@ def plain_groups(text):
     ends = [np.cumsum([len(n[i]) for i in ids]).tolist() for ids, n in ((a, BOTH.bytes[0]), (b, BOTH.bytes[1]))]
     groups, i, j = [], 0, 0
     for end in sorted(set(ends[0]) & set(ends[1])):
-        p, q = ends[0].index(end) + 1, ends[1].index(end) + 1
+        p, q = ends[0].index(end, i) + 1, ends[1].index(end, j) + 1
         groups.append((a[i:p], b[j:q]))
         i, j = p, q
     return groups
