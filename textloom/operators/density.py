@@ -1,164 +1,54 @@
 """Density clustering: cuts at one density, and the hierarchy over all densities.
 
-The work on all points is one shuffle by cell.  Where the distinct points are
-many, they are binned first to a bounded number of weighted places, so the rest
-of the work does not grow with the table; every row still gets the label of its
-place.  After Campello, Moulavi and Sander (2013).
+Every distinct place is a weighted point.  Cells of space bound the work of a task on
+neighbours and on the tree, bounded groups of edges that on the hierarchy.  After
+Campello, Moulavi and Sander (2013).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
+from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
+from .condense import DENSEST, GROUP_ROWS, condense
 from .forest import spanning_forest
-from .knn import CHUNK, coordinates, core_distances, distances, neighbour_lists
+from .knn import CHUNK, coordinates, core_distances, distances
+from .reach import leaf_tree, spanning_tree
 from .space import LEAF_ROWS, Leaves, distinct_points, into_leaves, visits
 
-MAX_PLACES = 2**18
-SURE_SHARE = 0.8  # room for the error of approximate distinct counts
-FINEST_BIN = 16
-FEW_NEIGHBOURS = 128  # up to here a neighbour graph takes four times min_samples
-
-DENSEST = 1e280  # stands for the density of copies
-
 EDGE = "trial int, a bigint, b bigint, weight double"
 
 
-@dataclass
-class Places:
-    """Weighted places of a table, and the place of every row."""
-
-    points: DataFrame  # id, p, w
-    rows: DataFrame  # the table's rows with the column place
-
-
-def into_places(df: DataFrame, dims: list[str], key: str, max_places: int = MAX_PLACES) -> Places:
-    """One place for each distinct point, or for each cell of the finest grid that fits.
-
-    A place of a grid has the mean of its rows as coordinates.
-    """
-    ranges = [f(c).alias(f"{n}{i}") for i, c in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    stats = df.agg(F.approx_count_distinct(F.struct(*dims)).alias("n"), *ranges).first()
-    room = max_places * SURE_SHARE
-    exact = stats["n"] <= room
-    if exact:
-        keys = [F.col(d) for d in dims]
-    else:
-        extent = max(stats[f"hi{i}"] - stats[f"lo{i}"] for i in range(len(dims))) * (1 + 1e-9)
-
-        def grid(level: Column) -> list[Column]:
-            width = F.lit(extent) / F.pow(F.lit(2.0), level)
-            return [F.floor((F.col(d) - F.lit(stats[f"lo{i}"])) / width) for i, d in enumerate(dims)]
-
-        levels = F.explode(F.sequence(F.lit(1), F.lit(FINEST_BIN))).alias("_v")
-        used = (
-            df.select(*dims, levels)
-            .groupBy("_v")
-            .agg(F.approx_count_distinct(F.struct(*grid(F.col("_v")))).alias("n"))
-        )
-        finest = used.where(F.col("n") <= room).agg(F.max("_v")).first()[0]
-        keys = grid(F.lit(finest or 1))
-    cells = [k.alias(f"_g{i}") for i, k in enumerate(keys)]
-    names = [f"_g{i}" for i in range(len(dims))]
-    places = settle(
-        df.select(*cells, key, *dims)
-        .groupBy(*names)
-        .agg(F.min(key).alias("id"), F.count("*").alias("w"), *[(F.min if exact else F.avg)(d).alias(d) for d in dims]),
-        "places",
-    )
-    points = places.select("id", F.array(*[F.col(d).cast("double") for d in dims]).alias("p"), "w")
-    # At most max_places rows of a few numbers, whatever the size of the table.
-    lookup = F.broadcast(places.select(*names, F.col("id").alias("place")))
-    rows = df.select("*", *cells).join(lookup, names).drop(*names)
-    return Places(points, rows)
-
-
-def _prim(p: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning tree of all points of a leaf under mutual reachability."""
-    n = len(p)
-    axes = [np.ascontiguousarray(p[:, i]) for i in range(p.shape[1])]
-    best, source = np.full(n, np.inf), np.zeros(n, np.int64)
-    open_core = core.astype(float).copy()  # infinite once a point is in the tree
-    reach, step = np.empty(n), np.empty(n)
-    a, b, weight = [], [], []
-    at = 0
-    for _ in range(n - 1):
-        open_core[at] = best[at] = np.inf
-        reach[:] = 0
-        for axis in axes:
-            np.subtract(axis, axis[at], out=step)
-            np.multiply(step, step, out=step)
-            reach += step
-        np.sqrt(reach, out=reach)
-        np.maximum(reach, core[at], out=reach)
-        np.maximum(reach, open_core, out=reach)
-        closer = np.flatnonzero(reach < best)
-        best[closer], source[closer] = reach[closer], at
-        at = int(best.argmin())
-        if best[at] == np.inf:  # only unreachable points are left
-            break
-        a.append(source[at])
-        b.append(at)
-        weight.append(best[at])
-    return np.array(a, np.int64), np.array(b, np.int64), np.array(weight, float)
-
-
 def _leaf_tree(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf[np.isfinite(pdf["core"])].sort_values("id", ignore_index=True)
     ids = pdf["id"].to_numpy()
-    a, b, weight = _prim(coordinates(pdf), pdf["core"].to_numpy())
+    a, b, weight = leaf_tree(coordinates(pdf), pdf["core"].to_numpy())
     trial = pdf["trial"].iloc[0] if len(pdf) else 0
     return pd.DataFrame({"trial": trial, "a": ids[a], "b": ids[b], "weight": weight})
 
 
-def graph_neighbours(min_samples: int) -> int:
-    """Neighbours of a point that may carry an edge to another leaf."""
-    return max(min_samples, min(4 * min_samples, FEW_NEIGHBOURS))
-
-
-def reach_forest(leaves: Leaves, trials: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """Points (trial, id, w, core) and mutual-reachability forest edges, for each sample size.
-
-    Each leaf gives the spanning tree of its own points; an edge that is not in
-    it cannot be in the whole tree.  Edges between leaves come from the neighbour
-    lists, and the forest of both is found by rounds over the edge table.  With
-    one leaf the tree is exact over all pairs.
-    """
-    lists = None
-    if not leaves.single:
-        lists = settle(neighbour_lists(leaves, graph_neighbours(max(trials))), "neighbours")
+def reach_tree(leaves: Leaves, trials: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """Points (trial, id, w, level, cell) and the edges of their mutual-reachability tree, for each sample size."""
     pairs = F.explode(
         F.transform("cores", lambda core, i: F.struct(i.alias("trial"), core.alias("core")))
     )
-    cored = core_distances(leaves, trials, lists).select("*", pairs.alias("t"))
+    cored = core_distances(leaves, trials).select("*", pairs.alias("t"))
     points = cored.select(
         F.col("t.trial").alias("trial"), "id", "p", "w", F.col("t.core").alias("core"), "level", "cell"
     )
     points = settle(points, "cores")
-    inside = points.groupBy("trial", "level", "cell").applyInPandas(_leaf_tree, EDGE)
-    plain = points.select("trial", "id", "w", "core")
+    plain = points.select("trial", "id", "w", "level", "cell")
     if leaves.single:
-        return plain, inside
-    far = lists.select("id", "level", "cell", F.explode("nbrs").alias("n")).select(
-        F.col("id").alias("a"), "level", "cell", F.col("n.id").alias("b"), F.col("n.d").alias("d")
-    )
-    home = leaves.points.select(F.col("id").alias("b"), F.col("level").alias("l2"), F.col("cell").alias("c2"))
-    across = far.join(home, "b").where((F.col("level") != F.col("l2")) | (F.to_json("cell") != F.to_json("c2")))
-    finite = plain.where(F.col("core") < float("inf"))
-    across = (
-        across.join(finite.select("trial", F.col("id").alias("a"), F.col("core").alias("ca")), "a")
-        .join(finite.select("trial", F.col("id").alias("b"), F.col("core").alias("cb")), ["trial", "b"])
-        .select("trial", "a", "b", F.greatest("ca", "cb", "d").alias("weight"))
-    )
-    return plain, spanning_forest(inside.union(across)).edges
+        return plain, points.groupBy("trial", "level", "cell").applyInPandas(_leaf_tree, EDGE)
+    return plain, spanning_tree(points, leaves)
 
 
 def _condense(min_cluster_size: int, epsilon: float, points: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -292,12 +182,12 @@ def _condense(min_cluster_size: int, epsilon: float, points: pd.DataFrame, edges
 
 
 def flat_clusters(
-    points: DataFrame, edges: DataFrame, settings: Sequence[tuple[int, float]]
+    points: DataFrame, edges: DataFrame, settings: Sequence[tuple[int, float]], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Rows (trial, id, w, clust_id): one flat clustering for each trial.
 
-    ``settings`` has (min_cluster_size, epsilon) for each trial.  Each trial's
-    tree has at most ``MAX_PLACES`` places by construction.
+    ``settings`` has (min_cluster_size, epsilon) for each trial.  Trees of up to ``group_rows`` points are
+    condensed in one task each, larger ones in many.
     """
 
     def run(key: tuple, pts: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
@@ -307,24 +197,35 @@ def flat_clusters(
         out.insert(0, "trial", int(key[0]))
         return out[["trial", "id", "w", "clust_id"]]
 
-    return (
-        points.groupBy("trial")
-        .cogroup(edges.groupBy("trial"))
-        .applyInPandas(run, "trial int, id bigint, w bigint, clust_id int")
-    )
-
-
-def cluster_places(
-    leaves: Leaves, settings: Sequence[tuple[int, int, float]]
+    if points.where("trial = 0").limit(group_rows + 1).count() <= group_rows:
+        return (
+            points.select("trial", "id", "w").groupBy("trial")
+            .cogroup(edges.groupBy("trial"))
+            .applyInPandas(run, "trial int, id bigint, w bigint, clust_id int")
+        )
+    whole = None
+    for i, (size, epsilon) in enumerate(settings):
+        own = points.where(F.col("trial") == i)
+        places = own.select("id", F.struct("level", "cell").alias("key"))
+        found = condense(own.select("id", "w"), edges.where(F.col("trial") == i), size, epsilon, places, group_rows)
+        found = found.select(F.lit(i).alias("trial"), "id", "w", "clust_id")
+        whole = found if whole is None else whole.union(found)
+    return whole
+
+
+def cluster_points(
+    leaves: Leaves, settings: Sequence[tuple[int, int, float]], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """Labels of weighted places for each (min_cluster_size, min_samples, epsilon)."""
-    points, edges = reach_forest(leaves, [ms for _, ms, _ in settings])
-    return flat_clusters(points, edges, [(size, eps) for size, _, eps in settings])
+    """Labels of weighted points for each (min_cluster_size, min_samples, epsilon)."""
+    points, edges = reach_tree(leaves, [ms for _, ms, _ in settings])
+    return flat_clusters(points, edges, [(size, eps) for size, _, eps in settings], group_rows)
 
 
-def label_rows(places: Places, labels: DataFrame) -> DataFrame:
-    """Rows with the label of their place; the labels are bounded like the places."""
-    return places.rows.join(F.broadcast(labels), "place").drop("place")
+def label_rows(df: DataFrame, dims: list[str], points: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows with the label (id, clust_id) of their point."""
+    own = points.join(labels, "id").select(*[F.col("p")[i].alias(f"_d{i}") for i in range(len(dims))], "clust_id")
+    same = [F.col(d).cast("double").eqNullSafe(F.col(f"_d{i}")) for i, d in enumerate(dims)]
+    return df.join(own, reduce(and_, same), "left").drop(*[f"_d{i}" for i in range(len(dims))])
 
 
 def hdbscan(
@@ -334,16 +235,19 @@ def hdbscan(
     min_samples: int | None = None,
     epsilon: float = 0.0,
     key: str = "doc_id",
-    max_places: int = MAX_PLACES,
     leaf_rows: int = LEAF_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Adds ``clust_id``: clusters numbered from 0 by their smallest key, noise -1."""
+    """Adds ``clust_id``: clusters numbered from 0 by their smallest key, noise -1.
+
+    Copies of a place are one point with a weight; the tree is that of all pairs of points, whatever the sizes
+    of leaves and groups.
+    """
     min_samples = min_cluster_size if min_samples is None else min_samples
-    places = into_places(df, dims, key, max_places)
-    leaves = into_leaves(places.points, max(leaf_rows, 4 * graph_neighbours(min_samples)))
-    labels = cluster_places(leaves, [(min_cluster_size, min_samples, epsilon)])
-    found = settle(labels.select(F.col("id").alias("place"), "clust_id"), "clusters")
-    return label_rows(places, found)
+    points = settle(distinct_points(df, key, dims), "points")
+    leaves = into_leaves(points, max(leaf_rows, 4 * min_samples))
+    labels = cluster_points(leaves, [(min_cluster_size, min_samples, epsilon)], group_rows)
+    return label_rows(df, dims, points, settle(labels.select("id", "clust_id"), "clusters"))
 
 
 # One density.
@@ -354,7 +258,7 @@ def _local_components(pdf: pd.DataFrame) -> pd.DataFrame:
     ids, eps = pdf["id"].to_numpy(), float(pdf["eps"].iloc[0])
     order = np.argsort(ids)
     p, core = coordinates(pdf)[order], pdf["core"].to_numpy()[order]
-    a, b, weight = _prim(p, core)
+    a, b, weight = leaf_tree(p, core)
     root = list(range(len(ids)))
 
     def find(i: int) -> int:

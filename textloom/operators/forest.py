@@ -18,7 +18,7 @@ class Forest:
     components: DataFrame
 
 
-def _roots(hooks: DataFrame) -> DataFrame:
+def roots(hooks: DataFrame) -> DataFrame:
     """Follow parents to the root, doubling the step in each round."""
     hooks = settle(hooks, "hooks")
     while True:
@@ -35,6 +35,46 @@ def _roots(hooks: DataFrame) -> DataFrame:
             return hooks
 
 
+def choose_lightest(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each component's lightest edge (trial, node, weight, a, b), and the root (trial, node, parent) it joins.
+
+    ``live`` has edges (trial, u, v, weight, a, b) between the components u and v that hold a and b.  Ties fall to
+    the smaller ids, so the choices form no cycle and do not depend on partitioning.
+    """
+    edge = F.struct("weight", "a", "b")
+    ends = live.select("trial", F.col("u").alias("node"), F.col("v").alias("other"), edge.alias("e")).union(
+        live.select("trial", F.col("v").alias("node"), F.col("u").alias("other"), edge.alias("e"))
+    )
+    best = settle(
+        ends.groupBy("trial", "node").agg(F.min(F.struct("e", "other")).alias("m")).select(
+            "trial", "node", F.col("m.other").alias("parent"), "m.e.weight", "m.e.a", "m.e.b"
+        ),
+        "best",
+    )
+    # Of two components that chose each other, the smaller becomes the root.
+    back = best.select("trial", F.col("node").alias("parent"), F.col("parent").alias("back"))
+    hooks = best.join(back, ["trial", "parent"]).select(
+        "trial", "node",
+        F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node"))
+        .otherwise(F.col("parent")).alias("parent"),
+    )
+    return best.drop("parent"), roots(hooks)
+
+
+def contract(live: DataFrame, root: DataFrame) -> DataFrame:
+    """The lightest edge between each pair of the components that the roots make."""
+    edge = F.struct("weight", "a", "b")
+    u = root.select("trial", F.col("node").alias("u"), F.col("parent").alias("ru"))
+    v = root.select("trial", F.col("node").alias("v"), F.col("parent").alias("rv"))
+    return settle(
+        live.join(u, ["trial", "u"]).join(v, ["trial", "v"]).where("ru <> rv")
+        .groupBy("trial", F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
+        .agg(F.min(edge).alias("e"))
+        .select("trial", "u", "v", "e.weight", "e.a", "e.b"),
+        "live",
+    )
+
+
 def spanning_forest(edges: DataFrame) -> Forest:
     """Minimum spanning forest of the edges (trial, a, b, weight), for all trials at once.
 
@@ -58,35 +98,10 @@ def spanning_forest(edges: DataFrame) -> Forest:
         "components",
     )
     taken = []
-    edge = F.struct("weight", "a", "b")
     while live.limit(1).count():
-        ends = live.select("trial", F.col("u").alias("node"), F.col("v").alias("other"), edge.alias("e")).union(
-            live.select("trial", F.col("v").alias("node"), F.col("u").alias("other"), edge.alias("e"))
-        )
-        best = settle(
-            ends.groupBy("trial", "node").agg(F.min(F.struct("e", "other")).alias("m")).select(
-                "trial", "node", F.col("m.other").alias("parent"), "m.e.weight", "m.e.a", "m.e.b"
-            ),
-            "best",
-        )
+        best, root = choose_lightest(live)
         taken.append(best.select("trial", "a", "b", "weight").distinct())
-        # Of two components that chose each other, the smaller becomes the root.
-        back = best.select("trial", F.col("node").alias("parent"), F.col("parent").alias("back"))
-        hooks = best.join(back, ["trial", "parent"]).select(
-            "trial", "node",
-            F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("parent")), F.col("node"))
-            .otherwise(F.col("parent")).alias("parent"),
-        )
-        root = _roots(hooks)
-        u = root.select("trial", F.col("node").alias("u"), F.col("parent").alias("ru"))
-        v = root.select("trial", F.col("node").alias("v"), F.col("parent").alias("rv"))
-        live = settle(
-            live.join(u, ["trial", "u"]).join(v, ["trial", "v"]).where("ru <> rv")
-            .groupBy("trial", F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
-            .agg(F.min(edge).alias("e"))
-            .select("trial", "u", "v", "e.weight", "e.a", "e.b"),
-            "live",
-        )
+        live = contract(live, root)
         moved = root.select("trial", F.col("node").alias("component"), F.col("parent").alias("root"))
         names = settle(
             names.join(moved, ["trial", "component"], "left").select(

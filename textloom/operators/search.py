@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
 from .aggregate import cluster_stats
-from .density import MAX_PLACES, cluster_places, into_places, label_rows
-from .space import LEAF_ROWS, into_leaves
+from .condense import GROUP_ROWS
+from .density import cluster_points, label_rows
+from .space import LEAF_ROWS, distinct_points, into_leaves
 
 # Fixed values of the search.
 BOUNDS = ((100, 5, 10), (1000, 10, 50), (10000, 20, 80))
@@ -59,23 +60,22 @@ def cluster_search(
     dims: list[str],
     key: str = "doc_id",
     prefer: str = "most",
-    max_places: int = MAX_PLACES,
     leaf_rows: int = LEAF_ROWS,
+    group_rows: int = GROUP_ROWS,
 ) -> Search:
     """Bisect min_cluster_size until the number of clusters is within the bounds.
 
     Each of the at most ten steps fits two trials together, with min_samples equal
-    to the cluster size and to half of it; the second one steers.  The places and
+    to the cluster size and to half of it; the second one steers.  The points and
     cells are made once; only the statistics of the trials come to the driver.
     """
     spark = df.sparkSession
-    places = into_places(df, dims, key, max_places)
-    size = places.points.agg(F.sum("w")).first()[0] or 0
+    points = settle(distinct_points(df, key, dims), "points")
+    size = points.agg(F.sum("w")).first()[0] or 0
     if not size:
         raise ValueError("the table to cluster has no rows")
     lower, upper = search_bounds(size)
-    n_places = places.points.count()
-    leaves = into_leaves(places.points, max(leaf_rows, 4 * min(LARGEST, n_places)))
+    leaves = into_leaves(points, max(leaf_rows, 4 * min(LARGEST, points.count())))
     low, high = SMALLEST, LARGEST
     trials: list[tuple] = []
     labels: list[DataFrame] = []
@@ -83,7 +83,7 @@ def cluster_search(
         middle = low + (high - low) // 2
         samples = [middle, middle // 2]
         first = len(trials)
-        found = settle(cluster_places(leaves, [(middle, ms, 0.0) for ms in samples]), "trial")
+        found = settle(cluster_points(leaves, [(middle, ms, 0.0) for ms in samples], group_rows), "trial")
         labels += [found.where(F.col("trial") == i) for i in range(2)]
         for i, ms in enumerate(samples):
             stats = cluster_stats(labels[first + i], weight=F.col("w")).first()
@@ -103,5 +103,5 @@ def cluster_search(
         "n_outliers bigint, pct_outliers double",
     )
     chosen = choose_trial(table, lower, prefer)
-    best = labels[chosen.first().trial].select(F.col("id").alias("place"), "clust_id")
-    return Search(table, chosen, label_rows(places, best))
+    best = labels[chosen.first().trial].select("id", "clust_id")
+    return Search(table, chosen, label_rows(df, dims, points, best))
