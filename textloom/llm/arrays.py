@@ -1,7 +1,7 @@
 """Texts as flat NumPy arrays: words, their hashes, shingles, one block of texts at a time.
 
 Spark splits the rows over tasks; a task sees Arrow batches, cuts them into blocks of
-a few megabytes of text, and works on each block as one byte array, so that no Python
+a megabyte of text, and works on each block as one byte array, so that no Python
 code runs for each word.
 """
 
@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 SEGMENT = 1 << 18
 
 # ASCII white space of the contracts, and lower case for A-Z only.
@@ -43,15 +44,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
     """Slices of the batches with at most BLOCK_BYTES of text (one row at least), null texts as empty."""
     for batch in batches:
         column = batch.column(batch.schema.names.index(text))
-        rows = [t or b"" for t in column.to_pylist()]
-        start = size = 0
-        for i, t in enumerate(rows):
-            if i > start and size + len(t) > BLOCK_BYTES:
-                yield batch.slice(start, i - start), rows[start:i]
-                start, size = i, 0
-            size += len(t) + 1
-        if start < len(rows):
-            yield batch.slice(start), rows[start:]
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start, before = 0, 0
+        while start < len(column):
+            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, [t or b"" for t in column.slice(start, stop - start).to_pylist()]
+            start, before = stop, int(ends[stop - 1])
 
 
 class Words:

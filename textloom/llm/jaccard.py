@@ -38,7 +38,7 @@ from textloom.sources.scratch import settle
 WIDTH = 5
 SIMILARITY = 75
 SKETCH_BITS = 21
-SKETCH_BLOCK = 4 << 20  # shingles that are counted at a time for the sketch
+SKETCH_BLOCK = 2 << 20  # shingles that are counted at a time for the sketch
 SALT_ROWS = 256
 SUFFIX_BINS = 512
 PIVOTS = 8  # of a posting in each turn
@@ -116,7 +116,7 @@ def _postings(texts: DataFrame, sketch: np.ndarray, width: int, similarity: int)
                 if v not in seen:
                     seen.add(v)
                     fresh.append(i)
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 18:
                 seen.clear()
             words = Words([rows[i] for i in fresh])
             tokens, counts, sizes, places, owners = [], [], [], [], []

@@ -31,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.arrays import LOWER, Hasher, Words, text_blocks
+from textloom.llm.ragged import Tally
 from textloom.sources.scratch import settle
 
 ORDER = 4
 CONTEXTS = 1 << 15
 HOT_WORDS = 1 << 19
 END = 0x1F0D  # stands for the end token among word hashes
-HELD_ENTRIES = 2 << 20
+HELD_ENTRIES = 1 << 20
 
 
 def fold(column: str, n: int):
@@ -45,31 +46,11 @@ def fold(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-class _Tally:
-    """Sorted keys with counts, merged as they come."""
-
-    def __init__(self):
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        new, n = np.unique(keys, return_counts=True)
-        both = np.concatenate((self.keys, new))
-        order = np.argsort(both, kind="stable")
-        both, n = both[order], np.concatenate((self.counts, n))[order]
-        at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1])))
-        self.keys, self.counts = both[at], np.add.reduceat(n, at) if len(at) else n
-
-    def rows(self, name: str) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts)], [name, "n"])
-        self.__init__()
-        return out
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n): counts of all words by hash, and of the ends."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, tally = Hasher(), _Tally()
+        hasher, tally = Hasher(), Tally(kind=np.uint64)
         for _, rows in text_blocks(batches):
             tally.add(np.concatenate((hasher.words(Words(rows)), np.full(len(rows), END, np.uint64))))
             if len(tally.keys) > HELD_ENTRIES:
@@ -95,7 +76,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n): counts of each symbol after its ``order`` bytes of context, packed into one number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
+        tally = Tally(kind=np.uint64)
         for _, rows in text_blocks(batches):
             data, places, _ = _symbols(rows, order)
             grams = np.zeros(len(places), np.uint64)

@@ -30,8 +30,8 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Tally:
     """Keys with counts; sorted parts are merged as they come, so the memory follows the distinct keys."""
 
-    def __init__(self, merge_at: int = 1 << 18):
-        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    def __init__(self, merge_at: int = 1 << 18, kind: type = np.int64):
+        self.kind, self.keys, self.counts = kind, np.empty(0, kind), np.empty(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.merge_at = 0, merge_at
 
@@ -54,6 +54,6 @@ class Tally:
     def rows(self, name: str) -> pa.RecordBatch:
         """All keys and counts so far; the tally starts anew."""
         self.merge()
-        out = pa.RecordBatch.from_arrays([pa.array(self.keys), pa.array(self.counts)], [name, "n"])
-        self.__init__(self.merge_at)
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys.view(np.int64)), pa.array(self.counts)], [name, "n"])
+        self.__init__(self.merge_at, self.kind)
         return out
