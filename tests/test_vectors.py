@@ -95,6 +95,22 @@ def test_vector_neighbours_do_not_depend_on_partitions(spark):
     assert got[0] == got[1]
 
 
+def test_neighbours_of_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (30, 32))
+    v = centres[rng.integers(0, 30, 6000)] + rng.normal(0, 0.5, (6000, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "doc_id long, embeddings array<double>")
+    asked = rng.choice(6000, 150, replace=False)
+    want = {}
+    for i in asked.tolist():
+        d = np.linalg.norm(v - v[i], axis=1)
+        d[i] = np.inf
+        want[i] = set(np.argsort(d)[:10].tolist())
+    got = {r.id: [n.id for n in r.nbrs] for r in reduce.vector_neighbours(df, 10, projections=2, block_rows=256).collect()}
+    assert len(got) == 6000 and all(len(set(x)) == 10 for x in got.values())
+    assert np.mean([len(want[i] & set(got[i])) / 10 for i in want]) > 0.9
+
+
 def test_semantic_dedup_of_a_crowd_of_near_copies(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(0, 1, 16) + rng.normal(0, 1e-4, (6000, 16))
@@ -103,6 +119,21 @@ def test_semantic_dedup_of_a_crowd_of_near_copies(spark):
     assert [r.doc_id for r in dedup.semantic_dedup(df).collect()] == [0]
 
 
+def test_semantic_dedup_of_a_ring(spark):
+    # Rows of one cell, few of which are close to the earliest one.
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    ring = np.concatenate([np.stack([np.cos(turn), np.sin(turn)], 1) * 0.3, np.ones((400, 1))], axis=1)
+    v = ring[np.random.default_rng(2).permutation(400)]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, 0, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "doc_id long, klabel int, embeddings array<double>")
+    want = {i for i in range(400) if not any(u[i] @ u[j] > 0.9 for j in range(i))}
+    exact = {i for i in range(400) if not any(u[i] @ u[j] > 0.9999 for j in range(i))}
+    for tile_rows in (16, 1024):
+        assert {r.doc_id for r in dedup.semantic_dedup(df, threshold=0.9, tile_rows=tile_rows).collect()} == want
+        assert {r.doc_id for r in dedup.semantic_dedup(df, threshold=0.9999, tile_rows=tile_rows).collect()} == exact
+
+
 def test_layout_keeps_blobs_apart(spark):
     v, df = blobs(spark)
     got = reduce.reduce_dimensions(df, 2, "umap", n_neighbors=8, epochs=6).orderBy("doc_id").collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,6 +18,8 @@ from .sample import SEED
 GROUPS = 600
 THRESHOLD = 0.9999
 DIRECTIONS = 4
+TILE_ROWS = 1024  # rows of a cell that meet as many others in one task
+SLACK = 1e-9  # what products of matrices may differ from the plain sum
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,9 +77,54 @@ def sdedup(
     return flag_similar(centroid_similarity(grouped, "klabel", vector_col), threshold, literal)
 
 
+def _confirmed(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
+    """The rows (first) of the pairs (first, other) whose cosine is above the threshold."""
+    there = units.select(F.col("first").alias("other"), F.col("u").alias("other_u"))
+    near = pairs.join(units, "first").join(there, "other").where(dot(F.col("u"), F.col("other_u")) > threshold)
+    return near.select("first").distinct()
+
+
+def _tile(threshold: float):
+    """Rows of a tile that repeat an earlier one, and pairs too close to the threshold to tell by a product of matrices."""
+
+    def run(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        sure, pairs = [], []
+        if len(asking) and len(held):
+            first, other = asking["first"].to_numpy(), held["first"].to_numpy()
+            cosines = np.stack(asking["u"].to_numpy()) @ np.stack(held["u"].to_numpy()).T
+            cosines[other[None, :] >= first[:, None]] = -2.0
+            found = (cosines > threshold + SLACK).any(axis=1)
+            sure = first[found].tolist()
+            i, j = np.nonzero((np.abs(cosines - threshold) <= SLACK) & ~found[:, None])
+            pairs = list(zip(first[i].tolist(), other[j].tolist()))
+        rows = [(f, None) for f in sure] + pairs
+        return pd.DataFrame(rows, columns=["first", "other"]).astype({"first": "int64", "other": "Int64"})
+
+    return run
+
+
+def _crowded(asking: DataFrame, home: DataFrame, units: DataFrame, cells: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
+    """Rows (first, other) of crowded cells as ``_tile`` gives them: every task compares one tile with another."""
+    tiles = cells.select(
+        "cell", F.ceil(F.col("held") / tile_rows).alias("holders"), F.ceil(F.col("asked") / tile_rows).alias("askers")
+    )
+
+    def dealt(rows: DataFrame, own: str, across: str) -> DataFrame:
+        """Each row in a tile of its own side, once for every tile of the other side."""
+        number = F.sequence(F.lit(0).cast("long"), F.col(across) - 1)
+        return rows.join(tiles, "cell").select(
+            "cell", "first", F.pmod(F.xxhash64("first"), F.col(own)).alias(own[0]), F.explode(number).alias(across[0])
+        ).join(units, "first")
+
+    keys = ["cell", "a", "h"]
+    left, right = dealt(asking, "askers", "holders"), dealt(home, "holders", "askers")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_tile(threshold), "first bigint, other bigint")
+    return settle(found, "tiles")
+
+
 def semantic_dedup(
     df: DataFrame, group: str = "klabel", threshold: float = THRESHOLD, vector_col: str = "embeddings",
-    key: str = "doc_id", seed: int = SEED,
+    key: str = "doc_id", seed: int = SEED, tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Rows without an earlier row of their group whose cosine is above the threshold.
 
@@ -85,7 +133,9 @@ def semantic_dedup(
     rows meet only where their cells along a few random directions do.  A cell is
     two such distances wide, so a row looks into two cells for each direction,
     and no close pair is missed.  A row first meets the earliest row of each cell; only
-    rows that are not close to one of these meet all rows of their cells.
+    rows that are not close to one of these meet the other rows of their cells.  Cells hold
+    keys; vectors join the pairs of small cells, and the tiles of crowded ones, of which a task
+    compares two.
     """
     reach = math.sqrt(2 - 2 * threshold) * (1 + 1e-6) + 1e-9
     width = df.select(F.size(vector_col)).first()[0]
@@ -93,38 +143,40 @@ def semantic_dedup(
     lines /= np.linalg.norm(lines, axis=1, keepdims=True)
 
     wide = F.transform(vector_col, lambda x: x.cast("double"))
-    firsts = settle(
-        df.select(key, group, wide.alias("v")).groupBy(group, "v").agg(F.min(key).alias("first")), "firsts"
-    )
+    firsts = df.select(key, group, wide.alias("v")).groupBy(group, "v").agg(F.min(key).alias("first"))
     norm = F.sqrt(dot(F.col("v"), F.col("v")))
-    unit = firsts.withColumn("_n", norm).where("_n > 0").select(
-        group, "first", F.transform("v", lambda x: x / F.col("_n")).alias("u")
+    unit = firsts.withColumn("_n", norm).select(
+        group, "first", F.when(F.col("_n") > 0, F.transform("v", lambda x: x / F.col("_n"))).alias("u")
     )
+    unit = settle(unit, "units")
+    units = unit.where("u is not null").select("first", "u")
     along = [
         dot(F.col("u"), F.array(*[F.lit(float(x)) for x in line])) / (2 * reach) for line in lines
     ]
-    placed = unit.withColumn("_at", F.array(*along))
-    home = placed.select(
-        group, F.col("first").alias("other"), F.col("u").alias("other_u"),
-        F.transform("_at", lambda x: F.floor(x)).alias("cell"),
-    )
+    placed = unit.where("u is not null").select(group, "first", F.array(*along).alias("_at"))
+    home = placed.select(F.struct(group, F.transform("_at", lambda x: F.floor(x)).alias("at")).alias("cell"), "first")
     looked = placed
     for i in range(DIRECTIONS):
         at = F.col("_at")[i]
         own = F.floor(at)
         side = F.when(at - own < 0.5, own - 1).otherwise(own + 1)
         looked = looked.withColumn(f"_c{i}", F.explode(F.array(own, side)))
-    looked = looked.withColumn("cell", F.array(*[F.col(f"_c{i}") for i in range(DIRECTIONS)]))
-    looked = settle(looked.select(group, "first", "u", "cell"), "looked")
-    close = (F.col("other") < F.col("first")) & (dot(F.col("u"), F.col("other_u")) > threshold)
+    looked = looked.select(F.struct(group, F.array(*[F.col(f"_c{i}") for i in range(DIRECTIONS)]).alias("at")).alias("cell"), "first")
+    earliest = home.groupBy("cell").agg(F.count("*").alias("held"), F.min("first").alias("other"))
+    looked = settle(looked.join(earliest, "cell").where(F.col("other") < F.col("first")), "looked")
     # The earliest row of a cell settles most of a crowd of near copies, one pair for each row.
-    earliest = home.groupBy(group, "cell").agg(F.min_by(F.struct("other", "other_u"), "other").alias("e"))
-    settled = looked.join(earliest.select(group, "cell", "e.other", "e.other_u"), [group, "cell"]).where(close)
-    settled = settle(settled.select("first").distinct(), "settled")
+    settled = settle(_confirmed(looked.select("first", "other"), units, threshold), "settled")
     # Only rows that it leaves open meet the other rows of their cells.
-    rest = looked.join(settled, "first", "left_anti").join(home, [group, "cell"]).where(close)
-    repeats = settled.union(rest.select("first").distinct())
-    kept = firsts.select(F.col("first").alias(key)).join(
-        repeats.withColumnRenamed("first", key), key, "left_anti"
-    )
+    asking = settle(looked.where("held > 1").join(settled, "first", "left_anti"), "open")
+    cells = settle(asking.groupBy("cell").agg(F.max("held").alias("held"), F.count("*").alias("asked")), "cells")
+    crowded = F.col("held") * F.col("asked") > tile_rows
+    few = asking.select("cell", "first").join(cells.where(~crowded), "cell").drop("held", "asked")
+    pairs = few.join(home.withColumnRenamed("first", "other"), "cell").where(F.col("other") < F.col("first")).select("first", "other")
+    many = cells.where(crowded)
+    if many.limit(1).count():
+        in_tiles = _crowded(asking.select("cell", "first"), home, units, many, threshold, tile_rows)
+        pairs = pairs.union(in_tiles.where("other is not null"))
+        settled = settled.union(in_tiles.where("other is null").select("first"))
+    repeats = settled.union(_confirmed(pairs, units, threshold)).distinct()
+    kept = unit.select(F.col("first").alias(key)).join(repeats.withColumnRenamed("first", key), key, "left_anti")
     return df.join(kept, key, "left_semi")

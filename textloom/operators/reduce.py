@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
+from .descent import NEIGHBOURS, refine_neighbours
 from .knn import CHUNK, distances
 from .sample import SEED
 
@@ -25,7 +26,6 @@ PROJECTIONS = 6
 SIGMA_STEPS = 40
 REPELLERS = 64
 EPOCHS = 30
-NEIGHBOURS = "array<struct<d: double, id: bigint>>"
 
 
 def attach_dims(df: DataFrame, dims: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -71,7 +71,8 @@ def vector_neighbours(
     Rows are ranked along a few random directions and compared inside blocks of that order
     with borders at fixed ranks, each overlapping the next by half.  Work grows with rows
     times ``block_rows`` whatever the data, since equal vectors spread over blocks by their
-    key.  The answer does not depend on partitions; a table that fits one block is exact.
+    key.  A table that fits one block is exact; for larger ones the neighbours of neighbours are
+    compared in rounds until few entries change.  The answer does not depend on partitions.
     """
     width = df.select(F.size(vector_col)).first()[0]
     lines = np.random.default_rng(seed).standard_normal((projections, width))
@@ -113,9 +114,13 @@ def vector_neighbours(
     near = found.select("id", F.explode("nbrs").alias("n")).groupBy("id", F.col("n.id").alias("to")).agg(F.min("n.d").alias("d"))
     merged = near.groupBy("id").agg(F.collect_list(F.struct("d", F.col("to").alias("id"))).alias("nbrs"))
     alone = F.array().cast(NEIGHBOURS)
-    return vectors.select("id").distinct().join(merged, "id", "left").select(
+    lists = vectors.select("id").distinct().join(merged, "id", "left").select(
         "id", F.slice(F.array_sort(F.coalesce("nbrs", alone)), 1, k).alias("nbrs")
     )
+    if df.limit(block_rows + 1).count() <= block_rows:
+        return lists
+    narrow = vectors.select("id", F.col("v").cast("array<float>").alias("v")).dropDuplicates(["id"])
+    return refine_neighbours(settle(lists, "rough neighbours"), narrow, k, seed=seed)
 
 
 def fuzzy_graph(lists: DataFrame, k: int) -> DataFrame:
