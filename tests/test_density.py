@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import density, knn, search
+from textloom.operators import density, knn, search, space
 from textloom.plans import fixtures as fx
 
 
@@ -125,6 +125,18 @@ def test_search(pts):
     assert best.n_outliers == found.rows.where("clust_id = -1").count()
 
 
+@pytest.mark.parametrize("leaf_rows", [40, 10_000])
+def test_core_table(spark, leaf_rows):
+    p = np.random.default_rng(4).uniform(0, 1, (120, 2))
+    for weights in (np.ones(120, int), np.random.default_rng(5).integers(1, 4, 120)):
+        rows = [(i, [float(x) for x in r], int(w)) for i, (r, w) in enumerate(zip(p, weights))]
+        leaves = space.into_leaves(spark.createDataFrame(rows, "id long, p array<double>, w long"), leaf_rows)
+        got = {r.id: r.cores for r in knn.core_table(leaves, 9).collect()}
+        for ms in (1, 2, 5, 9):
+            want = {r.id: r.cores[0] for r in knn.core_distances(leaves, [ms]).collect()}
+            assert {i: c[ms - 1] for i, c in got.items()} == pytest.approx(want)
+
+
 def trial_table(spark, rows):
     return spark.createDataFrame(
         [(i, 5, 5, n, 0, float(p)) for i, (n, p) in enumerate(rows)],

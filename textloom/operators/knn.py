@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -183,6 +183,12 @@ def core_distances(leaves: Leaves, samples: Sequence[int], lists: DataFrame | No
     if not leaves.single:
         lists = lists if lists is not None else neighbour_lists(leaves, max(samples))
         return lists.withColumn("cores", F.array(*[core_from_list(ms) for ms in samples])).drop("nbrs")
+    schema = "id bigint, p array<double>, w bigint, level int, cell array<int>, cores array<double>"
+    return _with_whole_table(leaves, schema, lambda q, own, p, w: _cores(q, own, p, w, samples))
+
+
+def _with_whole_table(leaves: Leaves, schema: str, cores: Callable[..., np.ndarray]) -> DataFrame:
+    """The points of a single leaf with ``cores``, from all of its points."""
     spark = leaves.points.sparkSession
     table = leaves.points.select("id", "p", "w").toPandas().sort_values("id")  # at most leaf_rows rows
     shared = spark.sparkContext.broadcast(
@@ -194,14 +200,48 @@ def core_distances(leaves: Leaves, samples: Sequence[int], lists: DataFrame | No
         for pdf in batches:
             out = pdf.copy()
             own = np.searchsorted(ids, pdf["id"].to_numpy())
-            out["cores"] = list(_cores(coordinates(pdf), own, p, w, samples))
+            out["cores"] = list(cores(coordinates(pdf), own, p, w))
             yield out
 
     columns = ["id", "p", "w", "level", "cell"]
-    schema = "id bigint, p array<double>, w bigint, level int, cell array<int>, cores array<double>"
     return leaves.points.select(*columns).repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
+def _all_cores(q: np.ndarray, own: np.ndarray, p: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Core distances for 1 to k samples of the points at the positions ``own`` of the table (p, w)."""
+    cores = np.full((len(q), k), np.inf)
+    plain, most, wanted = bool((w == 1).all()), min(k, len(p) - 1), np.arange(1, k + 1)
+    for start in range(0, len(q), CHUNK):
+        d = distances(q[start : start + CHUNK], p)
+        rows, at = np.arange(len(d)), own[start : start + CHUNK]
+        d[rows, at] = np.inf
+        if plain:
+            if 0 < most < len(p):
+                d.partition(most - 1, axis=1)
+            cores[start + rows, :most] = np.sort(d[:, :most], axis=1)
+            continue
+        order = np.argsort(d, axis=1)[:, :-1]
+        for i in rows.tolist():
+            seen = np.cumsum(w[order[i]]) + (w[at[i]] - 1)
+            place = np.searchsorted(seen, wanted)
+            there = place < len(seen)
+            cores[start + i, there] = d[i, order[i, place[there]]]
+            cores[start + i, : w[at[i]] - 1] = 0.0
+    return cores
+
+
+def core_table(leaves: Leaves, k: int) -> DataFrame:
+    """Points with ``cores``: the core distances for 1, 2, ... k samples."""
+    schema = "id bigint, p array<double>, w bigint, level int, cell array<int>, cores array<double>"
+    if leaves.single:
+        return _with_whole_table(leaves, schema, lambda q, own, p, w: _all_cores(q, own, p, w, k))
+    zero, none = F.lit(0.0), F.lit(float("inf"))
+    copies = F.array_repeat(zero, F.least(F.col("w") - 1, F.lit(k)).cast("int"))
+    others = F.flatten(F.transform("nbrs", lambda n: F.array_repeat(n["d"], F.least(n["w"], F.lit(k)).cast("int"))))
+    cores = F.slice(F.concat(copies, others, F.array_repeat(none, k)), 1, k)
+    return neighbour_lists(leaves, k).withColumn("cores", cores).drop("nbrs")
+
+
 def core_distance(points: DataFrame, min_samples: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Rows (id, core)."""
     leaves = into_leaves(points, max(leaf_rows, 4 * min_samples))

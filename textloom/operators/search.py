@@ -11,6 +11,7 @@ from ..sources.scratch import settle
 from .aggregate import cluster_stats
 from .condense import GROUP_ROWS
 from .density import cluster_points, label_rows
+from .knn import core_table
 from .space import LEAF_ROWS, distinct_points, into_leaves
 
 # Fixed values of the search.
@@ -66,8 +67,9 @@ def cluster_search(
     """Bisect min_cluster_size until the number of clusters is within the bounds.
 
     Each of the at most ten steps fits two trials together, with min_samples equal
-    to the cluster size and to half of it; the second one steers.  The points and
-    cells are made once; only the statistics of the trials come to the driver.
+    to the cluster size and to half of it; the second one steers.  The points, the
+    cells and the core distances of all steps are made once (twice where the sizes go up
+    from the first step); only the statistics of the trials come to the driver.
     """
     spark = df.sparkSession
     points = settle(distinct_points(df, key, dims), "points")
@@ -79,11 +81,16 @@ def cluster_search(
     low, high = SMALLEST, LARGEST
     trials: list[tuple] = []
     labels: list[DataFrame] = []
+    held, cores = 0, None  # sample sizes in the core table
     while low <= high:
         middle = low + (high - low) // 2
+        if middle > held:
+            # Later steps need no more than the first, unless the search goes up.
+            held = high if held else middle
+            cores = settle(core_table(leaves, held), "core table")
         samples = [middle, middle // 2]
         first = len(trials)
-        found = settle(cluster_points(leaves, [(middle, ms, 0.0) for ms in samples], group_rows), "trial")
+        found = settle(cluster_points(leaves, [(middle, ms, 0.0) for ms in samples], group_rows, cores), "trial")
         labels += [found.where(F.col("trial") == i) for i in range(2)]
         for i, ms in enumerate(samples):
             stats = cluster_stats(labels[first + i], weight=F.col("w")).first()
