@@ -1,9 +1,11 @@
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.schemas import POSTS
-from textloom.sources import posts, scratch, sinks
+from textloom.sources import csv_ranges, posts, scratch, sinks
 from textloom.sources.scratch import settle
 
 
@@ -18,6 +20,35 @@ def test_csv_round_trip(spark, tmp_path):
     assert kept.count() == len(texts) - 2
 
 
+@pytest.mark.parametrize("size", [7, 40, 1000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_in_byte_ranges(spark, tmp_path, size, end):
+    rng = random.Random(size)
+    parts = ["plain", '""', "\n", "\n\n", ",", "日本", " ", '"",""', "x" * 30]
+    for name in ("a", "b"):
+        rows = [f"{i},\"{''.join(rng.choices(parts, k=rng.randrange(8)))}\"" for i in range(40)]
+        rows += ["40,unquoted text", "", "41,", '42,""', "43,\\N"]
+        text = "doc_id,text\n" + "\n".join(rows) + ("\n" if name == "a" else "")
+        (tmp_path / f"{name}.csv").write_bytes(text.replace("\n", end).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        for missing in (posts.NA_STRINGS, ()):
+            want = posts.read_table(spark, str(tmp_path), POSTS, missing=missing, range_bytes=1 << 30)
+            got = posts.read_table(spark, str(tmp_path), POSTS, missing=missing, range_bytes=size)
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        assert csv_ranges._lines(spark, str(tmp_path)).select("file", "block").distinct().count() > (2 if size < 1000 else 1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_unpaired_quotes_stay_whole(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('doc_id,text\n1,5" pipe\n2,b\n')
+    assert not csv_ranges.well_formed(spark, str(tmp_path))
+    got = posts.read_table(spark, str(tmp_path), POSTS, range_bytes=1)
+    assert [(r.doc_id, r.text) for r in got.orderBy("doc_id").collect()] == [(1, '5" pipe'), (2, "b")]
+
+
 def test_types_are_inferred_without_a_schema(spark, tmp_path):
     path = str(tmp_path / "x.csv")
     sinks.write_table(spark.createDataFrame([(1, 0.5, "a")], "n int, f double, s string"), path)

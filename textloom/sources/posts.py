@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.patterns import NA_STRINGS, SPACES
+from .csv_ranges import largest_file, read_csv_ranges, well_formed
 
 # Quotes inside fields are doubled, and a field may hold line ends.
 CSV_OPTIONS = {
@@ -20,6 +21,7 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+RANGE_BYTES = 128 << 20  # Spark's own default for a task
 NULL_MARK = r"\N"  # null in the CSV files of this library, as databases write it
 
 
@@ -50,6 +52,7 @@ def read_table(
     schema: T.StructType | None = None,
     drop_missing: str | list[str] | None = None,
     missing: Sequence[str] = NA_STRINGS,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """Read a CSV or Parquet table; optionally drop rows where a column is missing.
 
@@ -57,14 +60,20 @@ def read_table(
     usual strings for a missing value are missing; Parquet has nulls, so its strings stay.
     Tables that this library wrote tell null (``NULL_MARK``) from the empty text: read them
     with ``missing=()`` and every string comes back.
+
+    A CSV field may hold line ends, so Spark gives a file to one task.  With a schema, files larger than
+    one task's share (``range_bytes``) are cut into byte ranges; files whose quotes are
+    not paired stay whole.
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
-        reader = spark.read.options(**CSV_OPTIONS)
-        if not missing:
-            reader = reader.option("nullValue", NULL_MARK)
-        df = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
+        options = CSV_OPTIONS if missing else CSV_OPTIONS | {"nullValue": NULL_MARK}
+        reader = spark.read.options(**options)
+        if schema and largest_file(spark, path) > range_bytes and well_formed(spark, path):
+            df = read_csv_ranges(spark, path, schema, options)
+        else:
+            df = reader.schema(schema).csv(path) if schema else reader.csv(path, inferSchema=True)
         df = blank_to_null(df, missing)
     if drop_missing:
         df = df.na.drop(subset=[drop_missing] if isinstance(drop_missing, str) else drop_missing)
