@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.models import letter_encoder
-from textloom.operators import dedup, embed, language, reduce
+from textloom.operators import dedup, embed, language, reduce, spectral
 
 SF = "/root/testdata/sf0.01"
 
@@ -145,6 +145,33 @@ def test_layout_keeps_blobs_apart(spark):
     assert np.mean(blob[d.argmin(axis=1)] == blob) > 0.9
 
 
+def test_spectral_start_is_that_of_dense_matrices(spark):
+    rng = np.random.default_rng(8)
+    p = rng.uniform(0, 1, (70, 2)) * [3, 1]
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    w = np.where(d < 0.45, np.exp(-d), 0.0)
+    np.fill_diagonal(w, 0)
+    root = np.sqrt(w.sum(1))
+    values, vectors = np.linalg.eigh(np.eye(70) - w / root[:, None] / root[None])
+    a, b = np.nonzero(np.triu(w))
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(a, b)], "a long, b long, weight double")
+    ids = spark.createDataFrame([(i,) for i in range(71)], "id long")  # the last one has no edge
+    rows, found = spectral.spectral_start(edges, ids, 2, change=1e-8)
+    got = np.array([[r.Dim0, r.Dim1] for r in rows.orderBy("id").collect()])
+    assert values[0] < 1e-9 < values[1] and np.allclose(found, values[1:3], atol=1e-4)
+    assert np.allclose(np.abs((vectors[:, 1:3] * got[:70]).sum(0)), 1, atol=1e-2) and not got[70].any()
+
+
+def test_layout_from_the_spectral_start(spark):
+    v, df = blobs(spark)
+    got = reduce.reduce_umap(df, 2, n_neighbors=8, epochs=4, start="spectral").orderBy("doc_id").collect()
+    p = np.array([[r.Dim0, r.Dim1] for r in got])
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    blob = np.array([r.blob for r in got])
+    assert np.isfinite(p).all() and np.mean(blob[d.argmin(axis=1)] == blob) > 0.9
+
+
 def test_curve_is_the_published_one():
     a, b = reduce.curve(0.1)
     assert abs(a - 1.577) < 0.02 and abs(b - 0.895) < 0.01

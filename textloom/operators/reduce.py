@@ -20,6 +20,7 @@ from ..sources.scratch import settle
 from .descent import NEIGHBOURS, refine_neighbours
 from .knn import CHUNK, distances
 from .sample import SEED
+from .spectral import spectral_start
 
 BLOCK_ROWS = 2048
 PROJECTIONS = 6
@@ -231,19 +232,27 @@ def layout(
 
 def reduce_umap(
     df: DataFrame, n_components: int = 3, n_neighbors: int = 15, min_dist: float = 0.1,
-    vector_col: str = "embeddings", key: str = "doc_id", epochs: int = EPOCHS, seed: int = SEED,
+    vector_col: str = "embeddings", key: str = "doc_id", epochs: int = EPOCHS, seed: int = SEED, start: str = "pca",
 ) -> DataFrame:
-    """Adds Dim0.. from a neighbour-graph layout that starts at the principal components."""
+    """Adds Dim0.. from a neighbour-graph layout.
+
+    It starts at the principal components, or with ``start='spectral'`` at the graph's smoothest coordinates.
+    """
     dims = dim_columns(n_components)
     lists = settle(vector_neighbours(df, n_neighbors, vector_col, key, seed=seed), "neighbours")
     edges = settle(fuzzy_graph(lists, n_neighbors), "graph")
-    pcs = settle(
-        reduce_pca(df.select(F.col(key).alias("id"), vector_col), n_components, vector_col).select("id", *dims),
-        "start",
-    )
-    spread = pcs.agg(*[F.stddev(c).alias(c) for c in dims]).first()
-    start = pcs.select("id", *[(F.col(c) / (spread[c] or 1.0) * 5).alias(c) for c in dims])
-    placed = layout(start, edges, n_components, min_dist, epochs, seed)
+    if start == "pca":
+        rows = reduce_pca(df.select(F.col(key).alias("id"), vector_col), n_components, vector_col).select("id", *dims)
+    elif start == "spectral":
+        rows, _ = spectral_start(edges, df.select(F.col(key).alias("id")), n_components, seed=seed)
+    else:
+        raise ValueError(f"unknown start {start}")
+    rows = settle(rows, "start")
+    spread = rows.agg(*[F.stddev(c).alias(c) for c in dims]).first()
+    # A little noise parts rows that start at one place.
+    noise = [F.xxhash64(F.lit(seed), F.lit(i), "id") / 2.0**63 * (1e-3 if start == "spectral" else 0.0) for i in range(n_components)]
+    first = rows.select("id", *[(F.col(c) / (spread[c] or 1.0) * 5 + e).alias(c) for c, e in zip(dims, noise)])
+    placed = layout(first, edges, n_components, min_dist, epochs, seed)
     return attach_dims(df, placed.withColumnRenamed("id", key), key)
 
 
