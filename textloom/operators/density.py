@@ -297,6 +297,23 @@ def _meeting_parts(leaf: pd.DataFrame, callers: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(pairs), columns=["a", "b"]).astype("int64")
 
 
+def tree_cuts(points: DataFrame, min_samples: int, cuts: Sequence[float], leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Rows (cut, id, component): what the hierarchy's tree holds together at each density.
+
+    The same components as ``density_cut`` gives, for many cuts from one tree.
+    """
+    leaves = into_leaves(points, max(leaf_rows, 4 * min_samples))
+    cores = settle(core_distances(leaves, [min_samples]).select(
+        F.lit(0).alias("trial"), "id", "p", "w", F.col("cores")[0].alias("core"), "level", "cell"
+    ), "cores")
+    tree = cores.groupBy("trial", "level", "cell").applyInPandas(_leaf_tree, EDGE) if leaves.single else spanning_tree(cores, leaves)
+    at = F.posexplode(F.array(*[F.lit(float(c)) for c in cuts])).alias("trial", "cut")
+    kept = tree.select("a", "b", "weight", at).where("weight <= cut").select("trial", "a", "b", "weight")
+    joined = spanning_forest(kept).components
+    dense = cores.select("id", "core", at).where("core <= cut")
+    return dense.join(joined, ["trial", "id"], "left").select("cut", "id", F.coalesce("component", "id").alias("component"))
+
+
 def density_cut(points: DataFrame, min_samples: int, eps: float, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Rows (id, component) of the points whose core distance is at most ``eps``.
 

@@ -72,6 +72,24 @@ def density_cut(spark, sf):
     return density.density_cut(points(spark, sf), K, EPS)
 
 
+CUTS = (0.6, 1.0, 1.5, 2.5, 4.0)
+
+
+@query(
+    "tree_cuts",
+    f"""with recursive cut as (select unnest([{', '.join(f'{c}::double' for c in CUTS)}]) as cut),
+        core as (select cut, c.id, p.x, p.y from ({CORE_SQL}) c join ({PTS}) p using (id) join cut on c.core <= cut),
+        edge as (select a.cut, a.id as a, b.id as b from core a join core b on a.cut = b.cut
+          and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= a.cut),
+        reach(cut, id, origin) as (
+          select cut, id, id from core union select r.cut, e.b, r.origin from reach r join edge e on e.a = r.id and e.cut = r.cut)
+        select cut, id, min(origin) as component from reach group by cut, id""",
+)
+def tree_cuts(spark, sf):
+    # Small leaves, so that the tree spans many.
+    return density.tree_cuts(points(spark, sf), K, CUTS, leaf_rows=64)
+
+
 @query("hdbscan")
 def hdbscan(spark, sf):
     return density.hdbscan(pts(spark, sf), ["x", "y"], 15, key="id")
@@ -217,6 +235,21 @@ def fuzzy_graph(spark, sf):
     return reduce.fuzzy_graph(lists, NEAR).withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    "vector_neighbours",
+    f"""select id, rank::int as rank, nbr, d from (
+          select a.vec_id as id, b.vec_id as nbr, round(list_distance(a.v, b.v), 6) as d,
+            row_number() over (partition by a.vec_id order by list_distance(a.v, b.v), b.vec_id) as rank
+          from (select vec_id, embedding::double[] as v from embeddings) a
+          join (select vec_id, embedding::double[] as v from embeddings) b on a.vec_id <> b.vec_id)
+        where rank <= {NEAR}""",
+)
+def vector_neighbours(spark, sf):
+    lists = reduce.vector_neighbours(vectors(spark, sf), NEAR)
+    near = lists.select("id", F.posexplode("nbrs").alias("pos", "n"))
+    return near.select("id", (F.col("pos") + 1).alias("rank"), F.col("n.id").alias("nbr"), F.round("n.d", 6).alias("d"))
+
+
 @query("reduce_umap")
 def reduce_umap(spark, sf):
     return reduce.reduce_umap(vectors(spark, sf), 2).drop("embeddings")
