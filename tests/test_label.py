@@ -1,5 +1,7 @@
 """Labelling, stage two, review and critique."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,61 @@ def test_stub_names_the_words_of_its_cluster(rows):
     assert got == {0: "number river stone", 1: "apple banana number"}
 
 
+def logging_labeller(folder, fails_at=None):
+    """Writes a line for each dialogue it answers; fails once the dialogue has that many turns."""
+
+    def factory():
+        def model(dialogs, **options):
+            if fails_at and len(dialogs[0]) == fails_at:
+                raise RuntimeError("lost")
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("".join(f"{len(d)}\n" for d in dialogs))
+            return [f'Label: "{len(d)} {options}"' for d in dialogs]
+
+        return model
+
+    return factory
+
+
+def test_a_lost_chain_goes_on_after_its_last_answers(spark, tmp_path):
+    calls, saved = tmp_path / "calls", str(tmp_path / "saved")
+    calls.mkdir()
+    dialogs = spark.createDataFrame([(i, f"text {i % 7}") for i in range(9)], "clust_id int, rep_text string")
+    opening = label.build_dialogs(dialogs, "system", "user ", " suffix")
+    questions = ["why?", "sure?", "again?"]
+
+    def made():
+        return sorted(int(n) for f in calls.iterdir() for n in f.read_text().split())
+
+    with pytest.raises(Exception, match="lost"):
+        label.answer_saved(opening, logging_labeller(calls, fails_at=6), questions, saved, waves=2)
+    assert made() == [2] * 7 + [4] * 7  # equal dialogues are asked once
+    got = label.answer_saved(opening, logging_labeller(calls), questions, saved, waves=2)
+    plain = label.answer_dialogs(opening, logging_labeller(tmp_path / "calls"), questions)
+    rows = [(r.clust_id, r.rep_text, r.answer, [t.content for t in r.dialog]) for r in got.orderBy("clust_id").collect()]
+    assert made() == [2] * 7 + [4] * 7 + [6] * 7 + [8] * 7
+    assert rows == [(r.clust_id, r.rep_text, r.answer, [t.content for t in r.dialog]) for r in plain.orderBy("clust_id").collect()]
+    before = len(made())
+    label.answer_saved(opening, logging_labeller(calls), questions, saved).collect()
+    assert len(made()) == before
+    warm = label.answer_saved(opening, logging_labeller(calls), [], saved, options={"t": 1}).first()
+    assert len(made()) == before + 7 and "'t': 1" in warm.answer
+
+
+def test_stage_two_with_saved_answers(rows, tmp_path):
+    for _ in range(2):
+        got = stages.stage_two(rows, counting_labeller, max_seq_len=4000, cove_id=0, label_col="L", saved_in=str(tmp_path))
+        assert {r.L for r in got.labels.collect()} == {"12"}
+
+
+def test_random_texts_in_one_column(spark, rows):
+    tables = [spark.createDataFrame([(c, f"t{c}", f"l{c}") for c in (0, 0, 1)], f"Cluster int, Text string, {n} string") for n in ("CoVe_Q1", "CoVe_Q2")]
+    got = {r.Cluster: r for r in review.review_table(rows, *tables, random_texts=3).collect()}
+    assert got[0]["Random Texts"] == 8 and got[0]["Random Text"].count("river stone") == 3
+    picked = {r.text for r in review.random_text(rows).where("clust_id = 1 and rank <= 3").collect()}
+    assert all(t in got[1]["Random Text"] for t in picked)
+
+
 def test_prompts_come_from_the_table(spark, rows):
     table = prompts.prompt_table(spark).withColumn(
         "content", F.when(F.col("kind") == "user", F.concat(F.lit("Hi. "), "content")).otherwise(F.col("content"))

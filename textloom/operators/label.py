@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -73,6 +74,56 @@ def answer_dialogs(
     return df.repartition(cores).mapInPandas(run, schema)
 
 
+def answer_saved(
+    df: DataFrame,
+    labeller: LabellerFactory,
+    questions: Sequence[str],
+    folder: str,
+    dialog_col: str = "dialog",
+    answer_col: str = "answer",
+    batch_size: int = 32,
+    options: dict | None = None,
+    waves: int = 1,
+) -> DataFrame:
+    """The same as ``answer_dialogs``, with a written table of answers for each question.
+
+    An answer is kept under a digest of the dialogue so far and of the options, so a run that was lost asks only
+    what has no answer yet, and equal dialogues are asked once.  A question is asked in ``waves``; each one's answers are
+    kept when it ends.  Use one folder for each model, in storage that all executors share.
+    """
+    spark, options = df.sparkSession, dict(options or {})
+    schema = "digest string, answer string"
+    cores = spark.sparkContext.defaultParallelism
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = labeller()
+        for batch in batches:
+            for low in range(0, len(batch), batch_size):
+                part = batch.iloc[low : low + batch_size]
+                answers = model([_as_dicts(d) for d in part["dialog"]], **options)
+                yield pd.DataFrame({"digest": part["digest"].to_numpy(), "answer": pd.Series(answers, dtype=object)})
+
+    marks = F.lit(json.dumps(options, sort_keys=True, default=str))
+    others = [c for c in df.columns if c != dialog_col]
+    now = df.select(*others, F.col(dialog_col).cast(DIALOG).alias("_dialog"), F.lit(None).cast("string").alias("_answer"))
+    for number, question in enumerate([None, *questions]):
+        if question is not None:
+            now = now.withColumn("_dialog", F.concat("_dialog", F.array(X.turn("user", question))))
+        now = settle(now.withColumn("_digest", F.sha2(F.concat_ws("\n", marks, F.to_json("_dialog")), 256)), "asked")
+        path = f"{folder.rstrip('/')}/answers-{number}"
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+        each = now.select(F.col("_digest").alias("digest"), F.col("_dialog").alias("dialog")).dropDuplicates(["digest"])
+        for wave in range(waves):
+            known = spark.read.schema(schema).parquet(path).select("digest")
+            left = each.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave).join(known, "digest", "left_anti")
+            left.repartition(cores).mapInPandas(ask, schema).write.mode("append").parquet(path)
+        answers = spark.read.schema(schema).parquet(path).groupBy("digest").agg(F.min("answer").alias("_said"))
+        now = now.join(answers, now["_digest"] == answers["digest"]).select(
+            *others, F.concat("_dialog", F.array(X.turn("assistant", F.col("_said")))).alias("_dialog"), F.col("_said").alias("_answer")
+        )
+    return now.select(*others, F.col("_dialog").alias(dialog_col), F.col("_answer").alias(answer_col))
+
+
 def label_table(
     answered: DataFrame, label_col: str, cluster: str = "clust_id", fallback: bool = False
 ) -> DataFrame:

@@ -22,11 +22,19 @@ def random_text(
     return texts.join(picks, key).select(cluster, "rank", "text")
 
 
+def random_concat(
+    df: DataFrame, most: int = 40, seed: int = SEED, cluster: str = "clust_id", key: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(cluster, ``Random Text``): the first ``most`` texts of each cluster's random half, joined by spaces."""
+    texts = random_text(df.where(F.col(text_col).isNotNull()), seed, cluster, key, text_col).where(F.col("rank") <= most)
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "text")))
+    return texts.groupBy(cluster).agg(F.array_join(F.transform(ordered, lambda r: r["text"]), " ").alias("Random Text"))
+
+
 def first_labels(labels: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """One row for each cluster with the named columns."""
-    return labels.groupBy("Cluster").agg(
-        *[F.first(F.col(f"`{src}`")).alias(dst) for src, dst in cols.items()]
-    )
+    """One row for each cluster with the named columns: the first in the order of these columns."""
+    row = F.struct(*[F.col(f"`{src}`").alias(dst) for src, dst in cols.items()])
+    return labels.groupBy("Cluster").agg(F.min(row).alias("_row")).select("Cluster", "_row.*")
 
 
 def review_table(
@@ -39,10 +47,12 @@ def review_table(
     skip: str | int = -1,
     text_col: str = "text",
     key: str = "doc_id",
+    random_texts: int | None = None,
 ) -> DataFrame:
     """One row for each cluster: representative text, number of random texts, both labels.
 
-    The random texts themselves are the rows of ``random_text``.  Noise is left out.
+    The random texts themselves are the rows of ``random_text``; with ``random_texts`` the column
+    ``Random Text`` has up to that many of them in one text.  Noise is left out.
 
     ``skip`` is the id of the cluster to leave out, or ``"first"`` for the lowest
     id of the first label table.  A cluster without a second label is an error.
@@ -57,10 +67,13 @@ def review_table(
         raise ValueError("the second label table lacks a cluster of the first")
     has_text = clustered.where(F.col(text_col).isNotNull())
     drawn = half_rows(has_text, seed, "clust_id", key).groupBy("clust_id").agg(F.count("*").alias("drawn"))
+    columns = ["Cluster", "Rep Text", F.coalesce("drawn", F.lit(0)).alias("Random Texts"), "CoVe_Q1_Label", "CoVe_Q2_Label"]
+    if random_texts is not None:
+        joined = random_concat(clustered, random_texts, seed, "clust_id", key, text_col)
+        drawn = drawn.join(joined, "clust_id", "left")
+        columns.insert(2, "Random Text")
     return (
         wanted.join(two, "Cluster")
         .join(drawn.withColumnRenamed("clust_id", "Cluster"), "Cluster", "left")
-        .select(
-            "Cluster", "Rep Text", F.coalesce("drawn", F.lit(0)).alias("Random Texts"), "CoVe_Q1_Label", "CoVe_Q2_Label"
-        )
+        .select(*columns)
     )

@@ -75,13 +75,15 @@ def stage_two(
     tokenizer: TokenizerFactory | None = None,
     batch_size: int = 32,
     options: dict | None = None,
+    saved_in: str | None = None,
 ) -> Labelled:
     """Label each cluster and bring the labels to the rows.
 
     With ``cove_id`` the model goes through that chain of questions, otherwise it
     is asked once.  The label table is written once, so the model runs once.
     ``tokenizer`` counts the tokens of rows and prompts; ``batch_size`` and ``options``
-    shape the model's calls.
+    shape the model's calls.  In the folder ``saved_in`` answers are kept for each question, so a run
+    that was lost goes on where it ended.
     """
     spark = clustered.sparkSession
     table = prompt_table if prompt_table is not None else prompts.prompt_table(spark)
@@ -97,6 +99,10 @@ def stage_two(
         sdedup=sdedup, key=key, text_col=text_col,
     )
     opening = L.build_dialogs(texts, system, user, suffix)
-    labels = settle(L.label_table(L.answer_dialogs(opening, labeller, questions, batch_size=batch_size, options=options), label_col), "labels")
+    if saved_in:
+        answered = L.answer_saved(opening, labeller, questions, saved_in, batch_size=batch_size, options=options)
+    else:
+        answered = L.answer_dialogs(opening, labeller, questions, batch_size=batch_size, options=options)
+    labels = settle(L.label_table(answered, label_col), "labels")
     labelled = L.add_format_text(L.attach_labels(rows, labels, label_col), text_col)
     return Labelled(labels, labelled)
