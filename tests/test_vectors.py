@@ -36,6 +36,42 @@ def test_margin_gives_unknown(spark):
     assert docs.limit(5).select(sure(F.col("text")).alias("l")).distinct().first().l == "unknown"
 
 
+def test_trigrams_of_any_alphabet_count_as_themselves(spark):
+    rng = np.random.default_rng(1)
+    alphabets = {"aa": range(0x100, 0x180), "bb": range(0x13A0, 0x13F0), "cc": range(0x10A0, 0x1100)}
+    texts = [(k, "".join(map(chr, rng.choice(list(a), 12)))) for k, a in alphabets.items() for _ in range(60)]
+    texts += [(k, f"shared words {k} {t[:3]}") for k, t in texts[::10]]
+    train = spark.createDataFrame(texts, "lang string, text string")
+    profile = language.language_profile(train)
+    counts, total = {}, {}
+    for lang, t in texts:
+        letters = "".join(c.lower() if c.isalpha() else " " for c in t)
+        letters = f" {' '.join(letters.split())} "
+        for i in range(len(letters) - 2):
+            counts[lang, letters[i : i + 3]] = counts.get((lang, letters[i : i + 3]), 0) + 1
+            total[lang] = total.get(lang, 0) + 1
+    vocabulary = len({g for _, g in counts})
+    assert profile.select("gram").distinct().count() == vocabulary
+    want = {(k, (ord(g[0]) << 42) + (ord(g[1]) << 21) + ord(g[2])): round(np.log((n + 1) / (total[k] + vocabulary)) * 10_000) for (k, g), n in counts.items()}
+    got = {(r.lang, r.gram): r.weight for r in profile.collect()}
+    assert len(got) == 3 * vocabulary and all(abs(got[x] - w) <= 1 for x, w in want.items())
+    df = train.select("text").union(spark.createDataFrame([(None,), ("",), ("zzz qqq",), ("shared words",)], "text string"))
+    detect = language.language_detector(profile)
+    whole = sorted(map(str, df.select("text", detect(F.col("text")).alias("lang")).collect()))
+    for most in (0, 37, 1 << 20):
+        assert sorted(map(str, language.detect_languages(df, profile, most=most).collect())) == whole
+    unsure = language.language_detector(profile, margin=4000)
+    want = sorted(map(str, df.select("text", unsure(F.col("text")).alias("lang")).collect()))
+    assert sorted(map(str, language.detect_languages(df, profile, margin=4000, most=37).collect())) == want
+
+
+def test_index_of_trigrams():
+    known = np.random.default_rng(3).choice(10**6, 5000, replace=False) * 20_001
+    index = language._Index(known)
+    assert len(index.others) and (index.find(known) == np.arange(5000)).all()
+    assert (index.find(known + 1) == -1).all() and (language._Index(known[:0]).find(known) == -1).all()
+
+
 def test_hashed_vectors(spark):
     df = spark.createDataFrame([(1, "red green"), (2, "Green RED"), (3, "blue"), (4, ""), (5, None)], "doc_id long, text string")
     got = {r.doc_id: np.array(r.embeddings) for r in embed.embed_hashed(df).collect()}

@@ -11,9 +11,9 @@ from ..functions.models import letter_encoder, letter_pair_tokenizer
 from ..operators import clean, embed, label, rep_text
 from ..operators.aggregate import ordered_words, top_words, word_counts
 from ..operators.language import (
-    BUCKETS,
-    MULTIPLIER,
+    CODE_BITS,
     WEIGHT_SCALE,
+    detect_languages,
     language_detector,
     language_profile,
 )
@@ -292,25 +292,26 @@ def grams_sql(letters: str) -> str:
     return f"unnest(list_concat({', '.join(shifted)}))"
 
 
-def bucket_sql(gram: str) -> str:
+def code_sql(gram: str) -> str:
+    """The three characters as one number."""
     c = [f"unicode(substr({gram}, {i}, 1))::bigint" for i in (1, 2, 3)]
-    return f"(({c[0]} * {MULTIPLIER} + {c[1]}) * {MULTIPLIER} + {c[2]}) % {BUCKETS}"
+    return f"({c[0]} * {1 << 2 * CODE_BITS} + {c[1]} * {1 << CODE_BITS} + {c[2]})"
 
 
 PROFILE_SQL = f"""
 with counts as (
-  select lang, {bucket_sql('gram')} as bucket, sum(n) as n from (
+  select lang, {code_sql('gram')} as gram, sum(n) as n from (
     select lang, gram, count(*) as n from (
       select lang, {grams_sql('letters')} as gram
       from (select lang, {letters_sql('text')} as letters from documents))
     group by all)
   group by all),
 totals as (select lang, sum(n) as total from counts group by lang),
-buckets as (select distinct bucket from counts)
-select t.lang, g.bucket,
-  round(ln((coalesce(k.n, 0) + 1.0) / (t.total + (select count(*) from buckets)))
+grams as (select distinct gram from counts)
+select t.lang, g.gram,
+  round(ln((coalesce(k.n, 0) + 1.0) / (t.total + (select count(*) from grams)))
         * {WEIGHT_SCALE})::bigint as weight
-from totals t cross join buckets g left join counts k on k.lang = t.lang and k.bucket = g.bucket
+from totals t cross join grams g left join counts k on k.lang = t.lang and k.gram = g.gram
 """
 
 
@@ -333,11 +334,11 @@ def detect_sql(table: str) -> str:
       select doc_id, lang from (
         select doc_id, lang, row_number() over (partition by doc_id order by score desc, lang) as r
         from (select doc_id, p.lang, sum(p.weight * g.n) as score
-              from (select doc_id, {bucket_sql('gram')} as bucket, count(*) as n from (
+              from (select doc_id, {code_sql('gram')} as gram, count(*) as n from (
                       select doc_id, {grams_sql('letters')} as gram
                       from (select doc_id, {letters_sql('text')} as letters from ({table})))
                     group by all) g
-              join ({PROFILE_SQL}) p on p.bucket = g.bucket group by all))
+              join ({PROFILE_SQL}) p on p.gram = g.gram group by all))
       where r = 1) b on b.doc_id = d.doc_id"""
 
 
@@ -356,6 +357,13 @@ def detect_language(spark, sf):
     return documents(spark, sf).select("doc_id", detect(F.col("text")).alias("lang"))
 
 
+@query("detect_languages_joined", detect_sql("select doc_id, text from documents"))
+def detect_languages_joined(spark, sf):
+    # Few trigrams go to the workers, so that the others are joined.
+    profile = language_profile(documents(spark, sf))
+    return detect_languages(documents(spark, sf).select("doc_id", "text"), profile, most=500).select("doc_id", "lang")
+
+
 CLEAN_POSTS_SQL = f"""
 with tidy as (select doc_id, text, len({words_of('text')})::int as length from (
     select doc_id, {clean_sql('text')} as text from ({POSTS}))),
