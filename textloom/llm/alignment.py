@@ -36,12 +36,12 @@ from textloom.llm.ragged import Tally, distinct_pieces, gather, sums
 from textloom.sources.scratch import settle
 
 WORK = 1 << 16  # ends in a piece of the merge path
-CACHE_PARTS = 400_000
-CACHE_TOKENS = 1 << 23
+CACHE_PARTS = 250_000
+CACHE_TOKENS = 1 << 22
 GROUP = 2_000
 HOT_PAIRS = 1 << 19
 HELD_PAIRS = 1 << 20
-KEPT = ("row", "doc_id", "n_a", "n_b", "groups_sha256")
+KEPT = ("row", "doc_id", "n_a", "n_b", "n_links", "groups_sha256")
 SPACE = 0x20
 MARK = "▁"  # fixed value: B's sign for a space
 
@@ -131,6 +131,7 @@ class Tokenizers:
         b_bytes = [bytes([int(n[3:5], 16)]) if pieces.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
         self.encode = [lambda t: tokenizer.encode(t, add_special_tokens=False).ids, lambda t: pieces.encode(t[1:])]
         self.bytes = [a_bytes, b_bytes]
+        self.kinds = [np.uint16 if len(x) <= 1 << 16 else np.uint32 for x in self.bytes]
         self.lengths = [np.fromiter(map(len, x), np.int64, len(x)) for x in self.bytes]
         # The decimal of each id, as it stands inside a group and at the end of its side.
         self.names = [
@@ -281,41 +282,55 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def aligned_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(row, doc_id, n_a, n_b, groups_sha256, a, b): numbers of tokens, digest of the groups, and the ids of each link."""
+    """(row, doc_id, n_a, n_b, n_links, groups_sha256, a, b): numbers of tokens and links, digest of the groups, and the ids of each link as bytes."""
     blocks = _Blocks(docs, a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 36
         for batch, tokenizers, block in blocks(batches):
             n = len(block.first_link) - 1
-            counts = [pa.array(np.diff(block.first[s])) for s in (0, 1)]
-            linked = [list_array(block.first_link, block.ids[s][block.links[s]], pa.int32()) for s in (0, 1)]
+            counts = [pa.array(np.diff(x)) for x in (*block.first, block.first_link)]
+            linked = [packed(block.first_link, block.ids[s][block.links[s]].astype(tokenizers.kinds[s])) for s in (0, 1)]
             digests = pa.array(block.digests(tokenizers), pa.string())
             columns = [pa.array(row + np.arange(n)), batch.column("doc_id"), *counts, digests, *linked]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "groups_sha256", "a", "b"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "n_links", "groups_sha256", "a", "b"])
             row += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, n_a long, n_b long, groups_sha256 string, a array<int>, b array<int>")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, n_a long, n_b long, n_links long, groups_sha256 string, a binary, b binary")
+
+
+def packed(first: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The runs values[first[i]:first[i + 1]] as bytes."""
+    offsets = (first * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+
+def unpacked(column: pa.Array, n: int) -> np.ndarray:
+    """All ``n`` numbers of a column of packed runs."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = int(offsets[-1] - offsets[0])
+    kind = np.uint16 if size == 2 * n else np.uint32
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].copy().view(kind).astype(np.int64)
 
 
 def linked_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The two ids of each link in one number, and of each row its first link, with the number of links at the end."""
-    a, b = (batch.column(c) for c in ("a", "b"))
-    first = a.offsets.to_numpy().astype(np.int64)
-    return a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy(), first - first[0]
+    first = np.concatenate(([0], np.cumsum(batch.column("n_links").to_numpy())))
+    a, b = (unpacked(batch.column(c), int(first[-1])) for c in ("a", "b"))
+    return a << 32 | b, first
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about ``most`` links, one row at least."""
     for batch in batches:
-        first = batch.column("a").offsets.to_numpy()
-        low = 0
+        ends = np.cumsum(batch.column("n_links").to_numpy())
+        low = before = 0
         while low < batch.num_rows:
-            high = max(low + 1, int(np.searchsorted(first, first[low] + most, side="right")) - 1)
+            high = max(low + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(low, high - low)
-            low = high
+            low, before = high, int(ends[high - 1])
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -329,7 +344,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
                 yield tally.rows("pair")
         yield tally.rows("pair")
 
-    counts = aligned.select("a", "b").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = aligned.select("n_links", "a", "b").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = settle(counts.withColumn("b", F.col("pair").bitwiseAND((1 << 32) - 1)), "pair counts")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))  # one row for each id of B's vocabulary at most
     return settle(counts.join(F.broadcast(most), "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "pairs")
@@ -359,12 +374,12 @@ def alignment_digest(docs: DataFrame, a_path: str, b_path: str, hot_pairs: int =
             new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(rest, prepend=-1) != 0))
             first, times = np.searchsorted(owner[new], np.arange(len(at))), np.diff(np.append(new, len(rest)))
             lists = [list_array(first, rest[new], pa.int64()), list_array(first, times, pa.int64())]
-            numbers = [pa.array(x) for x in (np.diff(at), sums(weight[0], at), sums(weight[1], at))]
+            numbers = [pa.array(x) for x in (sums(weight[0], at), sums(weight[1], at))]
             columns = [*(batch.column(c) for c in KEPT), *numbers, *lists]
-            yield pa.RecordBatch.from_arrays(columns, [*KEPT, "n_links", "best", "sum", "pair", "times"])
+            yield pa.RecordBatch.from_arrays(columns, [*KEPT, "best", "sum", "pair", "times"])
 
     kinds = "".join(f"{c} {aligned.schema[c].dataType.simpleString()}, " for c in KEPT)
-    found = aligned.mapInArrow(run, f"{kinds} n_links long, best long, sum long, pair array<long>, times array<long>")
+    found = aligned.mapInArrow(run, f"{kinds} best long, sum long, pair array<long>, times array<long>")
     more = [F.lit(0).cast("long").alias(c) for c in ("more_best", "more_sum")]
     others = pairs.where(~hot)
     if others.isEmpty():
