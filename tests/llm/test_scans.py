@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from textloom.llm.decontam import contamination, drop_contaminated
-from textloom.llm.secret_scan import find_secrets, guess_cost, redact, redact_secrets, secret_digest
+from textloom.llm.secret_scan import find_secrets, guess_cost, in_code_points, redact, redact_secrets, secret_digest
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -180,3 +180,9 @@ def test_redaction_keeps_all_else(spark):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert rows[1]["text"] is None and rows[2]["text"] == ""
     assert "password=" not in rows[30]["text"] and rows[30]["n_chars"] == len(rows[30]["text"])
+
+
+def test_many_secrets_of_a_long_text_beyond_ascii():
+    text = "é 漢 words token=abc123def456 ö\n" * 20_000
+    spans = in_code_points(text.encode(), find_secrets(text.encode()))
+    assert len(spans) == 20_000 and all(text[a:b] == "token=abc123def456" for a, b, _ in spans)
