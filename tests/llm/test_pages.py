@@ -20,6 +20,8 @@ LONG = "Words of the article that go on for quite a while, "
         ("<body class='has-sidebar'><main><p>yes</p></main><div id='cookie-notice'>no</div>", "yes"),
         ("a < b and <3", "a < b and <3"),
         ("<nav>only a menu</nav>", ""),
+        (f"<article><div class=body>{LONG * 20}</div><p>Short closing paragraph.</p></article><div>aside</div>", f"{LONG.strip()} " * 19 + f"{LONG.strip()}\nShort closing paragraph."),
+        (f"<main><h1>The title</h1><p>Lead.</p><div class=text>{LONG * 20}</div></main>", "The title\nLead.\n" + (LONG * 20).strip()),
     ],
 )
 def test_text_of_a_page(html, text):

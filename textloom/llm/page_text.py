@@ -3,7 +3,9 @@
 1. Each page is read as a light tree of its block elements. Menus, headers, footers, asides,
    forms, scripts, styles, adverts, notices and reader comments are left out, by tag or by a
    word of their class or id. Of the other containers, the deepest that still holds nearly all
-   text outside links is the page's best; its path of generalised tags and classes is the vote.
+   text outside links is found; the nearest article around it, else the nearest main element, else
+   it itself is the page's best. Its path of generalised tags and classes is the vote. What lies beside
+   a best container (less than a tenth of the text, or links) is not part of the article.
 2. Spark sums the votes per host and path, before and after the shuffle, and each host's
    winner is the path with most pages.
 3. Every page is read again and gives the text below its host's path. A page without
@@ -169,7 +171,17 @@ class Page:
                 return
 
     def best(self) -> int:
-        """The deepest container with nearly all text."""
+        """The article or main element around the deepest container with nearly all text, or else that container."""
+        at = self._deepest()
+        for tag in ("article", "main"):
+            up = at
+            while up >= 0 and self.paths[up].rsplit("/", 1)[-1].split(".", 1)[0] != tag:
+                up = self.parents[up]
+            if up >= 0:
+                return up
+        return at
+
+    def _deepest(self) -> int:
         at, children = 0, {}
         for i, p in enumerate(self.parents[1:], 1):
             children.setdefault(p, []).append(i)
