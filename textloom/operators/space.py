@@ -38,6 +38,14 @@ class Leaves:
     low: list[float]
     extent: float
     single: bool
+    _sizes: DataFrame | None = None
+
+    @property
+    def sizes(self) -> DataFrame:
+        """Written table (level, cell, n) of the leaves and how many points they hold."""
+        if self._sizes is None:
+            self._sizes = settle(self.points.groupBy("level", "cell").agg(F.count("*").alias("n")), "sizes")
+        return self._sizes
 
     @property
     def dim(self) -> int:
@@ -136,7 +144,7 @@ def visits(queries: DataFrame, leaves: Leaves, enough: int | None = None) -> Dat
     what surely holds that many points, so a lone query beside a dense area does
     not visit all of it.
     """
-    sizes = settle(leaves.points.groupBy("level", "cell").agg(F.count("*").alias("n")), "sizes")
+    sizes = leaves.sizes
     lineage = sizes.select(
         "level", "cell", "n", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("at")
     ).withColumn("key", parent(F.col("cell"), F.col("level") - F.col("at")))
