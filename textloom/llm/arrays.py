@@ -40,14 +40,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most BLOCK_BYTES of text (one row at least), null texts as empty."""
+def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches with at most ``size`` bytes of text (one row at least), null texts as empty."""
     for batch in batches:
         column = batch.column(batch.schema.names.index(text))
         ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         start, before = 0, 0
         while start < len(column):
-            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             part = batch.slice(start, stop - start)
             yield part, [t or b"" for t in column.slice(start, stop - start).to_pylist()]
             start, before = stop, int(ends[stop - 1])

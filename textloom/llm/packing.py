@@ -32,6 +32,7 @@ from textloom.llm.arrays import text_blocks
 from textloom.sources.scratch import settle
 
 ROOM = 2048
+BLOCK = 4 << 20  # bytes of text whose new words are tokenized together
 CACHE_WORDS = 250_000
 CACHE_RUNS = 800_000
 GROUP = 2_000
@@ -131,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
             process.value["tokens"] = WordTokens(tokenizer)
         tokens, part = process.value["tokens"], TaskContext.get().partitionId()
         met = np.zeros(room + 1, np.int64)
-        for batch, rows in text_blocks(batches):
+        for batch, rows in text_blocks(batches, size=BLOCK):
             of, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, ids in enumerate(tokens.texts(rows)):
                 ids += b"\0\0\0\0"
