@@ -1,11 +1,25 @@
 import hashlib
 
 import numpy as np
+import pytest
 from cases import prose
 from hypothesis import given
 from hypothesis import strategies as st
 
-from textloom.llm.chat import escape, escape_role, format_turns, read_back, read_turns, span_starts, unescape, unescape_role, windows
+from textloom.llm import chat
+from textloom.llm.chat import (
+    block_exits,
+    escape,
+    escape_role,
+    format_turns,
+    read_back,
+    read_turns,
+    span_starts,
+    unescape,
+    unescape_role,
+    windows,
+)
+from textloom.llm.queries import tokenizer_path
 
 NASTY = st.text(st.sampled_from("<|\\>im_startend\n a"), max_size=30)
 
@@ -58,3 +72,53 @@ def test_conversations_from_their_windows(spark):
     assert all(1 <= w["repeated"] <= 5 for w in parts if w["window"] > 0)
     assert all(sum(4 + len(t.split()) for _, t in read_turns(w["text"])) <= 1024 for w in parts)
     assert read_back(windows(turns.where("false"))).count() == 0
+
+
+@given(st.lists(st.integers(4, 40), min_size=20, max_size=60), st.integers(1, 60))
+def test_exits_of_a_block(tokens, room):
+    exits = block_exits(np.array(tokens), 16, room)
+    for at in range(16):
+        starts = span_starts(np.array(tokens), room, at)
+        after = [s for s in starts.tolist() if s >= 16]
+        assert exits[at] == (after[0] if after else len(tokens)) - 16
+
+
+@pytest.mark.parametrize("fan", [2, 256])
+def test_only_the_budget_ends_spans(spark, monkeypatch, fan):
+    """Short turns: spans are those of one pass over the whole conversation, over the borders of blocks and groups."""
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    monkeypatch.setattr(chat, "FAN", fan)
+    said = {c: [prose(c * 1000 + k, k * 7 % 11) for k in range(n)] for c, n in ((1, 160), (2, 16), (3, 17), (4, 1))}
+    rows = [(c, k, "user", t) for c, texts in said.items() for k, t in enumerate(texts)]
+    made = windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=64, history_tokens=16)
+    got = sorted((w["conv_id"], w["window"]) for w in made.collect())
+    expected = []
+    for c, texts in said.items():
+        tokens = np.array([4 + len(t.split()) for t in texts])
+        expected += [(c, s) for s in sorted(set(span_starts(tokens, 48).tolist()))]
+    assert got == expected
+
+
+def test_budget_in_tokens_with_long_turns(spark):
+    """A window is over budget only where the system turn and one turn are; the history holds no turn after a gap."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    plain = Tokenizer.from_file(path)
+    count = lambda r, t: len(plain.encode(f"{escape_role(r)}\n{escape(t)}", add_special_tokens=False).ids) + 4
+    rows = [(1, 0, "system", prose(1, 40)), *((1, k, "user", prose(k, 400 if k % 5 == 0 else 9)) for k in range(1, 40))]
+    rows += [(2, 0, "system", prose(2, 3000)), (2, 1, "user", "a"), (2, 2, "assistant", "b<|im_end|>")]
+    made = windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 512, 128, tokenizer=path).collect()
+    said = {c: [r[2:] for r in rows if r[0] == c] for c in (1, 2)}
+    for w in made:
+        turns, system = read_turns(w["text"]), said[w["conv_id"]][0]
+        new = turns[w["repeated"] :]
+        assert sum(count(*t) for t in turns) <= 512 or len(new) == 1 and w["repeated"] <= 1
+        old = turns[: w["repeated"]]
+        if w["window"] > 0:
+            assert old[0] == system
+            k = len(old) - 1
+            assert old[1:] == said[w["conv_id"]][w["window"] - k : w["window"]] and sum(count(*t) for t in old[1:]) <= 128
+    for c, whole in said.items():
+        parts = sorted((w["window"], read_turns(w["text"])[w["repeated"] :]) for w in made if w["conv_id"] == c)
+        assert [t for _, new in parts for t in new] == whole

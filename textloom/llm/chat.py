@@ -2,11 +2,18 @@
 
 1. Turns get a place in their conversation from sums per slice of turn numbers, so that a long
    conversation is not ordered in one task. Repeated turn numbers go by role and text.
-2. Within blocks of BLOCK turns, prefix sums of turn tokens cut spans of whole turns that fit
-   the budget beside the system turn and the history. A longer turn is a span of its own.
+2. Prefix sums of turn tokens cut spans of whole turns that fit the budget beside the system turn
+   and the history; only the budget ends a span. Where a span ends depends on where the one before
+   it ended, so each block of turns first says, for each place at which a span may begin, where the
+   first span of the next block then begins. Such maps are joined in bounded groups, level by level,
+   and give each block the place of its first span; all blocks cut their spans at once.
 3. Each span becomes a window: the conversation's system turn, a few turns before the span
    within the history budget, and the span. Assistant texts of the span are in the loss;
-   repeated turns are masked.
+   repeated turns are masked. Turns too long for the history are left out before texts are joined.
+
+Tokens are those of a vocabulary file, or words and signs where none is given, and TURN_TOKENS for
+each turn. A window is over budget only where the system turn and one turn are; history gives way
+first. A system turn above the budget is repeated all the same, before each turn.
 
 The template is ``<|im_start|>role LF text <|im_end|> LF``. In texts and roles, ``<`` and any
 backslashes before ``|`` get one more backslash, so no text can look like a mark, and reading
@@ -27,16 +34,20 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from textloom.llm.arrays import text_blocks
+from textloom.llm.token_counts import Counter
 from textloom.sources.scratch import settle
 
 BUDGET = 1024
 HISTORY_TOKENS = 256
 HISTORY_TURNS = 4
-BLOCK = 256
+BLOCK = 256  # at least as many turns as a span can have
+FAN = 256  # maps of blocks that are joined in one group
 SLICE = 64
 BEGIN, END = "<|im_start|>", "<|im_end|>"
-TURN_TOKENS = 4  # the marks and the role
+TURN_TOKENS = 4  # two marks and two line feeds
 
 READ = re.compile(re.escape(BEGIN) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
 
@@ -73,18 +84,92 @@ def read_turns(text: str) -> list[tuple[str, str]]:
     return [(unescape_role(r), unescape(t)) for r, t in READ.findall(text)]
 
 
-def span_starts(tokens: np.ndarray, room: int) -> np.ndarray:
-    """For each turn the first turn of its span; a span holds ``room`` tokens or one turn."""
+def span_ends(tokens: np.ndarray, room: int) -> np.ndarray:
+    """For each turn the turn after the span that begins there; a span holds ``room`` tokens or one turn."""
     sums = np.concatenate(([0], np.cumsum(tokens)))
-    out, at = np.empty(len(tokens), np.int64), 0
-    while at < len(tokens):
-        after = max(int(np.searchsorted(sums, sums[at] + room, "right")) - 1, at + 1)
-        out[at:after] = at
-        at = after
+    return np.maximum(np.searchsorted(sums, sums[:-1] + room, "right") - 1, np.arange(1, len(sums)))
+
+
+def span_starts(tokens: np.ndarray, room: int, at: int = 0, size: int | None = None) -> np.ndarray:
+    """For each turn from ``at`` on the first turn of its span, for the spans that begin before ``size``."""
+    ends = span_ends(tokens, room)
+    first, size, out = at, len(tokens) if size is None else size, []
+    while at < size:
+        out.append(np.full(ends[at] - at, at, np.int64))
+        at = int(ends[at])
+    return np.concatenate(out) if out else np.empty(at - first, np.int64)[:0]
+
+
+def block_exits(tokens: np.ndarray, size: int, room: int) -> np.ndarray:
+    """For each place of a block the place in the next block where its first span begins, if a span begins here.
+
+    ``tokens``: the block's ``size`` turns, then those of the next block.
+    """
+    ends, out = span_ends(tokens, room), np.zeros(size, np.int32)
+    for j in range(size - 1, -1, -1):
+        out[j] = ends[j] - size if ends[j] >= size else out[ends[j]]
     return out
 
 
-def placed_turns(turns: DataFrame) -> DataFrame:
+@F.pandas_udf(ArrayType(IntegerType()))
+def joined_exits(maps: pd.Series) -> pd.Series:
+    """The map of several blocks in a row."""
+
+    def join(exits):
+        at = exits[0]
+        for e in exits[1:]:
+            at = e[at]
+        return at
+
+    return maps.map(join)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def entered(maps: pd.Series, first: pd.Series) -> pd.Series:
+    """Where each next block is entered, for blocks in a row of which the first is entered at ``first``."""
+
+    def walk(exits, at):
+        out = []
+        for e in exits:
+            at = e[at]
+            out.append(at)
+        return out
+
+    return pd.Series([walk(m, f) for m, f in zip(maps, first)])
+
+
+def block_entries(maps: DataFrame, fan: int) -> DataFrame:
+    """(c, b, entry): where the first span begins in each block but a conversation's first, from (conv_id, block, exits)."""
+    exits = F.array_sort(F.collect_list(F.struct("block", "exits")))["exits"]  # fan of them at most
+    groups = maps.groupBy("conv_id", F.floor(F.col("block") / fan).alias("group")).agg(exits.alias("maps"))
+    first = F.lit(0)
+    if (maps.agg(F.max("block")).first()[0] or 0) >= fan:
+        upper = settle(groups.select("conv_id", F.col("group").alias("block"), joined_exits("maps").alias("exits")), "exits")
+        above = block_entries(upper, fan)
+        groups = groups.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("group") == F.col("b")), "left")
+        first = F.coalesce("entry", first)
+    walked = groups.select("conv_id", "group", F.posexplode(entered("maps", first)).alias("at", "place"))
+    return walked.select(F.col("conv_id").alias("c"), (F.col("group") * fan + F.col("at") + 1).alias("b"), F.col("place").alias("entry"))
+
+
+def with_tokens(rows: DataFrame, tokenizer: str | None) -> DataFrame:
+    """The rows with the tokens of their role and text, as they are written."""
+    if tokenizer is None:
+        return rows.withColumn("tokens", F.regexp_count("text", F.lit(r"\w+|[^\w\s]")).cast("long") + TURN_TOKENS)
+    process = rows.sparkSession.sparkContext.broadcast({})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "counter" not in process.value:
+            process.value["counter"] = Counter(tokenizer)
+        for batch, texts in text_blocks(batches):
+            roles = batch.column("role").to_pylist()
+            counts = process.value["counter"].texts([f"{escape_role(r)}\n{escape(t or '')}".encode() for r, t in zip(roles, texts)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts + TURN_TOKENS)], [*batch.schema.names, "tokens"])
+
+    return rows.mapInArrow(count, StructType([*rows.schema, StructField("tokens", LongType())]))
+
+
+def placed_turns(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(conv_id, role, text, tokens, pos): each turn with its place from 0."""
     rows = turns.select(
         "conv_id",
@@ -92,8 +177,9 @@ def placed_turns(turns: DataFrame) -> DataFrame:
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
-    ).withColumn("tokens", F.regexp_count("text", F.lit(r"\w+|[^\w\s]")) + TURN_TOKENS)
+    )
     slices = rows.groupBy("conv_id", "slice").agg(F.count("*").alias("n"))
+    rows = with_tokens(rows, tokenizer)
     before = Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(F.col("conv_id").alias("c"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = Window.partitionBy("conv_id", "slice").orderBy("turn", "role", "text")
@@ -102,30 +188,52 @@ def placed_turns(turns: DataFrame) -> DataFrame:
     return settle(rows.select("conv_id", "role", "text", "tokens", (F.col("before") + F.col("rank")).alias("pos")), "turns")
 
 
+def placed_spans(rows: DataFrame, system: DataFrame, budget: int, history_tokens: int) -> DataFrame:
+    """(conv_id, pos, window): each turn with the first turn of its span."""
+    size = max(BLOCK, (budget - history_tokens) // TURN_TOKENS + 1)
+    turn = F.struct("pos", "tokens")
+    # Each block also sees the turns of the next one, into which its last span may reach.
+    place = F.floor(F.col("pos") / size)
+    seen = rows.select("conv_id", "pos", "tokens", F.explode(F.array(place, place - 1)).alias("block")).where("block >= 0")
+    blocks = seen.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(turn))["tokens"].alias("tokens"))
+    blocks = blocks.join(system.select("c", "system_tokens"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    room = F.greatest(F.lit(budget - history_tokens) - F.coalesce("system_tokens", F.lit(0)), F.lit(0))
+    blocks = settle(blocks.select("conv_id", "block", "tokens", room.cast("long").alias("room")), "blocks")
+
+    @F.pandas_udf("array<int>")
+    def exits(tokens: pd.Series, room: pd.Series) -> pd.Series:
+        return pd.Series([block_exits(np.asarray(t), size, int(r)) for t, r in zip(tokens, room)])
+
+    @F.pandas_udf("array<long>")
+    def cut(tokens: pd.Series, room: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([span_starts(np.asarray(t), int(r), int(e), min(size, len(t))) for t, r, e in zip(tokens, room, entry)])
+
+    # Blocks that are not the last of their conversation; most conversations have none.
+    maps = settle(blocks.where(F.size("tokens") > size).select("conv_id", "block", exits("tokens", "room").alias("exits")), "exits")
+    known = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))
+    blocks = blocks.join(block_entries(maps, FAN), known, "left").withColumn("entry", F.coalesce("entry", F.lit(0)))
+    spans = blocks.select("conv_id", "block", "entry", F.posexplode(cut("tokens", "room", "entry")).alias("at", "start"))
+    first = F.col("block") * size
+    return spans.select("conv_id", (first + F.col("entry") + F.col("at")).alias("pos"), (first + F.col("start")).alias("window"))
+
+
 def windows(
-    turns: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS
+    turns: DataFrame,
+    budget: int = BUDGET,
+    history_tokens: int = HISTORY_TOKENS,
+    history_turns: int = HISTORY_TURNS,
+    tokenizer: str | None = None,
 ) -> DataFrame:
     """(conv_id, window, repeated, text, loss): formatted windows of (conv_id, turn, role, text).
 
     ``window`` is the place of the first new turn, ``repeated`` the number of turns before it
-    in the text, ``loss`` the code point spans of assistant texts that count.
+    in the text, ``loss`` the code point spans of assistant texts that count. ``tokenizer``: path
+    of a byte-level vocabulary file.
     """
-    rows = placed_turns(turns)
+    rows = placed_turns(turns, tokenizer)
     key = F.col("conv_id").alias("c")
-    system = rows.where("pos = 0 and role = 'system'").select(key, "role", "text", F.least("tokens", F.lit(budget // 2)).alias("system_tokens"))
-
-    @F.pandas_udf("array<long>")
-    def cut(tokens: pd.Series, room: pd.Series) -> pd.Series:
-        return pd.Series([span_starts(np.asarray(t), int(r)) for t, r in zip(tokens, room)])
-
-    blocks = rows.groupBy("conv_id", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("turns")  # BLOCK turns at most
-    )
-    blocks = blocks.join(system.select("c", "system_tokens"), F.col("conv_id").eqNullSafe(F.col("c")), "left")
-    room = F.lit(budget - history_tokens) - F.coalesce("system_tokens", F.lit(0))
-    spans = blocks.select("conv_id", "block", F.posexplode(cut("turns.tokens", room)).alias("at", "start"))
-    first = F.col("block") * BLOCK
-    spans = settle(spans.select("conv_id", (first + F.col("at")).alias("pos"), (first + F.col("start")).alias("window")), "spans")
+    system = rows.where("pos = 0 and role = 'system'").select(key, "role", "text", F.col("tokens").alias("system_tokens"))
+    spans = settle(placed_spans(rows, system, budget, history_tokens), "spans")
 
     def matched(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(right, left["conv_id"].eqNullSafe(right["c"]) & (left["pos"] == right["p"]))
@@ -136,9 +244,9 @@ def windows(
     starts = spans.where("pos = window and window > 0").select("conv_id", "window")
     back = F.explode(F.sequence(F.lit(1), F.lit(history_turns)))
     earlier = starts.select(key, "window", back.alias("d")).select("c", "window", (F.col("window") - F.col("d")).alias("p")).where("p >= 0")
-    history = matched(rows, earlier).select("conv_id", "window", "pos", "role", "text", "tokens", F.lit(1).alias("part"))
+    history = matched(rows.where(F.col("tokens") <= history_tokens), earlier).select("conv_id", "window", "pos", "role", "text", "tokens", F.lit(1).alias("part"))
     heads = starts.join(system, starts["conv_id"].eqNullSafe(F.col("c"))).select(
-        "conv_id", "window", F.lit(0).cast("long").alias("pos"), "role", "text", F.lit(0).alias("tokens"), F.lit(0).alias("part")
+        "conv_id", "window", F.lit(0).cast("long").alias("pos"), "role", "text", F.col("system_tokens").alias("tokens"), F.lit(0).alias("part")
     )
     turn = F.struct("part", "pos", "role", "text", "tokens")
     gathered = fresh.unionByName(history).unionByName(heads).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -149,10 +257,11 @@ def windows(
             for parts in batch.column("turns").to_pylist():
                 new = [t for t in parts if t["part"] == 2]
                 head = [t for t in parts if t["part"] == 0]
-                old, left = [], history_tokens
-                for t in reversed([t for t in parts if t["part"] == 1 and not (head and t["pos"] == 0)]):
+                old, left = [], min(history_tokens, budget - sum(t["tokens"] for t in head + new))
+                for k, t in enumerate(reversed([t for t in parts if t["part"] == 1 and not (head and t["pos"] == 0)]), 1):
                     left -= t["tokens"]
-                    if left < 0:
+                    # A turn that is missing here was too long.
+                    if left < 0 or t["pos"] != new[0]["pos"] - k:
                         break
                     old.append(t)
                 repeated = head + old[::-1]

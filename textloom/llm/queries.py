@@ -139,7 +139,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return read_back(windows(turns.union(planted)))
+    return read_back(windows(turns.union(planted), tokenizer=tokenizer_path()))
 
 
 @query("op4_cap_filters")
