@@ -6,6 +6,7 @@ from cases import LOWER, SCHEMA, awkward, documents, prose
 from hypothesis import given
 from hypothesis import strategies as st
 
+from textloom.llm import decontam
 from textloom.llm.decontam import contamination, drop_contaminated
 from textloom.llm.secret_scan import find_secrets, guess_cost, in_code_points, redact, redact_secrets, secret_digest
 
@@ -44,8 +45,8 @@ ITEMS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [4 << 20, 6000])
-def test_same_hits_as_plain_search(spark, limit):
+@pytest.mark.parametrize("limit, bits", [(4 << 20, 28), (2500, 28), (600, 15)])
+def test_same_hits_as_plain_search(spark, limit, bits):
     rows = awkward() + [
         (20, "before " + prose(50, 20).replace(" ", ", ") + " after"),
         (21, prose(50, 12)),
@@ -55,14 +56,14 @@ def test_same_hits_as_plain_search(spark, limit):
         (25, prose(60, 500) + " " + prose(50, 20)),
     ]
     docs, items = documents(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = contamination(docs, items, pattern_limit=limit)
+    got = contamination(docs, items, pattern_limit=limit, filter_bits=bits)
     key = lambda r: tuple((x is None, x or 0) for x in r)
     expected = plain_contamination(rows, ITEMS)
     assert sorted((tuple(r)[:6] for r in got.collect()), key=key) == sorted(expected, key=key)
     spans = {r["doc_id"]: r["spans"] for r in got.collect()}
     a, b = map(int, spans[20].split(":"))
     assert WORD.findall(rows[-6][1][a:b]) == prose(50, 20).split()
-    kept = drop_contaminated(docs, items)
+    kept = drop_contaminated(docs, items, pattern_limit=limit, filter_bits=bits)
     assert kept.columns == docs.columns
     assert kept.count() == sum(not r[-1] for r in expected)
 
@@ -76,10 +77,22 @@ def test_items_without_id_hit_words(spark, limit):
     assert [r["doc_id"] for r in drop_contaminated(docs, items, pattern_limit=limit).collect()] == [3]
 
 
+def test_many_items_of_one_text_and_many_documents_of_one_part(spark, monkeypatch):
+    """Items of one text are one set of patterns; a part with many documents is scanned by many tasks."""
+    monkeypatch.setattr(decontam, "TASK_BYTES", 2000)
+    items = [(i, prose(50, 20)) for i in range(400)] + [(1000 + i, prose(1000 + i, 30)) for i in range(200)]
+    rows = [(i, f"{prose(50, 20) if i % 2 else ''} {prose(2000 + i, 80)} {prose(1000 + i, 30)}") for i in range(120)] + [(500, prose(500, 90))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(documents(spark, rows), benchmark, pattern_limit=20_000, filter_bits=20)
+    assert sorted(tuple(r)[:6] for r in got.collect()) == sorted(plain_contamination(rows, items))
+
+
 def test_no_items_and_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(documents(spark, awkward()), none).where("contaminated or n_items > 0").count() == 0
     assert contamination(spark.createDataFrame([], SCHEMA), none).count() == 0
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert contamination(spark.createDataFrame([], SCHEMA), items, pattern_limit=600, filter_bits=15).count() == 0
 
 
 def plain_secrets(t):
