@@ -17,7 +17,6 @@ packed each; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,20 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.arrays import text_blocks
+from textloom.llm.arrays import SPACES, Words, byte_mask, text_blocks
+from textloom.llm.ragged import distinct_pieces, gather
+from textloom.llm.token_counts import PlainWords
 from textloom.sources.scratch import settle
 
 ROOM = 2048
-BLOCK = 4 << 20  # bytes of text whose new words are tokenized together
 CACHE_WORDS = 250_000
 CACHE_RUNS = 800_000
 GROUP = 2_000
 PARTING_TOKEN = "<|startoftext|>"
 
-# How the tokenizer cuts a lower-case word, and words for which these classes are the whole truth.
-COMMON_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-
 
 class WordTokens:
     """Token ids of texts as bytes, by caches of words and of their parts.
@@ -49,8 +45,9 @@ class WordTokens:
     The tokenizer drops white space, so the ids of a text are those of its words in a row. It
     lower-cases words and cuts them into runs of letters, digits and signs, and the last token
     of each run has a word end. For words of ASCII and common Latin letters the runs are found
-    here, so that each run is tokenized once, whatever case and signs it comes with. Other words
-    are tokenized whole, many at a time, with a special token between them.
+    by classes of bytes, so that each run is tokenized once, whatever case and signs it comes with.
+    Other words are tokenized whole, many at a time, with a special token between them. The ids of
+    a block of texts are then gathered as one array.
     """
 
     def __init__(self, path: str):
@@ -62,7 +59,7 @@ class WordTokens:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -72,15 +69,15 @@ class WordTokens:
         for k, a, b in zip(keys, (starts * 4).tolist(), (ends * 4).tolist()):
             into[k] = raw[a:b]
 
-    def _learn_runs(self, runs: list[str]) -> None:
+    def _learn_runs(self, runs: list[bytes]) -> None:
         for i in range(0, len(runs), GROUP):
             group = runs[i : i + GROUP]
-            ids = self._ids(" ".join(group))
+            ids = self._ids(b" ".join(group).decode())
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(group):
                 self._cut(self.runs, group, ids, np.append(0, ends[:-1]), ends)
             else:
-                self.runs.update((r, self._ids(r).tobytes()) for r in group)
+                self.runs.update((r, self._ids(r.decode()).tobytes()) for r in group)
 
     def _learn_whole(self, words: list[bytes]) -> None:
         for w in words:
@@ -93,32 +90,32 @@ class WordTokens:
             cuts = np.flatnonzero(ids == self.parting)
             self._cut(self.known, group, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
 
-    def _learn(self, words: list[bytes]) -> None:
-        whole, cut = [], []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if COMMON_WORD.fullmatch(text) and "<|" not in text:
-                cut.append((w, RUN.findall(text.lower())))
-            else:
-                whole.append(w)
-        self._learn_whole(whole)
-        if len(self.runs) > CACHE_RUNS:
-            self.runs.clear()
-        missing = {r for _, runs in cut for r in runs}.difference(self.runs)
-        self._learn_runs(list(missing))
-        get = self.runs.__getitem__
-        for w, runs in cut:
-            self.known[w] = get(runs[0]) if len(runs) == 1 else b"".join(map(get, runs))
-
     def texts(self, rows: list[bytes]) -> list[bytes]:
-        words = [r.split() for r in rows]
+        words = Words(rows, None, byte_mask(SPACES))
+        if not len(words):
+            return [b""] * len(rows)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        missing = set().union(*words).difference(self.known)
-        if missing:
-            self._learn(list(missing))
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        if len(self.runs) > CACHE_RUNS:
+            self.runs.clear()
+        plain = PlainWords(words)
+        codes, runs = distinct_pieces(plain.data, plain.offsets) if len(plain.starts) else (np.empty(0, np.int64), [])
+        self._learn_runs([r for r in runs if r not in self.runs])
+        raw, odd = words.data.tobytes(), plain.odd_words
+        whole = [raw[a:b] for a, b in zip(words.starts[odd].tolist(), words.ends[odd].tolist())]
+        self._learn_whole(list(set(whole).difference(self.known)))
+
+        # The ids of each distinct run, then of each other word; all units in the order of the texts.
+        held = [*map(self.runs.__getitem__, runs), *map(self.known.__getitem__, whole)]
+        ids, sizes = np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        units = np.concatenate((codes, len(runs) + np.arange(len(whole))))
+        places = np.concatenate((plain.starts, words.starts[odd]))
+        order = np.argsort(places, kind="stable")
+        units, places = units[order], places[order]
+        counts = sizes[units]
+        out = ids[gather((np.cumsum(sizes) - sizes)[units], counts)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(places, words.text_ends)] * 4
+        return [out[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
@@ -132,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
             process.value["tokens"] = WordTokens(tokenizer)
         tokens, part = process.value["tokens"], TaskContext.get().partitionId()
         met = np.zeros(room + 1, np.int64)
-        for batch, rows in text_blocks(batches, size=BLOCK):
+        for batch, rows in text_blocks(batches):
             of, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, ids in enumerate(tokens.texts(rows)):
                 ids += b"\0\0\0\0"
