@@ -1,6 +1,9 @@
 """The hierarchy against a plain restatement, planted blobs, binning and the search."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +167,37 @@ def test_bounds():
     assert [search.search_bounds(n) for n in sizes] == [
         (5, 10), (5, 10), (10, 50), (10, 50), (20, 80), (20, 80), (50, 120)
     ]
+
+
+def test_search_fits_several_steps_at_once(spark, monkeypatch):
+    """A search that goes down by many steps makes few passes, and has the trials that single steps give."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (150, 2)))]
+    pts = spark.createDataFrame(rows, "id long, x double, y double")
+    passes, plain = [], search.cluster_points
+
+    def counted(leaves, settings, *more):
+        passes.append(len(settings))
+        return plain(leaves, settings, *more)
+
+    monkeypatch.setattr(search, "cluster_points", counted)
+    together = search.cluster_search(pts, ["x", "y"], key="id")
+    n, together = len(passes), together.trials.collect()
+    monkeypatch.setattr(search, "AHEAD", 1)
+    assert together == search.cluster_search(pts, ["x", "y"], key="id").trials.collect()
+    assert n < len(passes) - n == len(together) // 2
+
+
+def test_leaf_cores_hold_no_object_for_each_neighbour():
+    rng = np.random.default_rng(1)
+    n, k = 1500, 500
+    table = pa.table({
+        "id": np.arange(n), "p": list(rng.normal(0, 1, (n, 2))), "w": np.ones(n, np.int64),
+        "level": pa.array([1] * n, pa.int32()), "cell": pa.array([[0, 0]] * n, pa.list_(pa.int32())),
+    })
+    tracemalloc.start()
+    out = knn._leaf_cores(k)(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n and len(out.column("ds")[0]) == k
+    assert most < 4 * 8 * n * k  # before: structs as dicts, some 300 bytes each
