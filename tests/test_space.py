@@ -71,3 +71,18 @@ def test_density_cut_over_many_leaves(uneven):
     for eps in (0.004, 0.8):
         got = {r.id: r.component for r in density.density_cut(table, 4, eps, leaf_rows=20).collect()}
         assert got == components(rows, eps, cores)
+
+
+def test_visits_neither_shuffle_nor_repeat(spark):
+    """Queries of one high cell do not meet in one task, and each leaf that a ball touches comes once."""
+    p = np.random.default_rng(6).uniform(0, 1, (400, 2)) ** 2
+    rows = [(i, [float(x) for x in r], 1, float(0.4 * (i % 7) / 7)) for i, r in enumerate(p)]
+    df = spark.createDataFrame(rows, "id long, p array<double>, w long, r double")
+    leaves = space.into_leaves(df.drop("r"), 20)
+    got = space.visits(df.select("id", "p", "r"), leaves)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Aggregate" not in plan
+    sizes = leaves.sizes.select("level", "cell")
+    near = leaves.gap(F.col("p"), F.col("level"), F.col("cell")) <= F.col("r") * (1 + 1e-9)
+    want = df.crossJoin(sizes).where(near).select("id", "level", "cell").collect()
+    assert sorted(got.select("id", "level", "cell").collect()) == sorted(want)
