@@ -146,3 +146,25 @@ def test_no_labels_and_no_documents(spark):
     assert {r["score"] for r in toxicity(docs, none).collect()} == {0.5}
     assert {r["score"] for r in quality(docs, none).collect()} == {0.5}
     assert toxicity(docs.where("false"), labels).count() == 0 == quality(docs.where("false"), labels).count()
+
+
+def test_toxicity_training_never_holds_all_features():
+    """Most features are rare; those of all texts together are more than training needs."""
+    import tracemalloc
+
+    from textloom.llm import toxicity as T
+    from textloom.llm.arrays import Hasher
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(20_000)]
+    blocks = [[" ".join(rng.choice(words, 100)).encode() for _ in range(100)] for _ in range(20)]
+    sets = [x for rows in blocks for x in T.distinct_features(rows, Hasher())]
+    want = T.without_rare(sets)
+    whole = sum(x.nbytes for x in sets)
+    del sets
+    tracemalloc.start()
+    got = T.frequent_features(blocks)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert not blocks and all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+    assert held < 0.6 * whole

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.arrays import LOWER, Hasher, Words, byte_mask, chains, text_blocks
 from textloom.llm.decontam import PARTING
@@ -58,30 +59,58 @@ def distinct_features(rows: list[bytes], hasher: Hasher) -> list[np.ndarray]:
     return [np.unique(h) for h in np.split(hashes[order], np.cumsum(np.bincount(owners, minlength=len(rows)))[:-1])]
 
 
-def without_rare(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """The sets without most features of fewer than LEAST_TEXTS texts, by counts per hash bucket."""
-    mask = np.uint64((1 << COUNT_BITS) - 1)
-    counts = np.zeros(1 << COUNT_BITS, np.uint16)
+def buckets(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)
+
+
+def count_texts(sets: list[np.ndarray], counts: np.ndarray) -> None:
+    """Adds to each hash bucket the texts that have it, up to LEAST_TEXTS."""
     for s in sets:
-        at = np.unique((s & mask).astype(np.int64))
+        at = np.unique(buckets(s))
         counts[at] = np.minimum(counts[at] + 1, LEAST_TEXTS)
-    return [s[counts[(s & mask).astype(np.int64)] >= LEAST_TEXTS] for s in sets]
+
+
+def frequent(sets: list[np.ndarray], counts: np.ndarray) -> list[np.ndarray]:
+    """The sets without most features of fewer than LEAST_TEXTS texts, by counts per hash bucket."""
+    return [s[counts[buckets(s)] >= LEAST_TEXTS] for s in sets]
+
+
+def without_rare(sets: list[np.ndarray]) -> list[np.ndarray]:
+    counts = np.zeros(1 << COUNT_BITS, np.uint8)
+    count_texts(sets, counts)
+    return frequent(sets, counts)
+
+
+def frequent_features(blocks: list[list[bytes]]) -> list[np.ndarray]:
+    """The sets of all texts of some blocks without rare features.
+
+    The features are made twice, so that those of all texts are never held together: most are rare.
+    The list of blocks is empty at the end.
+    """
+    hasher, counts, sets = Hasher(), np.zeros(1 << COUNT_BITS, np.uint8), []
+    for rows in blocks:
+        count_texts(distinct_features(rows, hasher), counts)
+    while blocks:
+        sets += frequent(distinct_features(blocks.pop(0), hasher), counts)
+    return sets
 
 
 def ftrl(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(hashes, weights, bias) of the weights that are not zero."""
+    """(hashes, weights, bias) of the weights that are not zero, from sets without rare features; the list is used up."""
     if not len(sets):
         return np.zeros(0, np.uint64), np.zeros(0), 0.0
-    sets = without_rare(sets)
-    keys, n = np.unique(np.concatenate(sets), return_counts=True)
-    keys = keys[n >= LEAST_TEXTS]
+    every = np.concatenate(sets)
+    every.sort()
+    far = LEAST_TEXTS - 1  # a text has a feature once
+    keys = np.unique(every[: len(every) - far][every[: len(every) - far] == every[far:]])
+    del every
     z, s = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)  # the last is the bias, without L1
-    index = []
-    for x in sets:
+    index = sets
+    for k, x in enumerate(sets):
         at = np.searchsorted(keys, x)
         at = at[at < len(keys)]
         x = x[: len(at)] if len(at) == len(x) else x[np.searchsorted(keys, x) < len(keys)]
-        index.append(np.append(at[keys[at] == x], len(keys)))
+        index[k] = np.append(at[keys[at] == x], len(keys)).astype(np.int32)
     penalty = np.full(len(keys) + 1, L1)
     penalty[-1] = 0
 
@@ -108,11 +137,11 @@ def train(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights from (text, label), a sample of bounded size in one partition."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sets, labels = Hasher(), [], []
+        blocks, labels = [], []
         for batch, rows in text_blocks(batches):
-            sets += distinct_features(rows, hasher)
+            blocks.append(rows)
             labels += batch.column("label").to_pylist()
-        keys, w, bias = ftrl(sets, np.array(labels, float))
+        keys, w, bias = ftrl(frequent_features(blocks), np.array(labels, float))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(keys.view(np.int64), 0)), pa.array(np.append(w, bias)), pa.array([False] * len(keys) + [True])],
             ["key", "weight", "is_bias"],
@@ -139,6 +168,13 @@ def labelled(docs: DataFrame, labels: DataFrame, name: str, folds: int, held_out
     return rows.select("text", "label").coalesce(1)
 
 
+def with_bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with its texts as bytes, which share their memory."""
+    if TEXT in batch.schema.names:
+        return batch
+    return batch.append_column(TEXT, batch.column(batch.schema.names.index("text")).cast(pa.binary()))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str]) -> DataFrame:
     """``keep`` columns of ``docs`` and, in the column SCORE, the score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -148,7 +184,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
         hasher, (keys, weights, bias) = Hasher(), shared.value
         may = np.zeros(1 << FILTER_BITS, bool)
         may[(keys & bits).astype(np.int64)] = True
-        for batch, rows in text_blocks(batches, TEXT):
+        for batch, rows in text_blocks(map(with_bytes, batches), TEXT):
             total = np.full(len(rows), bias)
             hashes, owners = features(rows, hasher)
             near = may[(hashes & bits).astype(np.int64)]
@@ -161,7 +197,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], [*keep, SCORE])
 
-    rows = docs.select(*keep, F.col("text").cast("binary").alias(TEXT))
+    # A kept text goes to Python once.
+    kept = "text" in keep and docs.schema["text"].dataType == T.StringType()
+    rows = docs.select(*keep) if kept else docs.select(*keep, F.col("text").cast("binary").alias(TEXT))
     return rows.mapInArrow(run, rows.drop(TEXT).schema.add(SCORE, "double"))
 
 
