@@ -111,3 +111,27 @@ def test_clean_posts_runs_on_a_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.doc_id for r in spark.table("cleaned").collect()] == [1]
+
+
+def test_blocks_are_bounded_by_bytes():
+    """Python sees a bounded share of an Arrow batch at a time, whatever its rows."""
+    import pyarrow as pa
+
+    from textloom.functions.blocks import text_blocks
+
+    texts = ["é" * 300, None, "", "x" * 5000, "y"] * 50
+    blocks = list(text_blocks(iter([pa.array(texts), pa.array([], pa.string())]), 2000))
+    assert [t for b in blocks for t in b] == [t or "" for t in texts]
+    assert all(len(b) == 1 or sum(len(t.encode()) + 1 for t in b) <= 2000 for b in blocks)
+
+
+def test_encoder_gets_bounded_lists(spark):
+    """An encoder is never given a whole Arrow batch of long texts."""
+    from textloom.operators import embed
+
+    def sizes():
+        return lambda texts: [[float(sum(map(len, texts)))] for _ in texts]
+
+    rows = spark.range(40).selectExpr("id", "repeat('word ', 40000) as text").coalesce(1)
+    got = embed.embed_with(rows, sizes).selectExpr("max(embeddings[0]) as m", "count(*) as n").first()
+    assert got.n == 40 and got.m <= 1 << 20  # before: 8,000,000
