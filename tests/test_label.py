@@ -187,3 +187,24 @@ def test_critique(spark):
     for r in got:
         assert [t.role for t in r.dialog] == ["user", "assistant", "user", "assistant"]
         assert r.dialog[-1].content == r.critique
+
+
+def test_clusters_come_to_the_texts(spark, tmp_path):
+    """The texts of CLUSTERED are not shuffled, even where Catalyst would not broadcast; the rows are the SQL's."""
+    from textloom.plans import fixtures as fx
+
+    docs = spark.range(0, 300, 1, 16).selectExpr("id as doc_id", "'a b' as text", "'s' as source", "'en' as lang")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(0, 70, 1, 16).selectExpr("id as vec_id", "cast(id % 5 as int) as label", "array(1.0f) as embedding").write.parquet(
+        f"{tmp_path}/embeddings.parquet"
+    )
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = fx.clustered(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        want = fx.in_spark(spark, str(tmp_path), fx.CLUSTERED)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)

@@ -24,7 +24,7 @@ SEED = sample.SEED
 
 
 def clustered(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.in_spark(spark, sf, fx.CLUSTERED)
+    return fx.clustered(spark, sf)
 
 
 # Counts.
