@@ -243,3 +243,17 @@ def test_sdedup_groups_blobs(spark):
     got = dedup.sdedup(df, k=3, threshold=0.5)
     assert got.count() == 120 and {"klabel", "cosine_sim", "similar", "Drop"} <= set(got.columns)
     assert got.groupBy("blob").agg(F.count_distinct("klabel").alias("n")).agg(F.max("n")).first()[0] <= 2
+
+
+def test_block_entries_are_plain_numbers():
+    """No Python object for each neighbour: a table of three number columns, the k nearest of each row."""
+    from textloom.operators.reduce import _block_neighbours
+
+    v = np.random.default_rng(8).normal(0, 1, (300, 4))
+    got = _block_neighbours(np.arange(300) * 10, v, 5)
+    assert [str(t) for t in got.dtypes] == ["int64", "int64", "float64"] and len(got) == 1500
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {i * 10: sorted((np.argsort(row)[:5] * 10).tolist()) for i, row in enumerate(d)}
+    assert {i: sorted(g["to"].tolist()) for i, g in got.groupby("id")} == want
+    assert len(_block_neighbours(np.array([7]), v[:1], 5)) == 0
