@@ -163,12 +163,8 @@ def _suffix_filter(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFr
     """Pairs whose counts by hash range still allow the overlap that a link needs."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, SUFFIX_BINS) for c in ("bins_a", "bins_b")
-            )
+        for batch, first in text_blocks(batches, "bins_a"):
+            x, y = (np.frombuffer(b"".join(b), "<u4").reshape(-1, SUFFIX_BINS) for b in (first, batch.column("bins_b").to_pylist()))
             most = np.minimum(x, y).sum(1, dtype=np.int64)
             total = x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
             ok = pa.array((100 + similarity) * most >= similarity * total)

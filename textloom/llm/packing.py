@@ -19,16 +19,17 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.arrays import SPACES, Words, byte_mask, text_blocks
-from textloom.llm.ragged import distinct_pieces, gather
+from textloom.llm.ragged import coded_pieces, gather
 from textloom.llm.token_counts import PlainWords
 from textloom.sources.scratch import settle
 
@@ -39,6 +40,35 @@ GROUP = 2_000
 PARTING_TOKEN = "<|startoftext|>"
 
 
+class RunTable:
+    """Token ids of distinct runs as flat arrays: run i has ids[starts[i]:starts[i + 1]].
+
+    A run takes some 40 bytes; a dict of bytes to bytes takes five times that.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def clear(self) -> None:
+        self.keys, self.ids, self.starts = pa.array([], pa.binary()), np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def places(self, runs: pa.Array, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The place of each of some distinct runs; ``learn`` gives the ids of new ones in a row, and how many each has."""
+        found = pc.index_in(runs, value_set=self.keys)
+        at = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if found.null_count:
+            new = runs.filter(found.is_null())
+            ids, counts = learn(new.to_pylist())
+            at[at < 0] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts))
+            self.ids = np.append(self.ids, ids)
+        return at
+
+
 class WordTokens:
     """Token ids of texts as bytes, by caches of words and of their parts.
 
@@ -59,7 +89,7 @@ class WordTokens:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.runs = RunTable()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -69,15 +99,21 @@ class WordTokens:
         for k, a, b in zip(keys, (starts * 4).tolist(), (ends * 4).tolist()):
             into[k] = raw[a:b]
 
-    def _learn_runs(self, runs: list[bytes]) -> None:
+    def _run_ids(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all runs in a row, and how many each has."""
+        every, counts = [], []
         for i in range(0, len(runs), GROUP):
             group = runs[i : i + GROUP]
             ids = self._ids(b" ".join(group).decode())
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(group):
-                self._cut(self.runs, group, ids, np.append(0, ends[:-1]), ends)
+                every.append(ids)
+                counts.append(np.diff(ends, prepend=0))
             else:
-                self.runs.update((r, self._ids(r.decode()).tobytes()) for r in group)
+                own = [self._ids(r.decode()) for r in group]
+                every += own
+                counts.append(np.array([len(x) for x in own], np.int64))
+        return np.concatenate(every), np.concatenate(counts)
 
     def _learn_whole(self, words: list[bytes]) -> None:
         for w in words:
@@ -99,21 +135,22 @@ class WordTokens:
         if len(self.runs) > CACHE_RUNS:
             self.runs.clear()
         plain = PlainWords(words)
-        codes, runs = distinct_pieces(plain.data, plain.offsets) if len(plain.starts) else (np.empty(0, np.int64), [])
-        self._learn_runs([r for r in runs if r not in self.runs])
+        codes, runs = coded_pieces(plain.data, plain.offsets) if len(plain.starts) else (np.empty(0, np.int64), pa.array([], pa.binary()))
+        run = self.runs.places(runs, self._run_ids)[codes]
         raw, odd = words.data.tobytes(), plain.odd_words
         whole = [raw[a:b] for a, b in zip(words.starts[odd].tolist(), words.ends[odd].tolist())]
         self._learn_whole(list(set(whole).difference(self.known)))
 
-        # The ids of each distinct run, then of each other word; all units in the order of the texts.
-        held = [*map(self.runs.__getitem__, runs), *map(self.known.__getitem__, whole)]
-        ids, sizes = np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4
-        units = np.concatenate((codes, len(runs) + np.arange(len(whole))))
+        # The ids of all known runs, then of each other word; all units in the order of the texts.
+        held = [*map(self.known.__getitem__, whole)]
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        ids = np.append(self.runs.ids, np.frombuffer(b"".join(held), "<u4")) if held else self.runs.ids
+        firsts = np.concatenate((self.runs.starts[run], len(self.runs.ids) + np.cumsum(sizes) - sizes))
+        counts = np.concatenate((self.runs.starts[run + 1] - self.runs.starts[run], sizes))
         places = np.concatenate((plain.starts, words.starts[odd]))
         order = np.argsort(places, kind="stable")
-        units, places = units[order], places[order]
-        counts = sizes[units]
-        out = ids[gather((np.cumsum(sizes) - sizes)[units], counts)].tobytes()
+        places, counts = places[order], counts[order]
+        out = ids[gather(firsts[order], counts)].tobytes()
         ends = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(places, words.text_ends)] * 4
         return [out[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 

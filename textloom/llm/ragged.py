@@ -6,12 +6,17 @@ import numpy as np
 import pyarrow as pa
 
 
-def distinct_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def coded_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Codes of the pieces data[starts[i]:starts[i + 1]] (the last one ends with the data), and each distinct piece once."""
     offsets = np.append(starts, len(data)).astype(np.int32)
     pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     coded = pieces.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def distinct_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    codes, pieces = coded_pieces(data, starts)
+    return codes, pieces.to_pylist()
 
 
 def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

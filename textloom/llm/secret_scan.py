@@ -278,9 +278,9 @@ def redact_secrets(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame
     names = docs.columns
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, rows in text_blocks(batches):
             at = batch.schema.names.index("text")
-            texts = [None if t is None else redact(t, least_cost) for t in batch.column(at).to_pylist()]
+            texts = [redact(t, least_cost) if known else None for t, known in zip(rows, batch.column(at).is_valid().to_pylist())]
             columns = batch.columns
             columns[at] = pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.arrays import LOWER, Hasher, Words, byte_mask, chains, text_blocks
+from textloom.llm.arrays import LOWER, Hasher, Words, byte_mask, chains, give_back, text_blocks
 from textloom.llm.decontam import PARTING
 from textloom.llm.ppm import fold
 from textloom.sources.scratch import settle
@@ -34,6 +34,7 @@ LEAST_TEXTS = 3  # a feature of fewer training texts is left out
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.0
 COUNT_BITS = 22
+RANGES = 64  # of hashes, which are looked at one after another
 
 # Names that no column of the input has: they end in a space.
 TEXT, SCORE = "text ", "score "
@@ -90,20 +91,29 @@ def frequent_features(blocks: list[list[bytes]]) -> list[np.ndarray]:
     hasher, counts, sets = Hasher(), np.zeros(1 << COUNT_BITS, np.uint8), []
     for rows in blocks:
         count_texts(distinct_features(rows, hasher), counts)
+    give_back()
     while blocks:
         sets += frequent(distinct_features(blocks.pop(0), hasher), counts)
     return sets
 
 
+def shared_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """The hashes that LEAST_TEXTS of the sets have, ascending; each set ascends. One range of hashes at a time is put together."""
+    edges = np.arange(1, RANGES, dtype=np.uint64) * np.uint64((1 << 64) // RANGES)
+    cuts = np.array([[0, *np.searchsorted(s, edges), len(s)] for s in sets], np.int32).reshape(-1, RANGES + 1)
+    far, keys = LEAST_TEXTS - 1, []  # a text has a feature once
+    for k in range(RANGES):
+        every = np.concatenate([s[a:b] for s, a, b in zip(sets, cuts[:, k].tolist(), cuts[:, k + 1].tolist())])
+        every.sort()
+        keys.append(np.unique(every[: len(every) - far][every[: len(every) - far] == every[far:]]))
+    return np.concatenate(keys)
+
+
 def ftrl(sets: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(hashes, weights, bias) of the weights that are not zero, from sets without rare features; the list is used up."""
     if not len(sets):
         return np.zeros(0, np.uint64), np.zeros(0), 0.0
-    every = np.concatenate(sets)
-    every.sort()
-    far = LEAST_TEXTS - 1  # a text has a feature once
-    keys = np.unique(every[: len(every) - far][every[: len(every) - far] == every[far:]])
-    del every
+    keys = shared_keys(sets)
     z, s = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)  # the last is the bias, without L1
     index = sets
     for k, x in enumerate(sets):
