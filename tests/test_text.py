@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators.clean import clean_posts
+from textloom.operators.language import language_detector, language_profile
 
 
 def values(spark, texts, fn):
@@ -103,6 +104,22 @@ def test_clean_posts(spark):
     assert clean_posts(df, lambda c: F.lit("xx")).count() == 0
 
 
+def test_clean_posts_counts_all_trigrams_of_a_large_profile(spark):
+    words = {"en": "the house stood near water", "de": "das haus stand nah am wasser", "fr": "la maison fut au bord", "es": "una casa junto al agua"}
+    texts = [(lang, f"{w} {' '.join(chr(97 + (i * 7 + j) % 26) * 3 for j in range(3))}") for lang, w in words.items() for i in range(6)]
+    profile = language_profile(spark.createDataFrame(texts, "lang string, text string"))
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(100, "12 34 56"), (101, None), (102, "qq xx"), (103, "это русский текст")]
+    rows += [(200 + i, w) for i, w in enumerate(words["de"].split())] + [(300, "wasser nah am")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(clean_posts(df, language_detector(profile)).collect())
+    assert {r.lang for r in want} == {*words, "ru"} and len(want) == len(texts) + 2
+    for most in (0, 20):
+        few = language_detector(profile, most=most)
+        assert sorted(clean_posts(df, few).collect()) == want
+        with pytest.raises(ValueError):
+            few(F.col("text"))
+
+
 def test_clean_posts_runs_on_a_stream(spark, tmp_path):
     schema = "doc_id long, text string"
     spark.createDataFrame([(1, "one two three"), (2, "no")], schema).write.parquet(str(tmp_path / "in"))
