@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators.clean import clean_posts
 from textloom.operators.language import language_detector, language_profile
+from textloom.plans.stages import stage_one
 
 
 def values(spark, texts, fn):
@@ -120,6 +121,15 @@ def test_clean_posts_counts_all_trigrams_of_a_large_profile(spark):
             few(F.col("text"))
 
 
+def test_stage_one_keeps_the_rows_of_a_large_profile(spark):
+    texts = [(lang, f"{w} number {i}") for lang, w in (("en", "the water"), ("de", "das wasser")) for i in range(8)]
+    profile = language_profile(spark.createDataFrame(texts, "lang string, text string"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = [stage_one(df, language_detector(profile, most=most)).rows for most in (10, 1 << 20)]
+    few, whole = ([tuple(r) for r in rows.select("doc_id", "text", "lang", "clust_id").orderBy("doc_id").collect()] for rows in found)
+    assert few == whole and len(few) == len(texts) and {r[2] for r in few} == {"en", "de"}
+
+
 def test_clean_posts_runs_on_a_stream(spark, tmp_path):
     schema = "doc_id long, text string"
     spark.createDataFrame([(1, "one two three"), (2, "no")], schema).write.parquet(str(tmp_path / "in"))
