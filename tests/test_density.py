@@ -138,6 +138,8 @@ def test_core_table(spark, leaf_rows):
         for ms in (1, 2, 5, 9):
             want = {r.id: r.cores[0] for r in knn.core_distances(leaves, [ms]).collect()}
             assert {i: c[ms - 1] for i, c in got.items()} == pytest.approx(want)
+        some = {r.id: r.cores for r in knn.core_table(leaves, 9, [2, 9]).collect()}
+        assert some == {i: [c[1], c[8]] for i, c in got.items()}
 
 
 def trial_table(spark, rows):

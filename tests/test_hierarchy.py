@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import condense, density, knn, reach, space
+from textloom.operators import buckets, condense, density, knn, reach, space
 from textloom.sources.scratch import settle
 
 
@@ -45,6 +46,40 @@ def test_tree_of_all_pairs(spark, p, samples, leaf_rows, callers):
         np.testing.assert_allclose(np.sort(own.weight), weights_of_all_pairs(p, ms), atol=1e-12)
 
 
+@pytest.mark.parametrize("dim, samples, whole", [(2, 5, True), (2, 60, False), (3, 4, False), (1, 3, True)])
+def test_tree_from_buckets_is_that_of_all_pairs(dim, samples, whole):
+    rng = np.random.default_rng(dim + samples)
+    p = rng.normal(0, 1, (900, dim)) + 4 * rng.integers(0, 3, (900, 1))
+    p = np.unique(p if whole else np.round(p, 2), axis=0)
+    core = np.sort(knn.distances(p, p), axis=1)[:, samples]
+    want = np.sort(reach.leaf_tree(p, core)[2])
+    for size in (4, 64):
+        a, b, weight = buckets.spanning_edges(p, core, size)
+        assert (np.sort(weight) == want).all() and len(set(zip(a.tolist(), b.tolist()))) == len(p) - 1
+        np.testing.assert_allclose(weight, np.maximum(np.linalg.norm(p[a] - p[b], axis=1), np.maximum(core[a], core[b])))
+    core[::9] = np.inf
+    assert len(buckets.spanning_edges(p, core)[2]) == np.isfinite(core).sum() - 1
+
+
+def test_a_leaf_looks_at_few_of_its_pairs(monkeypatch):
+    p = np.random.default_rng(2).uniform(0, 1, (6000, 2))
+    looked, plain = [], buckets.Buckets.distances
+
+    def counted(self, q, taken):
+        looked.append(len(q) * len(taken) * self.size)
+        return plain(self, q, taken)
+
+    monkeypatch.setattr(buckets.Buckets, "distances", counted)
+    ids = np.arange(len(p))
+    table = pa.table({"id": ids, "p": list(p), "w": np.ones(len(p), np.int64), "level": ids * 0, "cell": list(np.zeros((len(p), 2), int))})
+    found = knn._leaf_cores(20)(table)
+    core = np.array([ds[19] for _, ds in sorted(zip(found["id"].to_pylist(), found["ds"].to_pylist()))])
+    near = np.sort(knn.distances(p[:50], p), axis=1)[:, 20]
+    np.testing.assert_allclose(core[:50], near)
+    reach.leaf_tree(p, core)
+    assert 0 < sum(looked) < len(p) ** 2 / 3
+
+
 def test_sure_joins_are_in_the_tree():
     # Two pairs with a border near the second one: its own join is not sure.
     a, b, weight = np.array([0, 2, 1]), np.array([1, 3, 2]), np.array([1.0, 1.5, 9.0])
